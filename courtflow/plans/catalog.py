@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from courtflow.plans import league  # noqa: F401
+from courtflow.plans import geometry, league, zones  # noqa: F401
 from courtflow.plans.registry import CHECKS, QUERIES  # noqa: F401
