@@ -11,8 +11,9 @@ moves only what crosses a chunk border through one small row per chunk:
 * ``next_after``     - first non-null value strictly after a row.
 * ``running_sum``    - prefix sums.
 
-The per-chunk summaries come from ordinary aggregates (combined map-side); only
-they are ordered per match.
+Each pass shuffles its rows once, by (match, chunk). The per-chunk summary is built
+from that same exchange: it carries whole rows, so both readers of the exchange need
+the same columns and Spark runs it once. Only the summaries are ordered per match.
 """
 
 from __future__ import annotations
@@ -31,6 +32,18 @@ def add_chunk(df: DataFrame, order: str, size: int, name: str = _CHUNK) -> DataF
     return df.withColumn(name, F.floor(F.col(order) / F.lit(float(size))).cast("long"))
 
 
+def _chunked(df: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
+    """Rows with their chunk, shuffled so that a chunk sits in one partition.
+
+    Rows without a key or frame have no place in the order; saying so here keeps
+    the exchange of both readers equal (joins would infer it for one of them).
+    """
+    d = add_chunk(df, order, size)
+    for c in [*keys, order, _CHUNK]:
+        d = d.filter(F.col(c).isNotNull())
+    return d.repartition(*keys, _CHUNK)
+
+
 def _order_struct(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
@@ -51,7 +64,7 @@ def with_lookback(
     """
     keys, order = list(keys), list(order)
     columns = df.columns
-    d = add_chunk(df, order[0], size)
+    d = _chunked(df, keys, order[0], size)
     in_chunk = Window.partitionBy(*keys, _CHUNK)
     tail = (
         d.withColumn("__rn", F.row_number().over(in_chunk.orderBy(*[F.desc(c) for c in order])))
@@ -71,39 +84,54 @@ def with_lookback(
     return out.filter(~F.col(_HALO)).drop(_CHUNK, _HALO)
 
 
-def _carry(df, keys, order, values, size, forward):
+def _carry(df, keys, order, values, size, forward, earliest=()):
+    """Carry values from rows strictly before (``forward``) or after each row.
+
+    Nearest non-null value, or the most distant one for names in ``earliest``.
+    """
     keys, order = list(keys), list(order)
-    d = add_chunk(df, order[0], size)
-    pick = F.max_by if forward else F.min_by
-    summary = d.groupBy(*keys, _CHUNK).agg(
-        *[
-            pick(F.struct(v.alias("v")), F.when(v.isNotNull(), _order_struct(order))).alias(f"__s_{n}")
-            for n, v in values.items()
-        ]
-    )
+    d = _chunked(df, keys, order[0], size)
+    row = F.struct(*df.columns).alias("r")
+
+    def summarise(name, v):
+        latest = forward != (name in earliest)
+        pick = F.max_by if latest else F.min_by
+        return pick(F.struct(v.alias("v"), row), F.when(v.isNotNull(), _order_struct(order))).alias(f"__s_{name}")
+
+    def fold(name, c, window):
+        return (F.first if name in earliest else F.last)(c, ignorenulls=True).over(window)
+
+    summary = d.groupBy(*keys, _CHUNK).agg(*[summarise(n, v) for n, v in values.items()])
     sort = F.col(_CHUNK).asc() if forward else F.col(_CHUNK).desc()
     across = Window.partitionBy(*keys).orderBy(sort).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        *keys,
-        _CHUNK,
-        *[F.last(F.col(f"__s_{n}.v"), ignorenulls=True).over(across).alias(f"__c_{n}") for n in values],
+        *keys, _CHUNK, *[fold(n, F.col(f"__s_{n}.v"), across).alias(f"__c_{n}") for n in values]
     )
     ordering = [F.col(c).asc() if forward else F.col(c).desc() for c in order]
     within = (
         Window.partitionBy(*keys, _CHUNK).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1)
     )
+
+    def combine(name, v):
+        here, there = fold(name, v, within), F.col(f"__c_{name}")
+        return F.coalesce(there, here) if name in earliest else F.coalesce(here, there)
+
     out = d.join(carry, [*keys, _CHUNK])
-    out = out.withColumns(
-        {n: F.coalesce(F.last(v, ignorenulls=True).over(within), F.col(f"__c_{n}")) for n, v in values.items()}
-    )
+    out = out.withColumns({n: combine(n, v) for n, v in values.items()})
     return out.drop(_CHUNK, *[f"__c_{n}" for n in values])
 
 
 def last_before(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], size: int = CHUNK_FRAMES
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: dict[str, Column],
+    size: int = CHUNK_FRAMES,
+    earliest: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``name`` = last non-null ``value`` on rows strictly before this one."""
-    return _carry(df, keys, order, values, size, forward=True)
+    """Add ``name`` = last non-null ``value`` on rows strictly before this one
+    (the first such value for names in ``earliest``)."""
+    return _carry(df, keys, order, values, size, forward=True, earliest=earliest)
 
 
 def next_after(
@@ -118,8 +146,10 @@ def running_sum(
 ) -> DataFrame:
     """Add ``name`` = sum of ``value`` up to and including this row."""
     keys, order = list(keys), list(order)
-    d = add_chunk(df, order[0], size)
-    summary = d.groupBy(*keys, _CHUNK).agg(*[F.sum(v).alias(f"__s_{n}") for n, v in values.items()])
+    d = _chunked(df, keys, order[0], size)
+    summary = d.groupBy(*keys, _CHUNK).agg(
+        *[F.sum(v).alias(f"__s_{n}") for n, v in values.items()], F.max(F.struct(*df.columns)).alias("__r")
+    )
     across = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
         *keys, _CHUNK, *[F.coalesce(F.sum(f"__s_{n}").over(across), F.lit(0)).alias(f"__c_{n}") for n in values]
