@@ -64,6 +64,30 @@ SELECT o_custkey % 16 AS match_id, o_orderkey AS frame_number, o_orderkey / 30e0
   (CAST(floor(o_totalprice) AS BIGINT) % 1525) / 100e0 AS ball_y,
   CASE o_orderstatus WHEN 'F' THEN 'goal' WHEN 'O' THEN 'miss' ELSE 'blocked' END AS result
 FROM @orders""",
+    # Text read on a player box: mostly numbers, some position codes, some noise.
+    "ocr_reads": """
+SELECT d.match_id, d.frame_number, d.frame_number / 30e0 AS timestamp, d.det_no, CASE l_partkey % 13 WHEN 0 THEN 'GS' WHEN 1 THEN 'GA'
+   WHEN 2 THEN 'C-7' WHEN 3 THEN ' wd' ELSE CAST(l_partkey % 30 + l_partkey % 14 AS STRING) END AS text,
+  CAST(conf_raw AS DOUBLE) AS confidence, cx - 10e0 AS x1, cy - 12e0 AS y1, cx + (l_partkey % 90) * 1e0 AS x2, cy + 12e0 AS y2,
+  l_partkey % 14 + 1 AS player_id
+FROM @det_shape d WHERE class_name = 'player'""",
+    # Manual annotation of possession; sign-up events are not annotated.
+    "truth": """
+SELECT user_id % 8 AS match_id, event_id AS frame_number,
+  CASE WHEN event_type = 'view' AND value < 20 THEN NULL WHEN value < 75 THEN 1 ELSE 2 + CAST(floor(value) AS BIGINT) % 2 END AS true_player,
+  5e-1 + (event_id % 50) / 100e0 AS true_confidence
+FROM @events WHERE event_type <> 'signup'""",
+    # One validation report per customer, label lists as comma-separated text.
+    "report_rows": """
+SELECT c_name AS video_name, c_custkey % 60 * 1e0 AS segment_start, c_custkey % 60 + 30e0 AS segment_end,
+  c_custkey % 50 + c_custkey * 7 % 30 + c_custkey * 11 % 20 + c_custkey * 13 % 40 AS total_frames,
+  c_custkey % 50 AS tp, c_custkey * 7 % 30 AS fp, c_custkey * 11 % 20 AS fn, c_custkey * 13 % 40 AS tn,
+  (c_custkey % 17) / 100e0 AS processing_time_per_frame,
+  CASE c_custkey % 4 WHEN 0 THEN 'Multiple players near ball'
+   WHEN 1 THEN 'Multiple players near ball,Low confidence possession assignment' WHEN 2 THEN 'Ball in air - no clear possession' ELSE '' END AS edge_text,
+  CASE c_custkey % 3 WHEN 0 THEN 'Frequent ball detection failures' WHEN 1 THEN 'High rate of missed possession assignments' ELSE '' END AS failure_text,
+  CASE c_custkey % 5 WHEN 0 THEN 'Improve precision,Improve recall' WHEN 1 THEN 'Improve recall' WHEN 2 THEN 'Review confidence' ELSE '' END AS advice_text
+FROM @customer""",
 }
 
 
@@ -112,6 +136,13 @@ class Tables:
 
         return self.detections.filter(F.col("class_name") == name)
 
+    @property
+    def validation_reports(self) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        lists = {"edge_cases_found": "edge_text", "failure_modes": "failure_text", "recommendations": "advice_text"}
+        return self.report_rows.withColumns({n: F.split(F.col(c), ",") for n, c in lists.items()})
+
     @property
     def players(self) -> DataFrame:
         return self.of_class("player")
