@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from courtflow.plans import geometry, league, possession, quality, shooting, zones  # noqa: F401
+from courtflow.plans import calibration, geometry, league, possession, quality, readings, shooting, zones  # noqa: F401
 from courtflow.plans.registry import CHECKS, QUERIES  # noqa: F401

@@ -71,6 +71,36 @@ SELECT d.match_id, d.frame_number, d.frame_number / 30e0 AS timestamp, d.det_no,
   CAST(conf_raw AS DOUBLE) AS confidence, cx - 10e0 AS x1, cy - 12e0 AS y1, cx + (l_partkey % 90) * 1e0 AS x2, cy + 12e0 AS y2,
   l_partkey % 14 + 1 AS player_id
 FROM @det_shape d WHERE class_name = 'player'""",
+    # Two jersey colours per player box.
+    "jersey_colors": """
+SELECT match_id, frame_number, det_no, l_partkey % 14 + 1 AS player_id, CASE WHEN l_partkey % 14 < 7 THEN 'home' ELSE 'away' END AS team,
+  1 AS color_no, l_partkey * 7 % 256 AS r, l_suppkey * 5 % 256 AS g, (l_partkey + l_suppkey) * 3 % 256 AS b FROM @det_shape WHERE class_name = 'player'
+UNION ALL
+SELECT match_id, frame_number, det_no, l_partkey % 14 + 1, CASE WHEN l_partkey % 14 < 7 THEN 'home' ELSE 'away' END,
+  2, l_partkey * 11 % 256, l_suppkey * 13 % 256, frame_number % 256 FROM @det_shape WHERE class_name = 'player'""",
+    # Matrices over time, one per supplier, elements h0..h8.
+    "calibration_rows": """
+SELECT s_suppkey % 16 AS match_id, CAST(floor(s_suppkey / 16e0) AS BIGINT) * 97 + s_suppkey % 16 * 3 AS from_frame,
+  5e-2 + s_suppkey % 7 / 1000e0 AS h0, 1e-3 * (s_suppkey % 5) AS h1, -1e0 + s_suppkey % 3 / 10e0 AS h2,
+  2e-3 * (s_suppkey % 4) AS h3, 7e-2 + s_suppkey % 9 / 1000e0 AS h4, 5e-1 * (s_suppkey % 2) AS h5,
+  1e-5 * (s_suppkey % 6) AS h6, 1e-5 * (s_suppkey % 8) AS h7, CASE WHEN s_suppkey % 25 = 24 THEN 0e0 ELSE 1e0 END AS h8,
+  (s_suppkey % 101) / 100e0 AS confidence, CASE s_suppkey % 3 WHEN 0 THEN 'hoops' WHEN 1 THEN 'lines' ELSE 'manual' END AS method
+FROM @supplier""",
+    # Points with known court position, one per part.
+    "calibration_points": """
+SELECT p_partkey % 16 AS match_id, p_partkey AS point_no, (p_partkey * 37 % 600) * 1e0 AS px, (p_partkey * 53 % 220) * 1e0 AS py,
+  (p_partkey * 37 % 600) / 20e0 - 1e0 AS court_x, (p_partkey * 53 % 220) * 7e-2 AS court_y
+FROM @part""",
+    # Calibration attempts, one per part.
+    "calibration_attempts": """
+SELECT p_partkey % 16 AS match_id, p_partkey AS frame_number, CASE p_partkey % 3 WHEN 0 THEN 'hoops' WHEN 1 THEN 'lines' ELSE 'manual' END AS method,
+  p_partkey * 7 % 5 <> 0 AS success, (30 + p_partkey * 13 % 71) / 100e0 AS accuracy, (p_partkey * 17 % 101) / 100e0 AS confidence,
+  6e-1 + (p_partkey % 4) / 10e0 AS parameter
+FROM @part""",
+    # Hoop drift per frame.
+    "hoop_drift": """
+SELECT match_id, frame_number, COUNT(CASE WHEN class_name = 'hoop' THEN 1 END) AS hoops, MAX(l_partkey % 60) * 1e0 AS drift_px
+FROM @det_shape GROUP BY match_id, frame_number""",
     # Manual annotation of possession; sign-up events are not annotated.
     "truth": """
 SELECT user_id % 8 AS match_id, event_id AS frame_number,
@@ -136,6 +166,13 @@ class Tables:
 
         return self.detections.filter(F.col("class_name") == name)
 
+    @property
+    def calibrations(self) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        h = [f"h{i}" for i in range(9)]
+        return self.calibration_rows.withColumn("h", F.array(*h)).drop(*h)
+
     @property
     def validation_reports(self) -> DataFrame:
         from pyspark.sql import functions as F
