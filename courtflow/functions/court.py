@@ -52,12 +52,20 @@ def in_court_margin(
     return _c(x).between(margin, length - margin) & _c(y).between(margin, width - margin)
 
 
-def in_court_polygon(h, x, y, length: float = COURT_LENGTH, width: float = COURT_WIDTH) -> Column:
-    """Pixel point inside the projected court outline (corners cut to whole pixels)."""
+def court_outline(h_inv, length: float = COURT_LENGTH, width: float = COURT_WIDTH) -> Column:
+    """Pixel corners of the court (cut to whole pixels) as an array of (x, y)."""
     corners = []
     for cx, cy in ((0.0, 0.0), (length, 0.0), (length, width), (0.0, width)):
-        px, py = court_to_pixel(h, F.lit(cx), F.lit(cy))
-        corners.append((px.cast("long").cast("double"), py.cast("long").cast("double")))
+        px, py = court_to_pixel(h_inv, F.lit(cx), F.lit(cy))
+        whole = lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double")
+        corners.append(F.struct(whole(px).alias("x"), whole(py).alias("y")))
+    return F.array(*corners)
+
+
+def in_court_polygon(outline, x, y) -> Column:
+    """Pixel point inside or on the projected court outline."""
+    o = _c(outline)
+    corners = [(F.element_at(o, i + 1)["x"], F.element_at(o, i + 1)["y"]) for i in range(4)]
     return in_convex_quad(corners, x, y)
 
 

@@ -123,21 +123,22 @@ def inverse(h) -> Column:
         f * g - d * i, a * i - c * g, c * d - a * f,
         d * k - e * g, b * g - a * k, a * e - b * d,
     ]
-    return F.when(det != 0, F.array(*[x / F.when(det != 0, det) for x in adj]))
+    ok = F.when(det != 0, det)
+    return F.when(det != 0, F.transform(F.array(*adj), lambda v: v / ok))
 
 
 def pixel_to_court(h, x, y) -> tuple[Column, Column]:
     return _project(_elements(h), _c(x), _c(y))
 
 
-def court_to_pixel(h, x, y) -> tuple[Column, Column]:
-    return _project(_elements(inverse(h)), _c(x), _c(y))
+def court_to_pixel(h_inv, x, y) -> tuple[Column, Column]:
+    """Takes the inverse matrix as a column: invert once per matrix, not per point."""
+    return _project(_elements(h_inv), _c(x), _c(y))
 
 
-def map_box(h, b, to_court: bool = True) -> tuple[Column, Column, Column, Column]:
-    """Box around the four projected corners."""
-    move = pixel_to_court if to_court else court_to_pixel
-    points = [move(h, x, y) for x in (b[0], b[2]) for y in (b[1], b[3])]
+def map_box(matrix, b) -> tuple[Column, Column, Column, Column]:
+    """Box around the four projected corners; pass h for court, its inverse for pixels."""
+    points = [_project(_elements(matrix), x, y) for x in (b[0], b[2]) for y in (b[1], b[3])]
     xs, ys = [p[0] for p in points], [p[1] for p in points]
     return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
 

@@ -6,9 +6,11 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courtflow.constants import COURT_LENGTH, COURT_WIDTH
 from courtflow.functions import geometry as G
+from courtflow.functions.court import court_outline
 from courtflow.functions.geometry import safe_div
 from courtflow.functions.shots import hoop_quality
 from courtflow.operators.ordered import CHUNK_FRAMES, last_before
@@ -16,13 +18,24 @@ from courtflow.operators.ordered import CHUNK_FRAMES, last_before
 FRAME = ["match_id", "frame_number"]
 
 
-def calibration_as_of(df: DataFrame, calibrations: DataFrame, size: int = CHUNK_FRAMES) -> DataFrame:
+def with_inverse(calibrations: DataFrame) -> DataFrame:
+    """Inverse matrix and pixel outline of the court, once per matrix."""
+    d = calibrations.withColumn("h_inv", G.inverse("h"))
+    return d.withColumn("outline", F.when(F.col("h_inv").isNotNull(), court_outline("h_inv")))
+
+
+def calibration_as_of(
+    df: DataFrame, calibrations: DataFrame, carry: str = "h", size: int = CHUNK_FRAMES
+) -> DataFrame:
     """Rows with the matrix in force: the latest with from_frame <= frame_number.
+    ``carry`` names the calibration column to bring (the matrix, its inverse ...).
 
     Both tables are put in one frame order and the last matrix is carried forward,
     so no range of pairs is formed. ``df`` needs a ``det_no`` (any row number)."""
     cols = df.columns
-    rows = df.withColumns({"__kind": F.lit(1), "__cal": F.lit(None).cast(calibrations.schema["h"].dataType)})
+    # wrapped, so that a matrix without the wanted value still ends the one before it
+    wrapped = T.StructType([T.StructField("v", calibrations.schema[carry].dataType)])
+    rows = df.withColumns({"__kind": F.lit(1), "__cal": F.lit(None).cast(wrapped)})
     cal = calibrations.select(
         *[
             F.col("match_id") if c == "match_id"
@@ -32,16 +45,16 @@ def calibration_as_of(df: DataFrame, calibrations: DataFrame, size: int = CHUNK_
             for c in cols
         ],
         F.lit(0).alias("__kind"),
-        F.col("h").alias("__cal"),
+        F.struct(F.col(carry).alias("v")).alias("__cal"),
     )
     both = rows.unionByName(cal)
-    out = last_before(both, ["match_id"], ["frame_number", "__kind", "det_no"], {"h": F.col("__cal")}, size)
-    return out.filter(F.col("__kind") == 1).select(*cols, "h")
+    out = last_before(both, ["match_id"], ["frame_number", "__kind", "det_no"], {"__in_force": F.col("__cal")}, size)
+    return out.filter(F.col("__kind") == 1).select(*cols, F.col("__in_force.v").alias(carry))
 
 
 def with_court_coords(detections: DataFrame, calibrations: DataFrame, size: int = CHUNK_FRAMES) -> DataFrame:
     """Court position of each box centre; null while no matrix is in force."""
-    d = calibration_as_of(detections.drop("court_x", "court_y"), calibrations, size)
+    d = calibration_as_of(detections.drop("court_x", "court_y"), calibrations, size=size)
     b = G.box()
     x, y = G.pixel_to_court("h", G.center_x(b), G.center_y(b))
     return d.withColumns({"court_x": x, "court_y": y})

@@ -92,12 +92,12 @@ def likely_jersey_number(df: DataFrame, min_confidence: float = 0.3) -> DataFram
 
 
 def drop_off_court(df: DataFrame, calibrated: bool = False) -> DataFrame:
-    """Keep detections inside the court inset; with a matrix column ``h`` also
-    those inside the projected outline. Only players are ever dropped."""
+    """Keep detections inside the court inset; with the ``outline`` of the matrix in
+    force also those inside it. Only players are ever dropped."""
     b = G.box()
     keep = in_court_margin("court_x", "court_y")
     if calibrated:
-        keep = keep & in_court_polygon("h", G.center_x(b), G.center_y(b))
+        keep = keep & in_court_polygon("outline", G.center_x(b), G.center_y(b))
     return df.filter((F.col("class_name") != "player") | keep)
 
 

@@ -54,8 +54,8 @@ DET = "(h0*(h4*h8-h5*h7)-h1*(h3*h8-h5*h6)+h2*(h3*h7-h4*h6))"
     ASOF + f" SELECT match_id, frame_number, det_no, CASE WHEN {DET} <> 0 THEN ROUND(cx,3) + 0e0 END AS px, CASE WHEN {DET} <> 0 THEN ROUND(cy,3) + 0e0 END AS py FROM x",
 )
 def _roundtrip(t):
-    d = C.with_court_coords(t.detections, t.calibrations)
-    px, py = G.court_to_pixel("h", "court_x", "court_y")
+    d = C.with_court_coords(t.detections, t.calibrations).withColumn("h_inv", G.inverse("h"))
+    px, py = G.court_to_pixel("h_inv", "court_x", "court_y")
     d = d.select("match_id", "frame_number", "det_no", px.alias("px"), py.alias("py"))
     return d.withColumns({c: F.round(F.col(c), 3) + F.lit(0.0) for c in ("px", "py")})
 
@@ -202,9 +202,36 @@ def _recalibrate(t):
     return C.auto_recalibrate(t.hoop_drift)
 
 
-@query("in_court_polygon")
+INV = ["(h4*h8-h5*h7)", "(h2*h7-h1*h8)", "(h1*h5-h2*h4)", "(h5*h6-h3*h8)", "(h0*h8-h2*h6)", "(h2*h3-h0*h5)",
+       "(h3*h7-h4*h6)", "(h1*h6-h0*h7)", "(h0*h4-h1*h3)"]
+
+
+def _corner(cx: str, cy: str, n: int) -> str:
+    w = f"(i6*{cx}+i7*{cy}+i8)"
+    xy = [f"(i{3 * k}*{cx}+i{3 * k + 1}*{cy}+i{3 * k + 2})" for k in (0, 1)]
+    return ", ".join(f"trunc(CASE WHEN {w} <> 0 THEN {v}/{w} ELSE {v} END) AS {a}{n}" for a, v in zip("pq", xy))
+
+
+def _side(i: int, j: int) -> str:
+    return f"((p{j}-p{i})*(cy-q{i})-(q{j}-q{i})*(cx-p{i}))"
+
+
+SIDES = [_side(0, 1), _side(1, 2), _side(2, 3), _side(3, 0)]
+
+
+@query(
+    "in_court_polygon",
+    ASOF
+    + f", v AS (SELECT *, {', '.join(f'{e}/{DET} AS i{n}' for n, e in enumerate(INV))} FROM x WHERE {DET} <> 0), "
+    + f"o AS (SELECT *, {_corner('0e0', '0e0', 0)}, {_corner('30.5e0', '0e0', 1)}, {_corner('30.5e0', '15.25e0', 2)}, {_corner('0e0', '15.25e0', 3)} FROM v) "
+    + "SELECT match_id, frame_number, det_no, ("
+    + " AND ".join(f"{s} <= 0" for s in SIDES)
+    + ") OR ("
+    + " AND ".join(f"{s} >= 0" for s in SIDES)
+    + ") AS inside FROM o",
+)
 def _polygon(t):
-    d = C.calibration_as_of(t.detections, t.calibrations).filter(F.col("h").isNotNull())
+    d = C.calibration_as_of(t.detections, C.with_inverse(t.calibrations), carry="outline")
     b = G.box()
-    inside = in_court_polygon("h", G.center_x(b), G.center_y(b))
-    return d.select("match_id", "frame_number", "det_no", inside.alias("inside"))
+    inside = in_court_polygon("outline", G.center_x(b), G.center_y(b))
+    return d.filter(F.col("outline").isNotNull()).select("match_id", "frame_number", "det_no", inside.alias("inside"))

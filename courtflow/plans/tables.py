@@ -67,7 +67,7 @@ FROM @orders""",
     # Text read on a player box: mostly numbers, some position codes, some noise.
     "ocr_reads": """
 SELECT d.match_id, d.frame_number, d.frame_number / 30e0 AS timestamp, d.det_no, CASE l_partkey % 13 WHEN 0 THEN 'GS' WHEN 1 THEN 'GA'
-   WHEN 2 THEN 'C-7' WHEN 3 THEN ' wd' ELSE CAST(l_partkey % 30 + l_partkey % 14 AS STRING) END AS text,
+   WHEN 2 THEN 'C-7' WHEN 3 THEN ' wd' ELSE CAST(l_partkey % 14 + 7 + CASE WHEN l_suppkey % 4 = 0 THEN l_partkey % 11 ELSE 0 END AS STRING) END AS text,
   CAST(conf_raw AS DOUBLE) AS confidence, cx - 10e0 AS x1, cy - 12e0 AS y1, cx + (l_partkey % 90) * 1e0 AS x2, cy + 12e0 AS y2,
   l_partkey % 14 + 1 AS player_id
 FROM @det_shape d WHERE class_name = 'player'""",
