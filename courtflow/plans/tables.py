@@ -101,6 +101,42 @@ FROM @part""",
     "hoop_drift": """
 SELECT match_id, frame_number, COUNT(CASE WHEN class_name = 'hoop' THEN 1 END) AS hoops, MAX(l_partkey % 60) * 1e0 AS drift_px
 FROM @det_shape GROUP BY match_id, frame_number""",
+    # Service jobs, one per order; waiting and running time in seconds.
+    "job_rows": """
+SELECT o_orderkey AS job_id, o_custkey % 40 AS batch_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed'
+   ELSE CASE o_orderkey % 2 WHEN 0 THEN 'running' ELSE 'pending' END END AS status,
+  o_orderdate AS created_at, o_orderkey % 3600 AS wait_s, CAST(floor(o_totalprice) AS BIGINT) % 7200 AS run_s,
+  CASE WHEN o_orderstatus = 'P' THEN concat('job ', CAST(o_orderkey AS STRING), ' failed') END AS error
+FROM @orders""",
+    # Host samples, one per event.
+    "system_metrics": """
+SELECT ts AS timestamp, user_id % 5 AS host, (event_id * 37 % 1000) / 10e0 AS cpu_percent, (event_id * 53 % 1000) / 10e0 AS memory_percent,
+  (event_id * 71 % 1000) / 10e0 AS disk_percent, value * 3e0 AS memory_mb, event_id % 5 AS active_jobs
+FROM @events""",
+    # Work samples of the jobs, one per event.
+    "work_samples": """
+SELECT user_id AS job_id, ts AS timestamp, event_id % 50 + 1 AS frames, (event_id % 90 + 10) / 100e0 AS seconds,
+  CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS errors, value * 3e0 AS memory_mb, (event_id * 37 % 1000) / 10e0 AS cpu_percent,
+  event_type <> 'error' AS success, event_id % 8 AS worker
+FROM @events""",
+    # Cache accesses; the newest one per key is the stored entry.
+    "cache_log": """
+SELECT event_id AS entry_id, concat('video', CAST(user_id AS STRING)) AS video_path, event_id % 97 AS frame_number, ts AS created_at,
+  ts AS accessed_at, event_id % 11 AS access_count, event_id * 101 % 50000 AS file_size, event_type <> 'error' AS hit
+FROM @events""",
+    "blobs": """
+SELECT l_orderkey AS blob_id, l_partkey * 1000 + 500 AS original_size, l_partkey * 300 + l_suppkey AS compressed_size,
+  (l_partkey * 300 + l_suppkey) / CAST(l_partkey * 1000 + 500 AS DOUBLE) AS compression_ratio
+FROM @lineitem""",
+    "error_lines": """
+SELECT CASE event_id % 7 WHEN 0 THEN concat('CRITICAL worker ', CAST(user_id AS STRING), ' lost ')
+  WHEN 1 THEN concat('INFO nothing to do for ', CAST(user_id AS STRING))
+  ELSE concat('ERROR Exception: ', CASE event_id % 5 WHEN 0 THEN 'ValueError' WHEN 1 THEN 'KeyError' ELSE 'RuntimeError' END, '(', CAST(event_id AS STRING), ')') END AS value
+FROM @events WHERE event_type = 'error'""",
+    # Result files, one per page.
+    "file_rows": """
+SELECT concat('results/', CAST(page_id % 13 AS STRING), '/out', CAST(page_id AS STRING), CASE page_id % 4 WHEN 0 THEN '.json' WHEN 1 THEN '.csv'
+  WHEN 2 THEN '.MP4' ELSE '.png' END) AS path, length(html) * 1000 AS length FROM @pages""",
     # Manual annotation of possession; sign-up events are not annotated.
     "truth": """
 SELECT user_id % 8 AS match_id, event_id AS frame_number,
@@ -173,6 +209,25 @@ class Tables:
         h = [f"h{i}" for i in range(9)]
         return self.calibration_rows.withColumn("h", F.array(*h)).drop(*h)
 
+    @property
+    def jobs(self) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        d = self.job_rows
+        started, ended = F.col("status") != "pending", F.col("status").isin("completed", "failed")
+        d = d.withColumn("start_time", F.when(started, F.timestamp_add("SECOND", "wait_s", "created_at")))
+        d = d.withColumn("end_time", F.when(ended, F.timestamp_add("SECOND", "run_s", "start_time")))
+        return d.withColumn("completed_at", F.col("end_time")).drop("wait_s", "run_s")
+
+    @property
+    def cache_entries(self) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        from courtflow.operators.service import cache_key
+
+        key = cache_key(F.col("video_path"), F.col("frame_number"), F.lit("cfg"))
+        return self.cache_log.withColumn("key", key)
+
     @property
     def validation_reports(self) -> DataFrame:
         from pyspark.sql import functions as F
