@@ -115,7 +115,8 @@ SELECT ts AS timestamp, user_id % 5 AS host, (event_id * 37 % 1000) / 10e0 AS cp
 FROM @events""",
     # Work samples of the jobs, one per event.
     "work_samples": """
-SELECT user_id AS job_id, ts AS timestamp, event_id % 50 + 1 AS frames, (event_id % 90 + 10) / 100e0 AS seconds,
+SELECT user_id AS job_id, ts AS timestamp, CASE WHEN user_id % 9 = 0 THEN 1 ELSE event_id % 50 + 1 END AS frames,
+  (event_id % 90 + 10) * (user_id % 12 + 1) / 100e0 AS seconds,
   CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS errors, value * 3e0 AS memory_mb, (event_id * 37 % 1000) / 10e0 AS cpu_percent,
   event_type <> 'error' AS success, event_id % 8 AS worker
 FROM @events""",
