@@ -61,6 +61,7 @@ def chunked_fold(
         ]
     )
     names = [f.name for f in out_fields]
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType) and f.name not in by]
 
     def run(key, rows, entry):
         if not len(rows) or not len(entry):
@@ -71,6 +72,8 @@ def chunked_fold(
         last = pd.DataFrame({"__exit": [json.dumps(state)], "__note": [json.dumps(note)]})
         out = pd.concat([out.reindex(columns=names), last], ignore_index=True) if len(out) else last
         out = out.reindex(columns=[f.name for f in schema.fields])
+        for c in texts:
+            out[c] = out[c].astype(object).where(out[c].notna(), None)
         for k, v in zip(by, key):
             out[k] = v
         return out
