@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from courtflow.plans import calibration, exchange, geometry, league, possession, quality, readings, service, shooting, tracking, zones  # noqa: F401
+from courtflow.plans import calibration, exchange, geometry, league, live, possession, quality, readings, service, shooting, tracking, zones  # noqa: F401
 from courtflow.plans.registry import CHECKS, QUERIES  # noqa: F401
