@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,14 +92,12 @@ def classify_zone_home_away(x, y, length: float = COURT_LENGTH, width: float = C
 
 
 def is_position_valid(position, zone) -> Column:
-    """Whether the position may be in the zone; unknown positions always may."""
-    position, zone = _c(position), _c(zone)
-    rule = reduce(
-        lambda case, item: case.when(position == item[0], zone.isin(item[1])),
-        POSITION_ZONES.items(),
-        F.when(position.isNull(), F.lit(True)),
-    )
-    return rule.otherwise(F.lit(True))
+    """Whether the position may be in the zone; unknown positions always may.
+
+    A constant map keeps this to one use of ``zone``: it is a long expression, and
+    Spark copies it wherever it is named when it pushes filters down."""
+    allowed = F.create_map(*[x for p, zs in POSITION_ZONES.items() for x in (F.lit(p), F.array(*map(F.lit, zs)))])
+    return F.coalesce(F.array_contains(F.try_element_at(allowed, _c(position)), _c(zone)), F.lit(True))
 
 
 def zone_for_position(position) -> Column:

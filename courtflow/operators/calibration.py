@@ -19,8 +19,12 @@ FRAME = ["match_id", "frame_number"]
 
 
 def with_inverse(calibrations: DataFrame) -> DataFrame:
-    """Inverse matrix and pixel outline of the court, once per matrix."""
+    """Inverse matrix and pixel outline of the court, once per matrix.
+
+    Exploding the one inverse keeps Spark from merging both steps into one expression
+    with the inverse spelled out at every corner."""
     d = calibrations.withColumn("h_inv", G.inverse("h"))
+    d = d.withColumn("h_inv", F.explode(F.array("h_inv")))
     return d.withColumn("outline", F.when(F.col("h_inv").isNotNull(), court_outline("h_inv")))
 
 

@@ -373,23 +373,35 @@ def _kalman(dt: float, process: float, measurement: float, layout: str):
     for pos, vel in ((0, 1), (2, 3)) if layout == "block" else ((0, 2), (1, 3)):
         q[np.ix_([pos, vel], [pos, vel])] = block
     r = np.eye(2) * measurement
+    known: dict[tuple[bytes, bool], tuple] = {}  # covariances settle, so few distinct ones occur
+
+    def advance(cov, seen):
+        key = (cov.tobytes(), seen)
+        if key not in known:
+            if len(known) > 10_000:
+                known.clear()
+            cov, gain = f @ cov @ f.T + q, None
+            if seen:
+                gain = cov @ h.T @ np.linalg.inv(h @ cov @ h.T + r)
+                rest = np.eye(4) - gain @ h
+                cov = rest @ cov @ rest.T + gain @ r @ gain.T
+            known[key] = (gain, cov)
+        return known[key]
 
     def step(rows, state):
         x, cov = (np.array(state[0]), np.array(state[1])) if state else (None, None)
         out = []
-        for frame, zx, zy in zip(rows["frame_number"], rows["x"], rows["y"]):
-            seen = not (pd.isna(zx) or pd.isna(zy))
+        for frame, zx, zy in zip(rows["frame_number"].tolist(), rows["x"].tolist(), rows["y"].tolist()):
+            seen = zx is not None and zy is not None and zx == zx and zy == zy
             if x is None:
                 if not seen:
                     continue
                 x, cov = np.array([zx, zy, 0.0, 0.0]), np.eye(4) * 1000.0
             else:
-                x, cov = f @ x, f @ cov @ f.T + q
+                gain, cov = advance(cov, seen)
+                x = f @ x
                 if seen:
-                    gain = cov @ h.T @ np.linalg.inv(h @ cov @ h.T + r)
-                    x = x + gain @ (np.array([zx, zy]) - h @ x)
-                    rest = np.eye(4) - gain @ h
-                    cov = rest @ cov @ rest.T + gain @ r @ gain.T
+                    x = x + gain @ (np.array([zx, zy]) - x[:2])
             out.append((frame, *x, seen))
         cols = ["frame_number", "x", "y", "vx", "vy", "measured"]
         return pd.DataFrame(out, columns=cols), None if x is None else [x.tolist(), cov.tolist()], None

@@ -12,6 +12,7 @@ from courtflow.functions.court import (
     classify_zone,
     classify_zone_home_away,
     in_court_margin,
+    is_on_court,
     is_position_valid,
     zone_to_grid,
 )
@@ -85,7 +86,7 @@ def zone_violations(players: DataFrame) -> DataFrame:
     restriction, then sideline proximity. No shuffle: one pass over the rows."""
     d = with_zone(players).withColumn("player_id", _player_id())
     kind = (
-        F.when(F.col("zone") == "out_of_bounds", "out_of_bounds")
+        F.when(~is_on_court("court_x", "court_y"), "out_of_bounds")
         .when(~is_position_valid("position", "zone"), "position_restriction")
         .when(~in_court_margin("court_x", "court_y"), "sideline_proximity")
     )

@@ -102,41 +102,41 @@ def _errors(t):
 @query(
     "transformation_error_stats",
     ERR
-    + """ SELECT match_id, from_frame, ROUND(AVG(error),6) AS mean_error, ROUND(MAX(error),6) AS max_error, ROUND(STDDEV_POP(error),6) AS std_error,
+    + """ SELECT match_id, from_frame, ROUND(AVG(error),8) AS mean_error, ROUND(MAX(error),8) AS max_error, ROUND(STDDEV_POP(error),8) AS std_error,
  AVG(error) < 0.5e0 AND MAX(error) < 1 AS is_valid FROM e GROUP BY 1,2""",
 )
 def _error_stats(t):
     d = C.transformation_error_stats(C.reprojection_errors(t.calibration_points, t.calibrations))
-    return shown(d, "mean_error", "max_error", "std_error")
+    return shown(d, "mean_error", "max_error", "std_error", places=8)
 
 
 @query(
     "hoop_quality_by_frame",
-    """SELECT match_id, frame_number, ROUND(AVG(confidence*greatest(0e0, least(1e0, 1e0-abs((x2-x1)*(y2-y1)-10000e0)/10000e0))),6) AS quality, COUNT(*) AS hoops
+    """SELECT match_id, frame_number, ROUND(AVG(confidence*greatest(0e0, least(1e0, 1e0-abs((x2-x1)*(y2-y1)-10000e0)/10000e0))),8) AS quality, COUNT(*) AS hoops
  FROM @detections WHERE class_name='hoop' GROUP BY 1,2""",
 )
 def _hoop_quality(t):
-    return shown(C.hoop_quality_by_frame(t.hoops), "quality")
+    return shown(C.hoop_quality_by_frame(t.hoops), "quality", places=8)
 
 
 @query(
     "hoop_detection_stats",
     """WITH f AS (SELECT match_id, frame_number, COUNT(*) AS c, SUM(confidence) AS s, MIN(confidence) AS lo, MAX(confidence) AS hi FROM @detections WHERE class_name='hoop' GROUP BY 1,2)
-SELECT match_id, ROUND(SUM(s)/SUM(c),6) AS avg_confidence, MIN(lo) AS min_confidence, MAX(hi) AS max_confidence, ROUND(AVG(c),6) AS avg_hoops_per_frame,
+SELECT match_id, ROUND(SUM(s)/SUM(c),8) AS avg_confidence, MIN(lo) AS min_confidence, MAX(hi) AS max_confidence, ROUND(AVG(c),8) AS avg_hoops_per_frame,
  COUNT(*) FILTER (WHERE c >= 2) AS frames_with_2_hoops, COUNT(*) FILTER (WHERE c = 1) AS frames_with_1_hoop FROM f GROUP BY 1""",
 )
 def _hoop_stats(t):
-    return shown(C.hoop_detection_stats(t.hoops), "avg_confidence", "avg_hoops_per_frame")
+    return shown(C.hoop_detection_stats(t.hoops), "avg_confidence", "avg_hoops_per_frame", places=8)
 
 
 @query(
     "calibration_quality",
-    """SELECT match_id, ROUND(AVG(accuracy),6) AS avg_accuracy, MIN(accuracy) AS min_accuracy, MAX(accuracy) AS max_accuracy, ROUND(STDDEV_POP(accuracy),6) AS std_accuracy,
+    """SELECT match_id, ROUND(AVG(accuracy),8) AS avg_accuracy, MIN(accuracy) AS min_accuracy, MAX(accuracy) AS max_accuracy, ROUND(STDDEV_POP(accuracy),8) AS std_accuracy,
  COUNT(*) FILTER (WHERE accuracy > 0.8e0) AS high_quality, COUNT(*) FILTER (WHERE accuracy BETWEEN 0.6e0 AND 0.8e0) AS medium_quality,
  COUNT(*) FILTER (WHERE accuracy < 0.6e0) AS low_quality FROM @calibration_attempts WHERE success GROUP BY 1""",
 )
 def _quality(t):
-    return shown(C.calibration_quality(t.calibration_attempts), "avg_accuracy", "std_accuracy")
+    return shown(C.calibration_quality(t.calibration_attempts), "avg_accuracy", "std_accuracy", places=8)
 
 
 @query(
@@ -150,20 +150,20 @@ def _methods(t):
 @query(
     "calibration_attempt_summary",
     """SELECT match_id, COUNT(*) AS total_attempts, COUNT(*) FILTER (WHERE success) AS successful_attempts, COUNT(*) FILTER (WHERE NOT success) AS failed_attempts,
- ROUND(COUNT(*) FILTER (WHERE success)/CAST(COUNT(*) AS DOUBLE),6) AS success_rate, MAX(confidence) AS best_confidence,
- ROUND(coalesce(AVG(accuracy) FILTER (WHERE success),0e0),6) AS average_accuracy FROM @calibration_attempts GROUP BY 1""",
+ ROUND(COUNT(*) FILTER (WHERE success)/CAST(COUNT(*) AS DOUBLE),8) AS success_rate, MAX(confidence) AS best_confidence,
+ ROUND(coalesce(AVG(accuracy) FILTER (WHERE success),0e0),8) AS average_accuracy FROM @calibration_attempts GROUP BY 1""",
 )
 def _attempts(t):
-    return shown(C.calibration_attempt_summary(t.calibration_attempts), "success_rate", "average_accuracy")
+    return shown(C.calibration_attempt_summary(t.calibration_attempts), "success_rate", "average_accuracy", places=8)
 
 
 @query(
     "best_calibration_parameters",
     """WITH p AS (SELECT parameter, COUNT(*) FILTER (WHERE success)/CAST(COUNT(*) AS DOUBLE)*AVG(accuracy) FILTER (WHERE success) AS score FROM @calibration_attempts GROUP BY 1)
-SELECT ROUND(parameter,6) AS parameter, ROUND(score,6) AS score FROM p WHERE score > 0 ORDER BY p.score DESC, p.parameter LIMIT 1""",
+SELECT ROUND(parameter,8) AS parameter, ROUND(score,8) AS score FROM p WHERE score > 0 ORDER BY p.score DESC, p.parameter LIMIT 1""",
 )
 def _params(t):
-    return shown(C.best_calibration_parameters(t.calibration_attempts), "parameter", "score")
+    return shown(C.best_calibration_parameters(t.calibration_attempts), "parameter", "score", places=8)
 
 
 @query(

@@ -65,12 +65,12 @@ def _alerts(t):
     "stream_metric_windows",
     """WITH w AS (SELECT date_trunc('hour', timestamp) AS s, host, COUNT(*) AS samples, AVG(cpu_percent) AS cpu_avg, MAX(cpu_percent) AS cpu_max,
  MAX(memory_percent) AS memory_max FROM @system_metrics GROUP BY 1,2)
-SELECT CAST(s AS VARCHAR) AS window_start, host, samples, ROUND(cpu_avg,6) AS cpu_avg, cpu_max, memory_max FROM w
+SELECT CAST(s AS VARCHAR) AS window_start, host, samples, ROUND(cpu_avg,8) AS cpu_avg, cpu_max, memory_max FROM w
 WHERE s + INTERVAL 1 HOUR <= (SELECT MAX(timestamp) FROM @system_metrics) - INTERVAL 10 MINUTE""",
 )
 def _windows(t):
     d = L.drain(L.stream_metric_windows(metrics(t)), "windows").drop("window_end")
-    return shown(d.withColumn("window_start", as_text("window_start")), "cpu_avg")
+    return shown(d.withColumn("window_start", as_text("window_start")), "cpu_avg", places=8)
 
 
 @query(

@@ -10,24 +10,24 @@ from courtflow.plans.possession import ASSIGNED, LABELS, assigned, smoothed_labe
 from courtflow.plans.registry import query, shown
 from courtflow.plans.zones import BASE_V, ZONED
 
-DESCRIBE = """COUNT({v}) AS count, ROUND(AVG({v}), 6) AS mean, ROUND(STDDEV_SAMP({v}), 6) AS std, MIN({v}) AS min, MAX({v}) AS max,
- ROUND(QUANTILE_CONT({v}, 0.25), 6) AS q25, ROUND(QUANTILE_CONT({v}, 0.5), 6) AS q50, ROUND(QUANTILE_CONT({v}, 0.75), 6) AS q75"""
+DESCRIBE = """COUNT({v}) AS count, ROUND(AVG({v}), 8) AS mean, ROUND(STDDEV_SAMP({v}), 8) AS std, MIN({v}) AS min, MAX({v}) AS max,
+ ROUND(QUANTILE_CONT({v}, 0.25), 8) AS q25, ROUND(QUANTILE_CONT({v}, 0.5), 8) AS q50, ROUND(QUANTILE_CONT({v}, 0.75), 8) AS q75"""
 DCOLS = ["mean", "std", "q25", "q50", "q75"]
 
 
 @query("describe_confidence", "SELECT class_name, " + DESCRIBE.format(v="confidence") + " FROM @detections GROUP BY 1")
 def _d1(t):
-    return shown(describe(t.detections, "confidence", ["class_name"]), *DCOLS)
+    return shown(describe(t.detections, "confidence", ["class_name"]), *DCOLS, places=8)
 
 
 @query("describe_shot_distance", "SELECT " + DESCRIBE.format(v="distance_to_goal") + " FROM @shots")
 def _d2(t):
-    return shown(describe(t.shots, "distance_to_goal"), *DCOLS)
+    return shown(describe(t.shots, "distance_to_goal"), *DCOLS, places=8)
 
 
 @query("describe_shot_angle", "SELECT " + DESCRIBE.format(v="angle_to_goal") + " FROM @shots")
 def _d3(t):
-    return shown(describe(t.shots, "angle_to_goal"), *DCOLS)
+    return shown(describe(t.shots, "angle_to_goal"), *DCOLS, places=8)
 
 
 @query(
@@ -38,7 +38,7 @@ def _d3(t):
     + " FROM dur",
 )
 def _d4(t):
-    return shown(describe(P.possession_changes(smoothed_labels(t)), "duration_frames"), *DCOLS)
+    return shown(describe(P.possession_changes(smoothed_labels(t)), "duration_frames"), *DCOLS, places=8)
 
 
 @query("detections_by_class", "SELECT class_name, COUNT(*) AS n FROM @detections GROUP BY 1")
@@ -48,20 +48,20 @@ def _by_class(t):
 
 @query(
     "detections_per_frame_stats",
-    """SELECT COUNT(*) AS frames_with_detections, ROUND(AVG(c), 6) AS avg_detections_per_frame, MAX(c) AS max_detections_per_frame,
+    """SELECT COUNT(*) AS frames_with_detections, ROUND(AVG(c), 8) AS avg_detections_per_frame, MAX(c) AS max_detections_per_frame,
  MIN(c) AS min_detections_per_frame FROM (SELECT COUNT(*) AS c FROM @detections GROUP BY match_id, frame_number)""",
 )
 def _per_frame(t):
-    return shown(Q.detections_per_frame_stats(t.detections), "avg_detections_per_frame")
+    return shown(Q.detections_per_frame_stats(t.detections), "avg_detections_per_frame", places=8)
 
 
 @query(
     "spatial_distribution",
     """SELECT MIN(court_x) AS x_min, MAX(court_x) AS x_max, MIN(court_y) AS y_min, MAX(court_y) AS y_max,
- ROUND(AVG(court_x), 6) AS x_center, ROUND(AVG(court_y), 6) AS y_center FROM @detections""",
+ ROUND(AVG(court_x), 8) AS x_center, ROUND(AVG(court_y), 8) AS y_center FROM @detections""",
 )
 def _spatial(t):
-    return shown(Q.spatial_distribution(t.detections), "x_center", "y_center")
+    return shown(Q.spatial_distribution(t.detections), "x_center", "y_center", places=8)
 
 
 @query(
@@ -112,15 +112,15 @@ def _run_quality(t):
 
 @query(
     "ball_confidence_stats",
-    """SELECT MIN(confidence) AS min, MAX(confidence) AS max, ROUND(AVG(confidence),6) AS mean, ROUND(STDDEV_SAMP(confidence),6) AS std,
- ROUND(QUANTILE_CONT(confidence,0.25),6) AS q25, ROUND(QUANTILE_CONT(confidence,0.5),6) AS median, ROUND(QUANTILE_CONT(confidence,0.75),6) AS q75
+    """SELECT MIN(confidence) AS min, MAX(confidence) AS max, ROUND(AVG(confidence),8) AS mean, ROUND(STDDEV_SAMP(confidence),8) AS std,
+ ROUND(QUANTILE_CONT(confidence,0.25),8) AS q25, ROUND(QUANTILE_CONT(confidence,0.5),8) AS median, ROUND(QUANTILE_CONT(confidence,0.75),8) AS q75
 FROM @detections WHERE class_name='ball'""",
 )
 def _ball_conf(t):
-    return shown(Q.ball_confidence_stats(t.balls), "mean", "std", "q25", "median", "q75")
+    return shown(Q.ball_confidence_stats(t.balls), "mean", "std", "q25", "median", "q75", places=8)
 
 
-SZ = "MIN({e}) AS {n}_min, MAX({e}) AS {n}_max, ROUND(AVG({e}),6) AS {n}_mean"
+SZ = "MIN({e}) AS {n}_min, MAX({e}) AS {n}_max, ROUND(AVG({e}),8) AS {n}_mean"
 
 
 @query(
@@ -133,7 +133,7 @@ SZ = "MIN({e}) AS {n}_min, MAX({e}) AS {n}_max, ROUND(AVG({e}),6) AS {n}_mean"
     + " FROM @detections WHERE class_name='ball'",
 )
 def _ball_size(t):
-    return shown(Q.ball_size_stats(t.balls), "width_mean", "height_mean", "area_mean", "aspect_ratio_mean")
+    return shown(Q.ball_size_stats(t.balls), "width_mean", "height_mean", "area_mean", "aspect_ratio_mean", places=8)
 
 
 @query(
@@ -155,13 +155,13 @@ def _shares(t):
     """WITH p AS (SELECT * FROM @detections WHERE class_name='player'), f AS (SELECT match_id, COUNT(*) AS total_frames FROM @frames GROUP BY 1),
 c AS (SELECT match_id, COUNT(*) AS fw, AVG(c) AS ac FROM (SELECT match_id, frame_number, COUNT(*) AS c FROM p GROUP BY 1,2) GROUP BY 1),
 s AS (SELECT match_id, AVG(confidence) AS m, STDDEV_POP(confidence) AS sd, STDDEV_POP((x2-x1)*(y2-y1)) AS bs FROM p GROUP BY 1)
-SELECT match_id, total_frames, fw AS frames_with_detections, ROUND(ac,6) AS avg_detections_per_frame, ROUND(m,6) AS avg_confidence,
- ROUND(sd,6) AS confidence_std, ROUND(bs,4) AS bbox_size_std, ROUND(fw/CAST(total_frames AS DOUBLE),6) AS detection_rate
+SELECT match_id, total_frames, fw AS frames_with_detections, ROUND(ac,8) AS avg_detections_per_frame, ROUND(m,8) AS avg_confidence,
+ ROUND(sd,8) AS confidence_std, ROUND(bs,4) AS bbox_size_std, ROUND(fw/CAST(total_frames AS DOUBLE),8) AS detection_rate
 FROM f JOIN c USING (match_id) JOIN s USING (match_id)""",
 )
 def _stability(t):
     df = Q.detection_stability(t.players, t.frames)
-    df = shown(df, "avg_detections_per_frame", "avg_confidence", "confidence_std", "detection_rate")
+    df = shown(df, "avg_detections_per_frame", "avg_confidence", "confidence_std", "detection_rate", places=8)
     return shown(df, "bbox_size_std", places=4)
 
 
@@ -235,9 +235,9 @@ g AS (SELECT c.class_name, threshold, COUNT(*) FILTER (WHERE confidence >= thres
  FROM @detections c CROSS JOIN th GROUP BY 1,2)"""
 
 
-@query("threshold_grid", GRID + " SELECT class_name, threshold, n, ROUND(mc, 6) AS mean_confidence FROM g")
+@query("threshold_grid", GRID + " SELECT class_name, threshold, n, ROUND(mc, 8) AS mean_confidence FROM g")
 def _grid(t):
-    return shown(Q.threshold_grid(t.detections, THRESHOLDS, ["class_name"]), "mean_confidence")
+    return shown(Q.threshold_grid(t.detections, THRESHOLDS, ["class_name"]), "mean_confidence", places=8)
 
 
 @query(
@@ -245,10 +245,10 @@ def _grid(t):
     GRID
     + """, s AS (SELECT *, coalesce(mc,0e0)*least(1e0,n/10e0) AS score FROM g),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY class_name ORDER BY score DESC, threshold) AS rn FROM s)
-SELECT class_name, threshold AS best_threshold, ROUND(score,6) AS best_score FROM r WHERE rn = 1""",
+SELECT class_name, threshold AS best_threshold, ROUND(score,8) AS best_score FROM r WHERE rn = 1""",
 )
 def _sweep(t):
-    return shown(Q.threshold_sweep(t.detections, THRESHOLDS), "best_score")
+    return shown(Q.threshold_sweep(t.detections, THRESHOLDS), "best_score", places=8)
 
 
 @query(
@@ -349,15 +349,15 @@ def _advice(t):
     "WITH s AS (SELECT COUNT(*) AS total_tests, CAST(SUM(total_frames) AS BIGINT) AS total_frames, CAST(SUM(tp) AS BIGINT) AS tp, CAST(SUM(fp) AS BIGINT) AS fp, "
     "CAST(SUM(fn) AS BIGINT) AS fn, CAST(SUM(tn) AS BIGINT) AS tn, AVG(processing_time_per_frame) AS apt FROM @report_rows), "
     + RR.format(src="s").replace("WITH ", "")
-    + """ SELECT total_tests, total_frames, tp, fp, fn, tn, ROUND(apt,6) AS average_processing_time, ROUND(p,6) AS precision, ROUND(rc,6) AS recall,
- ROUND(ac,6) AS accuracy, ROUND(f1,6) AS f1_score, ROUND(fp/CAST(total_frames AS DOUBLE),6) AS fp_rate, ROUND(fn/CAST(total_frames AS DOUBLE),6) AS fn_rate,
+    + """ SELECT total_tests, total_frames, tp, fp, fn, tn, ROUND(apt,8) AS average_processing_time, ROUND(p,8) AS precision, ROUND(rc,8) AS recall,
+ ROUND(ac,8) AS accuracy, ROUND(f1,8) AS f1_score, ROUND(fp/CAST(total_frames AS DOUBLE),8) AS fp_rate, ROUND(fn/CAST(total_frames AS DOUBLE),8) AS fn_rate,
  fp/CAST(total_frames AS DOUBLE) < 0.15e0 AS fp_rate_met, fn/CAST(total_frames AS DOUBLE) < 0.2e0 AS fn_rate_met,
  CASE WHEN ac >= 0.85e0 AND p >= 0.8e0 AND rc >= 0.8e0 THEN 'EXCELLENT' WHEN ac >= 0.75e0 AND p >= 0.7e0 AND rc >= 0.7e0 THEN 'GOOD'
   WHEN ac >= 0.65e0 AND p >= 0.6e0 AND rc >= 0.6e0 THEN 'FAIR' ELSE 'POOR' END AS assessment FROM q""",
 )
 def _aggregate(t):
     df = Q.aggregate_validation(t.validation_reports)
-    return shown(df, "average_processing_time", "fp_rate", "fn_rate", *RATES)
+    return shown(df, "average_processing_time", "fp_rate", "fn_rate", *RATES, places=8)
 
 
 def _labels(column: str, top: int) -> str:
@@ -382,10 +382,10 @@ def _failure_counts(t):
 @query(
     "annotation_stats",
     """SELECT COUNT(*) AS total_annotations, COUNT(true_player) AS possession_frames, COUNT(*)-COUNT(true_player) AS no_possession_frames,
- ROUND(COUNT(true_player)/CAST(COUNT(*) AS DOUBLE),6) AS possession_rate, ROUND(AVG(true_confidence),6) AS average_confidence FROM @truth""",
+ ROUND(COUNT(true_player)/CAST(COUNT(*) AS DOUBLE),8) AS possession_rate, ROUND(AVG(true_confidence),8) AS average_confidence FROM @truth""",
 )
 def _annotations(t):
-    return shown(Q.annotation_stats(t.truth), "possession_rate", "average_confidence")
+    return shown(Q.annotation_stats(t.truth), "possession_rate", "average_confidence", places=8)
 
 
 @query(

@@ -16,10 +16,10 @@ AS_OF = "2024-01-20 00:00:00"
 
 @query(
     "job_statistics",
-    "SELECT status, COUNT(*) AS jobs, ROUND(coalesce(AVG(CASE WHEN status='completed' THEN wait_s + run_s END), 0e0), 6) AS average_seconds FROM @job_rows GROUP BY 1",
+    "SELECT status, COUNT(*) AS jobs, ROUND(coalesce(AVG(CASE WHEN status='completed' THEN wait_s + run_s END), 0e0), 8) AS average_seconds FROM @job_rows GROUP BY 1",
 )
 def _stats(t):
-    return shown(V.job_statistics(t.jobs), "average_seconds")
+    return shown(V.job_statistics(t.jobs), "average_seconds", places=8)
 
 
 @query(
@@ -116,13 +116,13 @@ def _evict(t):
 
 @query(
     "compression_stats",
-    """SELECT COUNT(*) AS total_entries, ROUND(SUM(compressed_size)/1048576e0,6) AS total_compressed_size_mb, ROUND(SUM(original_size)/1048576e0,6) AS total_original_size_mb,
- ROUND(AVG(compression_ratio),6) AS avg_compression_ratio, ROUND(SUM(original_size)/1048576e0-SUM(compressed_size)/1048576e0,6) AS space_saved_mb,
- ROUND((SUM(original_size)/1048576e0-SUM(compressed_size)/1048576e0)/(SUM(original_size)/1048576e0)*100e0,6) AS space_saved_percent FROM @blobs""",
+    """SELECT COUNT(*) AS total_entries, ROUND(SUM(compressed_size)/1048576e0,8) AS total_compressed_size_mb, ROUND(SUM(original_size)/1048576e0,8) AS total_original_size_mb,
+ ROUND(AVG(compression_ratio),8) AS avg_compression_ratio, ROUND(SUM(original_size)/1048576e0-SUM(compressed_size)/1048576e0,8) AS space_saved_mb,
+ ROUND((SUM(original_size)/1048576e0-SUM(compressed_size)/1048576e0)/(SUM(original_size)/1048576e0)*100e0,8) AS space_saved_percent FROM @blobs""",
 )
 def _compression(t):
     d = V.compression_stats(t.blobs)
-    return shown(d, *[c for c in d.columns if c != "total_entries"])
+    return shown(d, *[c for c in d.columns if c != "total_entries"], places=8)
 
 
 EXC = "WITH x AS (SELECT trim(string_split(string_split(value, 'Exception: ')[2], '(')[1]) AS exception FROM @error_lines WHERE contains(value, 'Exception: '))"
@@ -152,12 +152,12 @@ PM = """pm AS (SELECT job_id, MAX(timestamp) AS timestamp, CAST(SUM(frames) AS B
     "processing_metrics",
     "WITH "
     + PM
-    + """ SELECT job_id, CAST(timestamp AS VARCHAR) AS timestamp, frames_processed, ROUND(processing_time,6) AS processing_time, errors, ROUND(memory_peak_mb,6) AS memory_peak_mb,
- cpu_peak_percent, ROUND(fps,6) AS fps, ROUND(error_rate,6) AS error_rate FROM pm""",
+    + """ SELECT job_id, CAST(timestamp AS VARCHAR) AS timestamp, frames_processed, ROUND(processing_time,8) AS processing_time, errors, ROUND(memory_peak_mb,8) AS memory_peak_mb,
+ cpu_peak_percent, ROUND(fps,8) AS fps, ROUND(error_rate,8) AS error_rate FROM pm""",
 )
 def _processing(t):
     d = V.processing_metrics(t.work_samples).withColumn("timestamp", F.col("timestamp").cast("string"))
-    return shown(d, "processing_time", "memory_peak_mb", "fps", "error_rate")
+    return shown(d, "processing_time", "memory_peak_mb", "fps", "error_rate", places=8)
 
 
 @query(
@@ -178,14 +178,14 @@ RANGE = f"timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 48 HOUR AND timestamp <= T
     "metrics_summary",
     "WITH "
     + PM
-    + f""", m AS (SELECT COUNT(*) AS samples, ROUND(AVG(cpu_percent),6) AS cpu_avg, MAX(cpu_percent) AS cpu_max, MIN(cpu_percent) AS cpu_min, ROUND(AVG(memory_percent),6) AS memory_avg,
+    + f""", m AS (SELECT COUNT(*) AS samples, ROUND(AVG(cpu_percent),8) AS cpu_avg, MAX(cpu_percent) AS cpu_max, MIN(cpu_percent) AS cpu_min, ROUND(AVG(memory_percent),8) AS memory_avg,
  MAX(memory_percent) AS memory_max, MIN(memory_percent) AS memory_min FROM @system_metrics WHERE {RANGE}),
-j AS (SELECT COUNT(*) AS jobs_completed, ROUND(coalesce(AVG(fps),0e0),6) AS fps_avg, ROUND(coalesce(MAX(fps),0e0),6) AS fps_max, ROUND(coalesce(MIN(fps),0e0),6) AS fps_min FROM pm WHERE {RANGE})
+j AS (SELECT COUNT(*) AS jobs_completed, ROUND(coalesce(AVG(fps),0e0),8) AS fps_avg, ROUND(coalesce(MAX(fps),0e0),8) AS fps_max, ROUND(coalesce(MIN(fps),0e0),8) AS fps_min FROM pm WHERE {RANGE})
 SELECT * FROM m, j""",
 )
 def _summary(t):
     d = V.metrics_summary(t.system_metrics, V.processing_metrics(t.work_samples), AS_OF, hours=48)
-    return shown(d, "cpu_avg", "memory_avg", "fps_avg", "fps_max", "fps_min")
+    return shown(d, "cpu_avg", "memory_avg", "fps_avg", "fps_max", "fps_min", places=8)
 
 
 @query(
@@ -212,12 +212,12 @@ def _alert_summary(t):
 
 @query(
     "throughput_stats",
-    """SELECT worker, COUNT(*) FILTER (WHERE success) AS frames_processed, ROUND(SUM(seconds) FILTER (WHERE success),6) AS total_processing_time,
- ROUND(SUM(seconds) FILTER (WHERE success)/COUNT(*) FILTER (WHERE success),6) AS avg_processing_time,
- ROUND(COUNT(*) FILTER (WHERE success)/SUM(seconds) FILTER (WHERE success),6) AS fps, COUNT(*) FILTER (WHERE NOT success) AS errors FROM @work_samples GROUP BY 1""",
+    """SELECT worker, COUNT(*) FILTER (WHERE success) AS frames_processed, ROUND(SUM(seconds) FILTER (WHERE success),8) AS total_processing_time,
+ ROUND(SUM(seconds) FILTER (WHERE success)/COUNT(*) FILTER (WHERE success),8) AS avg_processing_time,
+ ROUND(COUNT(*) FILTER (WHERE success)/SUM(seconds) FILTER (WHERE success),8) AS fps, COUNT(*) FILTER (WHERE NOT success) AS errors FROM @work_samples GROUP BY 1""",
 )
 def _throughput(t):
-    return shown(V.throughput_stats(t.work_samples), "total_processing_time", "avg_processing_time", "fps")
+    return shown(V.throughput_stats(t.work_samples), "total_processing_time", "avg_processing_time", "fps", places=8)
 
 
 @query(
@@ -256,9 +256,9 @@ d AS (SELECT match_id, COUNT(*) AS n, AVG(confidence) AS c, COUNT(DISTINCT frame
 p AS (SELECT match_id, COUNT(*) AS n, AVG(end_ts-start_ts) AS a FROM pc GROUP BY 1), h AS (SELECT match_id, COUNT(*) AS n FROM tv WHERE rn = 1 GROUP BY 1),
 s AS (SELECT match_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE result='goal') AS g FROM @shots GROUP BY 1),
 b AS (SELECT match_id, COUNT(*) AS n, COUNT(DISTINCT violation_type) AS k FROM bv GROUP BY 1)
-SELECT f.match_id, coalesce(d.n,0) AS total_objects, ROUND(coalesce(c,0e0),6) AS avg_confidence, ROUND(coalesce(fw,0)/CAST(frames AS DOUBLE),6) AS detection_rate,
- coalesce(p.n,0) AS total_changes, ROUND(coalesce(a,0e0),6) AS avg_duration, coalesce(h.n,0) AS held_ball, coalesce(s.n,0) AS total_shots,
- ROUND(coalesce(s.g/CAST(s.n AS DOUBLE),0e0),6) AS accuracy, coalesce(s.g,0) AS goals, coalesce(b.n,0) AS total_violations, coalesce(b.k,0) AS violation_types
+SELECT f.match_id, coalesce(d.n,0) AS total_objects, ROUND(coalesce(c,0e0),8) AS avg_confidence, ROUND(coalesce(fw,0)/CAST(frames AS DOUBLE),8) AS detection_rate,
+ coalesce(p.n,0) AS total_changes, ROUND(coalesce(a,0e0),8) AS avg_duration, coalesce(h.n,0) AS held_ball, coalesce(s.n,0) AS total_shots,
+ ROUND(coalesce(s.g/CAST(s.n AS DOUBLE),0e0),8) AS accuracy, coalesce(s.g,0) AS goals, coalesce(b.n,0) AS total_violations, coalesce(b.k,0) AS violation_types
 FROM f LEFT JOIN d USING (match_id) LEFT JOIN p USING (match_id) LEFT JOIN h USING (match_id) LEFT JOIN s USING (match_id) LEFT JOIN b USING (match_id)""",
 )
 def _overview(t):
@@ -270,4 +270,4 @@ def _overview(t):
         "match_id", "detection.*", "possession.total_changes", "possession.avg_duration",
         F.col("possession.violations").alias("held_ball"), "shooting.*", "zones.*",
     )
-    return shown(d, "avg_confidence", "detection_rate", "avg_duration", "accuracy")
+    return shown(d, "avg_confidence", "detection_rate", "avg_duration", "accuracy", places=8)

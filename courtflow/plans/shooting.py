@@ -191,7 +191,7 @@ def _proximity(t):
 
 RATE = "ROUND(COUNT(*) FILTER (WHERE result='goal')/CAST(COUNT(*) AS DOUBLE), 6)"
 GOALS = "COUNT(*) FILTER (WHERE result='goal')"
-SUM_COLS = f"COUNT(*) AS shots, {GOALS} AS goals, COUNT(*) - {GOALS} AS misses, {RATE} AS success_rate, ROUND(AVG(distance_to_goal),6) AS average_distance, ROUND(AVG(angle_to_goal),6) AS average_angle FROM @shots"
+SUM_COLS = f"COUNT(*) AS shots, {GOALS} AS goals, COUNT(*) - {GOALS} AS misses, {RATE} AS success_rate, ROUND(AVG(distance_to_goal),8) AS average_distance, ROUND(AVG(angle_to_goal),8) AS average_angle FROM @shots"
 
 
 @query(
@@ -200,17 +200,17 @@ SUM_COLS = f"COUNT(*) AS shots, {GOALS} AS goals, COUNT(*) - {GOALS} AS misses,
     f"UNION ALL SELECT 'position', position, {SUM_COLS} GROUP BY position UNION ALL SELECT 'zone', zone, {SUM_COLS} GROUP BY zone",
 )
 def _summary(t):
-    return shown(S.shooting_summary(t.shots), "success_rate", "average_distance", "average_angle")
+    return shown(shown(S.shooting_summary(t.shots), "success_rate"), "average_distance", "average_angle", places=8)
 
 
 @query(
     "player_shooting_stats",
     f"""SELECT match_id, shooter_id AS player_id, COUNT(*) AS total_shots, {GOALS} AS goals, COUNT(*) FILTER (WHERE result='miss') AS misses,
- COUNT(*) FILTER (WHERE result='blocked') AS blocked_shots, {RATE} AS success_rate, ROUND(AVG(distance_to_goal),6) AS average_distance,
- ROUND(AVG(angle_to_goal),6) AS average_angle FROM @shots GROUP BY 1,2""",
+ COUNT(*) FILTER (WHERE result='blocked') AS blocked_shots, {RATE} AS success_rate, ROUND(AVG(distance_to_goal),8) AS average_distance,
+ ROUND(AVG(angle_to_goal),8) AS average_angle FROM @shots GROUP BY 1,2""",
 )
 def _player(t):
-    return shown(S.player_shooting_stats(t.shots), "success_rate", "average_distance", "average_angle")
+    return shown(shown(S.player_shooting_stats(t.shots), "success_rate"), "average_distance", "average_angle", places=8)
 
 
 @query("shots_by_zone", f"SELECT zone, COUNT(*) AS attempts, {GOALS} AS goals, {RATE} AS accuracy FROM @shots GROUP BY 1")

@@ -11,6 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from courtflow.session import scratch_path
+
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 DERIVED: dict[str, str] = {
@@ -179,6 +181,12 @@ def sql_with_inputs(sql: str) -> str:
     return f"WITH {ctes}{',' if head else ''}\n{rest}"
 
 
+# Derived with a window over the whole line-item table, and read by most queries: written
+# once per session and folder, as a deployment has its detections stored.
+STORED = ("det_shape",)
+_stored: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
     """Lazy access to the given and derived tables under one folder."""
 
@@ -193,11 +201,23 @@ class Tables:
             if name in BASE:
                 self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             else:
-                text = DERIVED[name]
-                inputs = {n: getattr(self, n) for n in set(re.findall(r"@(\w+)", text))}
-                self._made[name] = self.spark.sql(re.sub(r"@(\w+)", r"{\1}", text), **inputs)
+                self._made[name] = self._stored_table(name) if name in STORED else self._derive(name)
         return self._made[name]
 
+    def _derive(self, name: str) -> DataFrame:
+        text = DERIVED[name]
+        inputs = {n: getattr(self, n) for n in set(re.findall(r"@(\w+)", text))}
+        return self.spark.sql(re.sub(r"@(\w+)", r"{\1}", text), **inputs)
+
+    def _stored_table(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        df = self._derive(name)
+        if key not in _stored:
+            path = scratch_path(self.spark, name)
+            df.write.parquet(path)
+            _stored[key] = path
+        return self.spark.read.schema(df.schema).parquet(_stored[key])
+
     def of_class(self, name: str) -> DataFrame:
         from pyspark.sql import functions as F
 
