@@ -50,21 +50,25 @@ def in_court_margin(
     return _c(x).between(margin, length - margin) & _c(y).between(margin, width - margin)
 
 
-def court_outline(h_inv, length: float = COURT_LENGTH, width: float = COURT_WIDTH) -> Column:
-    """Pixel corners of the court (cut to whole pixels) as an array of (x, y)."""
-    corners = []
-    for cx, cy in ((0.0, 0.0), (length, 0.0), (length, width), (0.0, width)):
+def court_corners(h_inv, length: float = COURT_LENGTH, width: float = COURT_WIDTH) -> Column:
+    """Pixel positions of the court corners as one struct (x0, y0 ... x3, y3)."""
+    fields = []
+    for i, (cx, cy) in enumerate(((0.0, 0.0), (length, 0.0), (length, width), (0.0, width))):
         px, py = court_to_pixel(h_inv, F.lit(cx), F.lit(cy))
-        whole = lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double")
-        corners.append(F.struct(whole(px).alias("x"), whole(py).alias("y")))
-    return F.array(*corners)
+        fields += [px.alias(f"x{i}"), py.alias(f"y{i}")]
+    return F.struct(*fields)
+
+
+def whole_pixels(corners) -> Column:
+    """The outline drawn through the corners, cut to whole pixels."""
+    cut = lambda v: F.signum(v) * F.floor(F.abs(v))
+    return F.struct(*[cut(_c(corners)[f"{a}{i}"]).alias(f"{a}{i}") for i in range(4) for a in "xy"])
 
 
 def in_court_polygon(outline, x, y) -> Column:
     """Pixel point inside or on the projected court outline."""
     o = _c(outline)
-    corners = [(F.element_at(o, i + 1)["x"], F.element_at(o, i + 1)["y"]) for i in range(4)]
-    return in_convex_quad(corners, x, y)
+    return in_convex_quad([(o[f"x{i}"], o[f"y{i}"]) for i in range(4)], x, y)
 
 
 def classify_zone(x, y, length: float = COURT_LENGTH, width: float = COURT_WIDTH) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from courtflow.constants import COURT_LENGTH, COURT_WIDTH
 from courtflow.functions import geometry as G
-from courtflow.functions.court import court_outline
+from courtflow.functions.court import court_corners, whole_pixels
 from courtflow.functions.geometry import safe_div
 from courtflow.functions.shots import hoop_quality
 from courtflow.operators.ordered import CHUNK_FRAMES, last_before
@@ -21,11 +21,11 @@ FRAME = ["match_id", "frame_number"]
 def with_inverse(calibrations: DataFrame) -> DataFrame:
     """Inverse matrix and pixel outline of the court, once per matrix.
 
-    Exploding the one inverse keeps Spark from merging both steps into one expression
-    with the inverse spelled out at every corner."""
-    d = calibrations.withColumn("h_inv", G.inverse("h"))
-    d = d.withColumn("h_inv", F.explode(F.array("h_inv")))
-    return d.withColumn("outline", F.when(F.col("h_inv").isNotNull(), court_outline("h_inv")))
+    Exploding a single value between the steps keeps Spark from merging them into
+    one expression with the inverse spelled out at every corner."""
+    d = calibrations.withColumn("h_inv", F.explode(F.array(G.inverse("h"))))
+    d = d.withColumn("__corners", F.explode(F.array(court_corners("h_inv"))))
+    return d.withColumn("outline", F.when(F.col("h_inv").isNotNull(), whole_pixels("__corners"))).drop("__corners")
 
 
 def calibration_as_of(
