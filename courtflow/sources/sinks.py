@@ -205,8 +205,10 @@ def write_analysis_documents(documents: DataFrame, path: str) -> None:
     documents.drop("match_id").write.mode("overwrite").json(path)
 
 
-def write_detections_bucketed(detections: DataFrame, table: str, buckets: int = 1024) -> None:
+def write_detections_bucketed(detections: DataFrame, table: str, buckets: int = 1024, path: str | None = None) -> None:
     """A table bucketed by frame: the per-frame joins and aggregates of this library
     then run without shuffling it."""
     w = detections.write.mode("overwrite").bucketBy(buckets, *FRAME).sortBy(*FRAME)
+    if path is not None:
+        w = w.option("path", path)
     w.saveAsTable(table)
