@@ -77,8 +77,11 @@ def classify_zone(x, y, length: float = COURT_LENGTH, width: float = COURT_WIDTH
     case = F.when(x.isNull() | y.isNull(), F.lit(None).cast("string")).when(
         ~is_on_court(x, y, length, width), F.lit("out_of_bounds")
     )
+    seen = set()
     for shape in zone_shapes(length, width):
-        case = case.when(_inside(shape, x, y), F.lit(shape[0]))
+        if shape[1:] not in seen:  # a zone equal to an earlier one is never reached
+            seen.add(shape[1:])
+            case = case.when(_inside(shape, x, y), F.lit(shape[0]))
     return case.otherwise(F.lit("court_boundary"))
 
 

@@ -83,7 +83,7 @@ def select_best_calibration(calibrations: DataFrame) -> DataFrame:
 
 def reprojection_errors(points: DataFrame, calibrations: DataFrame) -> DataFrame:
     """Distance between transformed and expected points (match_id, point_no, px, py,
-    court_x, court_y) under each matrix of the match."""
+    court_x, court_y). ``calibrations`` has one matrix per match, such as the chosen one."""
     d = points.join(calibrations.select("match_id", "from_frame", "h"), "match_id")
     x, y = G.pixel_to_court("h", "px", "py")
     return d.withColumn("error", G.euclidean(x, y, "court_x", "court_y")).drop("h")

@@ -89,13 +89,14 @@ def _best(t):
     return C.select_best_calibration(t.calibrations).select("match_id", "from_frame", "confidence", "method")
 
 
-ERR = f"""WITH e AS (SELECT p.match_id, p.point_no, c.from_frame, sqrt(({proj('px', 'py', 'x')}-court_x)*({proj('px', 'py', 'x')}-court_x)
- +({proj('px', 'py', 'y')}-court_y)*({proj('px', 'py', 'y')}-court_y)) AS error FROM @calibration_points p JOIN @calibration_rows c USING (match_id))"""
+ERR = f"""WITH best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY confidence DESC, from_frame) AS rn FROM @calibration_rows) WHERE rn = 1),
+e AS (SELECT p.match_id, p.point_no, c.from_frame, sqrt(({proj('px', 'py', 'x')}-court_x)*({proj('px', 'py', 'x')}-court_x)
+ +({proj('px', 'py', 'y')}-court_y)*({proj('px', 'py', 'y')}-court_y)) AS error FROM @calibration_points p JOIN best c USING (match_id))"""
 
 
 @query("reprojection_errors", ERR + " SELECT match_id, point_no, from_frame, ROUND(error,6) AS error FROM e")
 def _errors(t):
-    d = C.reprojection_errors(t.calibration_points, t.calibrations)
+    d = C.reprojection_errors(t.calibration_points, C.select_best_calibration(t.calibrations))
     return shown(d.select("match_id", "point_no", "from_frame", "error"), "error")
 
 
@@ -106,7 +107,7 @@ def _errors(t):
  AVG(error) < 0.5e0 AND MAX(error) < 1 AS is_valid FROM e GROUP BY 1,2""",
 )
 def _error_stats(t):
-    d = C.transformation_error_stats(C.reprojection_errors(t.calibration_points, t.calibrations))
+    d = C.transformation_error_stats(C.reprojection_errors(t.calibration_points, C.select_best_calibration(t.calibrations)))
     return shown(d, "mean_error", "max_error", "std_error", places=8)
 
 

@@ -213,13 +213,14 @@ def _documents(t):
     path = scratch_path(t.spark, "documents")
     W.write_analysis_documents(docs, path)
     d = R.read_analysis_results(t.spark, path)
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return d.select(
-        "game_id", "frame_count", size("players").alias("players"),
-        F.when(F.col("shot_events").isNull(), 0).otherwise(size("shot_events")).cast("long").alias("shots"),
-        F.when(F.col("possession_events").isNull(), 0).otherwise(size("possession_events")).cast("long").alias("events"),
-        F.col("game_state.home_score").alias("home_score"),
-    )
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    return d.groupBy("game_id").agg(  # a long match has several part documents
+        F.sum("frame_count").alias("frame_count"),
+        F.max(size("players")).alias("players"),
+        F.sum(size("shot_events")).alias("shots"),
+        F.sum(size("possession_events")).alias("events"),
+        F.sum("game_state.home_score").alias("home_score"),
+    )
 
 
 def _counts(tables, spark):

@@ -183,7 +183,7 @@ def sql_with_inputs(sql: str) -> str:
 
 # Derived with a window over the whole line-item table, and read by most queries: written
 # once per session and folder, as a deployment has its detections stored.
-STORED = ("det_shape",)
+STORED = ("det_shape", "detections")
 _stored: dict[tuple[str, str, str], str] = {}
 
 

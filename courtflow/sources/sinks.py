@@ -64,54 +64,61 @@ def per_frame_detections_json(detections: DataFrame) -> DataFrame:
 
 
 def analysis_documents(
-    players: DataFrame, shots: DataFrame, events: DataFrame, frames: DataFrame, processing_time: float, fps: float = 30.0
+    players: DataFrame,
+    shots: DataFrame,
+    events: DataFrame,
+    frames: DataFrame,
+    processing_time: float,
+    fps: float = 30.0,
+    part_seconds: float = 36_000.0,
 ) -> DataFrame:
-    """One nested result document per match; lists are in time order. ``players`` has
-    one row per player of the match. A match's events are one document by
-    definition; use the flat event tables where a match is unusually large."""
+    """Nested result documents, lists in time order. ``players`` has one row per
+    player of the match. A document covers at most ``part_seconds`` of a match (ten
+    hours: any real match is one document), so no list grows without bound."""
+    at = F.floor(F.col("ts_sec") / F.lit(part_seconds)).cast("long").alias("part")
+    key = ["match_id", "part"]
+    shots, events, frames = (d.select("*", at) for d in (shots, events, frames))
     p = players.groupBy("match_id").agg(
         F.sort_array(
             F.collect_list(F.struct("track_id", "team", "position", "possession_time", "is_in_possession"))
         ).alias("players")
     )
-    s = shots.groupBy("match_id").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    F.col("ts_sec").alias("timestamp"),
-                    "shooter_id",
-                    "team",
-                    F.struct(F.col("ball_x").alias("x"), F.col("ball_y").alias("y")).alias("position"),
-                    "result",
-                    "zone",
-                    "distance_to_goal",
-                )
-            )
-        ).alias("shot_events")
+    shot = F.struct(
+        F.col("ts_sec").alias("timestamp"),
+        "shooter_id",
+        "team",
+        F.struct(F.col("ball_x").alias("x"), F.col("ball_y").alias("y")).alias("position"),
+        "result",
+        "zone",
+        "distance_to_goal",
     )
-    e = events.groupBy("match_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("ts_sec").alias("timestamp"), "player_id", "team", "event_type"))).alias(
-            "possession_events"
-        )
+    goal = F.col("result") == "goal"
+    s = shots.groupBy(*key).agg(
+        F.sort_array(F.collect_list(shot)).alias("shot_events"),
+        F.count_if(goal & (F.col("team") == "home")).alias("home_score"),
+        F.count_if(goal & (F.col("team") != "home")).alias("away_score"),
     )
-    score = possession.final_score(shots)
-    f = frames.groupBy("match_id").agg(F.count(F.lit(1)).alias("frame_count"), F.max("ts_sec").alias("last"))
-    d = f.join(p, "match_id", "left").join(s, "match_id", "left").join(e, "match_id", "left").join(score, "match_id", "left")
+    event = F.struct(F.col("ts_sec").alias("timestamp"), "player_id", "team", "event_type")
+    e = events.groupBy(*key).agg(F.sort_array(F.collect_list(event)).alias("possession_events"))
+    f = frames.groupBy(*key).agg(F.count(F.lit(1)).alias("frame_count"), F.max("ts_sec").alias("last"))
+    d = f.join(s, key, "full").join(e, key, "full").join(p, "match_id", "left")
+    zero = F.lit(0).cast("long")
     state = F.struct(
         F.col("last").alias("timestamp"),
         F.lit(1).alias("period"),
-        F.coalesce("home_score", F.lit(0)).alias("home_score"),
-        F.coalesce("away_score", F.lit(0)).alias("away_score"),
+        F.coalesce("home_score", zero).alias("home_score"),
+        F.coalesce("away_score", zero).alias("away_score"),
     )
     return d.select(
         "match_id",
         F.col("match_id").cast("string").alias("game_id"),
+        "part",
         "players",
         "possession_events",
         "shot_events",
         state.alias("game_state"),
         F.lit(processing_time).alias("processing_time"),
-        "frame_count",
+        F.coalesce("frame_count", zero).alias("frame_count"),
         F.lit(fps).alias("fps"),
     )
 
