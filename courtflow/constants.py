@@ -54,3 +54,39 @@ POSSESSION_OVERLAP = 0.3
 CONFIRM_FRAMES = 3
 CONFIDENCE_ALPHA = 0.7
 HELD_BALL_SECONDS = 3.0
+
+# Report texts.
+NO_VIOLATIONS = "No zone violations detected - system working correctly"
+VIOLATION_ADVICE = {
+    "out_of_bounds": "High out-of-bounds violations - check court boundary calibration",
+    "goal_circle_overflow": "Goal circle overflow violations - implement team counting logic",
+    "center_circle_overflow": "Center circle overflow violations - implement team counting logic",
+    "position_restriction": "Position restriction violations - improve position detection accuracy",
+    "critical": "High number of critical violations - review rule implementation",
+}
+EDGE_CASES = {
+    "crowd": "Multiple players near ball",
+    "air": "Ball in air - no clear possession",
+    "unsure": "Low confidence possession assignment",
+}
+FAILURE_MODES = {
+    "ball": "Frequent ball detection failures",
+    "possession": "High rate of missed possession assignments",
+}
+VALIDATION_ADVICE = {
+    "precision": "Improve precision by tuning confidence thresholds",
+    "recall": "Improve recall by relaxing distance/overlap thresholds",
+    "f1_score": "Balance precision and recall for better F1 score",
+    "speed": "Optimize processing speed for real-time analysis",
+}
+CALIBRATION_ADVICE = {
+    "hoops": "Low hoop detection rate - consider lowering confidence threshold",
+    "success": "Low calibration success rate - check hoop positioning accuracy",
+    "accuracy": "Low calibration accuracy - improve hoop detection quality",
+}
+LOAD_WARNINGS = {
+    "cpu": "High CPU usage detected",
+    "memory": "High memory usage detected",
+    "disk": "Low disk space",
+    "jobs": "Processor at maximum capacity",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtflow.constants import COURT_LENGTH, COURT_WIDTH
+from courtflow.constants import CALIBRATION_ADVICE, COURT_LENGTH, COURT_WIDTH
 from courtflow.functions import geometry as G
 from courtflow.functions.court import court_corners, whole_pixels
 from courtflow.functions.geometry import safe_div
@@ -231,9 +231,9 @@ def calibration_recommendations(attempts: DataFrame, frames: DataFrame) -> DataF
     d = total.join(a, "match_id", "left").fillna(0, ["with_hoops", "ok"])
     lines = F.array_compact(
         F.array(
-            F.when(F.col("with_hoops") < F.col("frames") * 0.3, F.lit("Low hoop detection rate - consider lowering confidence threshold")),
-            F.when(F.col("ok") < F.col("with_hoops") * 0.5, F.lit("Low calibration success rate - check hoop positioning accuracy")),
-            F.when(F.col("accuracy") < 0.7, F.lit("Low calibration accuracy - improve hoop detection quality")),
+            F.when(F.col("with_hoops") < F.col("frames") * 0.3, F.lit(CALIBRATION_ADVICE["hoops"])),
+            F.when(F.col("ok") < F.col("with_hoops") * 0.5, F.lit(CALIBRATION_ADVICE["success"])),
+            F.when(F.col("accuracy") < 0.7, F.lit(CALIBRATION_ADVICE["accuracy"])),
         )
     )
     return d.select("match_id", lines.alias("recommendations"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtflow.constants import FPS
+from courtflow.constants import EDGE_CASES, FAILURE_MODES, FPS, VALIDATION_ADVICE
 from courtflow.functions import geometry as G
 from courtflow.functions.geometry import safe_div
 from courtflow.operators.ordered import CHUNK_FRAMES, last_before, running_sum, with_lookback
@@ -373,9 +373,9 @@ def edge_cases(assigned: DataFrame) -> DataFrame:
     label = F.explode(
         F.array_compact(
             F.array(
-                F.when((F.col("player_count") > 1) & ball, F.lit("Multiple players near ball")),
-                F.when(ball & F.col("player_no").isNull(), F.lit("Ball in air - no clear possession")),
-                F.when(F.col("confidence") < 0.3, F.lit("Low confidence possession assignment")),
+                F.when((F.col("player_count") > 1) & ball, F.lit(EDGE_CASES["crowd"])),
+                F.when(ball & F.col("player_no").isNull(), F.lit(EDGE_CASES["air"])),
+                F.when(F.col("confidence") < 0.3, F.lit(EDGE_CASES["unsure"])),
             )
         )
     )
@@ -390,8 +390,8 @@ def failure_modes(assigned: DataFrame) -> DataFrame:
     label = F.explode(
         F.array_compact(
             F.array(
-                F.when(F.col("no_ball") > 0.3, F.lit("Frequent ball detection failures")),
-                F.when(F.col("no_possession") > 0.5, F.lit("High rate of missed possession assignments")),
+                F.when(F.col("no_ball") > 0.3, F.lit(FAILURE_MODES["ball"])),
+                F.when(F.col("no_possession") > 0.5, F.lit(FAILURE_MODES["possession"])),
             )
         )
     )
@@ -402,10 +402,10 @@ def validation_recommendations(metrics: DataFrame) -> DataFrame:
     """Advice lines per row from precision, recall, F1 and the frame time."""
     lines = F.array_compact(
         F.array(
-            F.when(F.col("precision") < 0.85, F.lit("Improve precision by tuning confidence thresholds")),
-            F.when(F.col("recall") < 0.80, F.lit("Improve recall by relaxing distance/overlap thresholds")),
-            F.when(F.col("f1_score") < 0.82, F.lit("Balance precision and recall for better F1 score")),
-            F.when(F.col("processing_time_per_frame") > 0.1, F.lit("Optimize processing speed for real-time analysis")),
+            F.when(F.col("precision") < 0.85, F.lit(VALIDATION_ADVICE["precision"])),
+            F.when(F.col("recall") < 0.80, F.lit(VALIDATION_ADVICE["recall"])),
+            F.when(F.col("f1_score") < 0.82, F.lit(VALIDATION_ADVICE["f1_score"])),
+            F.when(F.col("processing_time_per_frame") > 0.1, F.lit(VALIDATION_ADVICE["speed"])),
         )
     )
     return metrics.withColumn("recommendations", lines)

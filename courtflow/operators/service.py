@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courtflow.constants import LOAD_WARNINGS
 from courtflow.functions.geometry import safe_div
 
 MB = 1024.0 * 1024.0
@@ -225,10 +226,10 @@ def alert_summary(metrics: DataFrame, active_jobs: str = "active_jobs", max_jobs
     """Warnings and overall status per sample."""
     warn = F.array_compact(
         F.array(
-            F.when(F.col("cpu_percent") > 80, F.lit("High CPU usage detected")),
-            F.when(F.col("memory_percent") > 85, F.lit("High memory usage detected")),
-            F.when(F.col("disk_percent") > 90, F.lit("Low disk space")),
-            F.when(F.col(active_jobs) >= max_jobs, F.lit("Processor at maximum capacity")),
+            F.when(F.col("cpu_percent") > 80, F.lit(LOAD_WARNINGS["cpu"])),
+            F.when(F.col("memory_percent") > 85, F.lit(LOAD_WARNINGS["memory"])),
+            F.when(F.col("disk_percent") > 90, F.lit(LOAD_WARNINGS["disk"])),
+            F.when(F.col(active_jobs) >= max_jobs, F.lit(LOAD_WARNINGS["jobs"])),
         )
     )
     d = metrics.withColumn("warnings", warn)

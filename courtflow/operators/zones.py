@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtflow.constants import FPS, ZONE_RULES
+from courtflow.constants import FPS, NO_VIOLATIONS, VIOLATION_ADVICE, ZONE_RULES
 from courtflow.functions.court import (
     classify_zone,
     classify_zone_home_away,
@@ -257,12 +257,7 @@ def zone_distribution(players: DataFrame) -> DataFrame:
 
 def violation_recommendations(violations: DataFrame) -> DataFrame:
     """One row of advice lines from the mix of violations."""
-    advice = [
-        ("out_of_bounds", "High out-of-bounds violations - check court boundary calibration"),
-        ("goal_circle_overflow", "Goal circle overflow violations - implement team counting logic"),
-        ("center_circle_overflow", "Center circle overflow violations - implement team counting logic"),
-        ("position_restriction", "Position restriction violations - improve position detection accuracy"),
-    ]
+    advice = [(k, text) for k, text in VIOLATION_ADVICE.items() if k != "critical"]
     counts = violations.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("severity") == "critical").alias("critical"),
@@ -272,10 +267,10 @@ def violation_recommendations(violations: DataFrame) -> DataFrame:
     lines.append(
         F.when(
             F.col("critical") > F.col("n") * F.lit(0.5),
-            F.lit("High number of critical violations - review rule implementation"),
+            F.lit(VIOLATION_ADVICE["critical"]),
         )
     )
-    none = F.array(F.lit("No zone violations detected - system working correctly"))
+    none = F.array(F.lit(NO_VIOLATIONS))
     return counts.select(
         F.when(F.col("n") == 0, none).otherwise(F.array_compact(F.array(*lines))).alias("recommendations")
     )
