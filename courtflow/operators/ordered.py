@@ -79,7 +79,8 @@ def with_lookback(
         .select(_CHUNK, F.explode("__prev").alias("__p"))
         .select("__p.__r.*", _CHUNK, F.lit(True).alias(_HALO))
     )
-    both = d.withColumn(_HALO, F.lit(False)).unionByName(halo)
+    # partitioned like the rows, so that the union needs no further shuffle
+    both = d.withColumn(_HALO, F.lit(False)).unionByName(halo.repartition(*keys, _CHUNK))
     out = compute(both, in_chunk.orderBy(*order))
     return out.filter(~F.col(_HALO)).drop(_CHUNK, _HALO)
 
