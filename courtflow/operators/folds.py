@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from courtflow.functions import geometry as G
+from courtflow.functions.geometry import BOX
 from courtflow.operators.ordered import CHUNK_FRAMES, add_chunk, running_sum
 from courtflow.session import cut_lineage, scratch_path
 
-# executors get the step functions by value; they need no copy of this package
+# executors get the step functions by value; they need no copy of this package, so
+# those functions name no other module of it
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FRAME = ["match_id", "frame_number"]
@@ -199,7 +201,7 @@ def _tracker(max_age: int, threshold: float):
     def step(rows, state):
         tracks = [[list(box), age, ["slot", i]] for i, (box, age) in enumerate(state or [])]
         out = []
-        for frame, group in _by_frame(rows, ["det_no", *G.BOX]):
+        for frame, group in _by_frame(rows, ["det_no", *BOX]):
             for t in tracks:
                 t[1] += 1
             free, opened = list(tracks), []
@@ -231,7 +233,7 @@ def iou_tracker(
 ) -> DataFrame:
     """Track ids (from 1 in order of appearance) by greedy overlap; a track ends
     after ``max_age`` processed frames unseen. Frames are those with detections."""
-    d = detections.select(*FRAME, "det_no", *G.BOX)
+    d = detections.select(*FRAME, "det_no", *BOX)
     schema = "frame_number long, det_no long, slot long, root_frame long, root_no long"
     out, notes = chunked_fold(d, ["match_id"], ["frame_number", "det_no"], _tracker(max_age, threshold), schema, size)
 
@@ -264,8 +266,8 @@ def match_tracks(detections: DataFrame, tracks: DataFrame, threshold: float = 0.
     """Detections with the track box of their frame that overlaps most (at least
     ``threshold``); several detections may share a track. ``tracks``: match_id,
     frame_number, track_id and box."""
-    t = tracks.select(*FRAME, "track_id", *[F.col(c).alias("t_" + c) for c in G.BOX])
-    near = detections.select(*FRAME, "det_no", *G.BOX).join(t, FRAME)
+    t = tracks.select(*FRAME, "track_id", *[F.col(c).alias("t_" + c) for c in BOX])
+    near = detections.select(*FRAME, "det_no", *BOX).join(t, FRAME)
     near = near.withColumn("iou", G.iou(G.box(), G.box("t_"))).filter((F.col("iou") >= threshold) & (F.col("iou") > 0))
     best = near.groupBy(*FRAME, "det_no").agg(
         F.max_by(F.struct("track_id", "iou"), F.struct("iou", -F.col("track_id"))).alias("b")
@@ -285,7 +287,7 @@ def _stabiliser(p: dict):
         # history entries: box, confidence, frames seen, stability, first frame, first det_no
         history = state or []
         out = []
-        for frame, group in _by_frame(rows, [*G.BOX, "confidence", "det_no"]):
+        for frame, group in _by_frame(rows, [*BOX, "confidence", "det_no"]):
             seen = [([a, b, c, d], conf, no) for a, b, c, d, conf, no in group if conf >= p["min_confidence"]]
             taken, matched, fresh = set(), [], []
             for box, conf, no in seen:
@@ -319,7 +321,7 @@ def _stabiliser(p: dict):
                 history.append(new)
                 kept = new[3] >= 0.5 or new[2] < p["min_frames"]
                 out.append((frame, no, *new[0], new[1], new[2], new[3], new[4], new[5], kept))
-        cols = ["frame_number", "det_no", *G.BOX, "confidence", "frames_seen", "stability", "first_frame", "first_no", "kept"]
+        cols = ["frame_number", "det_no", *BOX, "confidence", "frames_seen", "stability", "first_frame", "first_no", "kept"]
         return pd.DataFrame(out, columns=cols), history, None
 
     return step
@@ -339,7 +341,7 @@ def stabilize_bboxes(
     enough to report. A detection is known by the one that opened its history."""
     p = {"iou": iou, "min_confidence": min_confidence, "min_frames": min_frames, "min_motion": min_motion,
          "max_growth": max_growth, "alpha": alpha}
-    d = detections.select(*FRAME, "class_name", "det_no", *G.BOX, "confidence")
+    d = detections.select(*FRAME, "class_name", "det_no", *BOX, "confidence")
     schema = (
         "frame_number long, det_no long, x1 double, y1 double, x2 double, y2 double, confidence double, "
         "frames_seen long, stability double, first_frame long, first_no long, kept boolean"
@@ -500,11 +502,11 @@ def nms(detections: DataFrame, thresholds: dict[str, float] | None = None, defau
     limit = F.lit(default)
     for c, t in (thresholds or {}).items():
         limit = F.when(F.col("class_name") == c, F.lit(t)).otherwise(limit)
-    item = F.struct(-F.col("confidence"), F.col("det_no"), *[F.col(c) for c in G.BOX])
+    item = F.struct(-F.col("confidence"), F.col("det_no"), *[F.col(c) for c in BOX])
     d = detections.filter(F.col("confidence") > min_score)
     d = d.groupBy(*FRAME, "class_name").agg(F.array_sort(F.collect_list(item)).alias("boxes"))
     d = d.withColumn("limit", limit)
-    box = lambda v: tuple(v[c] for c in G.BOX)
+    box = lambda v: tuple(v[c] for c in BOX)
     keep = F.aggregate(
         "boxes",
         F.slice("boxes", 1, 0),
@@ -513,7 +515,7 @@ def nms(detections: DataFrame, thresholds: dict[str, float] | None = None, defau
         ),
     )
     d = d.select(*FRAME, "class_name", F.explode(keep).alias("k"))
-    return d.select(*FRAME, "class_name", "k.det_no", *[F.col(f"k.{c}").alias(c) for c in G.BOX])
+    return d.select(*FRAME, "class_name", "k.det_no", *[F.col(f"k.{c}").alias(c) for c in BOX])
 
 
 def _covers(a, b) -> float:
@@ -526,7 +528,7 @@ def _shrink(pdf):
     out = []
     pdf = pdf.sort_values(["frame_number", "det_no"], kind="stable")
     match = pdf["match_id"].iloc[0]
-    for frame, group in _by_frame(pdf, ["det_no", *G.BOX]):
+    for frame, group in _by_frame(pdf, ["det_no", *BOX]):
         boxes = [list(box) for _, *box in group]
         widths = sorted(b[2] - b[0] for b in boxes)
         n = len(widths)
@@ -538,13 +540,13 @@ def _shrink(pdf):
             if changed:
                 boxes[i] = [b[0] + width * 0.20, b[1] + height * 0.10, b[2] - width * 0.20, b[3] - height * 0.10]
             out.append((match, frame, group[i][0], *boxes[i], changed))
-    return pd.DataFrame(out, columns=[*FRAME, "det_no", *G.BOX, "shrunk"])
+    return pd.DataFrame(out, columns=[*FRAME, "det_no", *BOX, "shrunk"])
 
 
 def shrink_oversized_players(players: DataFrame, size: int = CHUNK_FRAMES) -> DataFrame:
     """Player boxes that are too wide or cover two others are shrunk, one after the
     other, each seeing the boxes already shrunk. Frames are independent; a task gets
     the frames of one chunk."""
-    d = add_chunk(players.select(*FRAME, "det_no", *G.BOX), "frame_number", min(size, 1024))
+    d = add_chunk(players.select(*FRAME, "det_no", *BOX), "frame_number", min(size, 1024))
     schema = "match_id long, frame_number long, det_no long, x1 double, y1 double, x2 double, y2 double, shrunk boolean"
     return d.groupBy("match_id", _CHUNK).applyInPandas(lambda pdf: _shrink(pdf), schema)
