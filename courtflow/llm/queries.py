@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from courtflow.llm import mixing, url_filter, warc  # noqa: F401
+from courtflow.llm import fingerprint, mixing, quality, toxicity, url_filter, warc  # noqa: F401
 from courtflow.llm.common import CHECKS, QUERIES  # noqa: F401
