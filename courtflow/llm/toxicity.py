@@ -91,7 +91,7 @@ class NoisyOr:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
 
     def fit(
-        self, docs: list[list[set[str]]], labels: Iterable[int], least: float = 0.002, l1: float = 3e-4, steps: int = 300, rate: float = 0.1
+        self, docs: list[list[set[str]]], labels: Iterable[int], least: float = 0.005, l1: float = 3e-4, steps: int = 300, rate: float = 0.1
     ) -> NoisyOr:
         """Learn from documents given as sentences given as features."""
         keep = [(d, y) for d, y in zip(docs, labels) if d]
@@ -99,7 +99,7 @@ class NoisyOr:
         if not keep or y.min() == y.max():
             return self
         spread = Counter(f for d, _ in keep for f in set().union(*d))
-        known = sorted(f for f, n in spread.items() if n >= max(3, least * len(keep)))
+        known = sorted(f for f, n in spread.items() if n >= max(5, least * len(keep)))
         if not known:
             return self
         index = {f: i for i, f in enumerate(known)}
