@@ -122,6 +122,24 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return each.orderBy("position", mixed.columns[0], "k2")
 
 
+def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+    """``docs`` as often as the mix reads them, range-sorted by training position; same columns.
+
+    A document whose last pass is cut by the end of its source's target is read whole then.
+    Rows of equal id and text are one document here, read as often as all of them together.
+    """
+    mixed = mix(docs, id_column=id_column, **options)
+
+    def key(first, second):
+        return F.md5(F.concat(F.coalesce(first.cast("string"), F.lit("")), F.lit(" "), second))
+
+    each = mixed.select("*", F.inline("passes")).select(key(F.col(id_column), F.col("k2")).alias("__key"), "position")
+    each = each.groupBy("__key").agg(F.collect_list("position").alias("__positions"))  # cap x copies of a row
+    keyed = docs.select("*", key(F.col(id_column), F.md5(text_of(docs))).alias("__key")).dropDuplicates(["__key"])
+    read = keyed.join(each, "__key").select(*docs.columns, "__key", F.explode("__positions").alias("__position"))
+    return read.orderBy("__position", "__key").select(*docs.columns)
+
+
 SQL = r"""WITH b AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
   md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k1, md5(coalesce(text, '')) AS k2 FROM documents),
 s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size, ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM b GROUP BY source),

@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from courtflow.llm import fingerprint, mixing, pii, quality, topk, toxicity, url_filter, warc  # noqa: F401
+from courtflow.llm import bpe, fingerprint, jaccard_join, mixing, pii, quality, topk, toxicity, url_filter, warc  # noqa: F401
 from courtflow.llm.common import CHECKS, QUERIES  # noqa: F401
