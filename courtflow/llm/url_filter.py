@@ -82,10 +82,9 @@ class Automaton:
             elif ord(e[-1]) < OTHER:
                 self.fits[ord(e[-1])] |= row
         for place, e in loops:
-            row = self._row([place])
-            self.stays |= row
-            if e == "*":
-                self.stays[ord("/")] &= ~row
+            fitting = np.ones(OTHER + 1, bool)
+            fitting[ord("/")] = e == "**"
+            self.stays[fitting] |= self._row([place])
 
     def _row(self, bits: Sequence[int]) -> np.ndarray:
         row = np.zeros(self.words, np.uint64)
