@@ -15,8 +15,9 @@ within 1/4 are linked.
 * Regions join recursively. First each document is compared with the leader (smallest id) of the
   region that it shares with it most often; linked ones become one class. Regions with one
   class are done. The others, equal regions once, are cut into blocks, and every pair of blocks is
-  searched apart: pairs of different classes whose sizes and bucket counts (the L1 distance
-  of 128 counts is at most the symmetric difference) still allow a link are verified exactly.
+  searched apart: pairs of different classes whose sizes, differences up to the pivot, and
+  bucket counts (the L1 distance of 128 counts is at most the symmetric difference) still allow
+  a link are verified exactly.
 
 Nothing is capped: a region of any size is split into blocks of bounded size, and what is left
 out is only what the bounds prove to be unlinked or what is in one class already.
@@ -78,6 +79,12 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(common) and 100 * common >= 75 * (len(a) + len(b) - common)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _texts(docs: DataFrame, id_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("node"), text_of(docs).alias("text"))
 
@@ -86,7 +93,7 @@ def set_sizes(texts: DataFrame) -> DataFrame:
     """node, n and the digest of the set, per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             digests = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], ["node", "n", "digest"])
@@ -100,7 +107,7 @@ def common_shingles(texts: DataFrame, rows: int, sample_rows: int, least: int) -
     picked = texts.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 20)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             values, counts = np.unique(np.concatenate(sets), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "c"])
@@ -111,7 +118,8 @@ def common_shingles(texts: DataFrame, rows: int, sample_rows: int, least: int) -
 
 
 def region_rows(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(pivot, node): each document in the regions of its first pivots."""
+    """(pivot, node, n, place): each document in the regions of its first pivots, with the size of
+    its set and the pivot's place in it."""
     shipped = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +127,8 @@ def region_rows(texts: DataFrame, common: np.ndarray) -> DataFrame:
         by_hash = np.argsort(order)
         ascending = order[by_hash]
         seen: set[bytes] = set()
-        for batch in batches:
-            pivots, nodes = [], []
+        for batch in _slices(batches):
+            pivots, nodes, sizes, places = [], [], [], []
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
                 own = shingles(text)
                 if not len(own) or node is None:
@@ -138,12 +146,29 @@ def region_rows(texts: DataFrame, common: np.ndarray) -> DataFrame:
                     hot = ascending[at] == own
                     place = by_hash[at[hot]]
                     own = np.concatenate([own[~hot], own[hot][np.argsort(place)]])
-                pivots.append(own[:need])
+                pivots.append(own[:need].view(np.int64))
                 nodes.append(np.full(need, node, np.int64))
+                sizes.append(np.full(need, len(own), np.int32))
+                places.append(np.arange(need, dtype=np.int32))
             if pivots:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pivots).view(np.int64)), pa.array(np.concatenate(nodes))], ["pivot", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (pivots, nodes, sizes, places)], ["pivot", "node", "n", "place"])
+
+    return texts.mapInArrow(run, "pivot long, node long, n int, place int")
+
 
-    return texts.mapInArrow(run, "pivot long, node long")
+def leader_pairs(alive: DataFrame) -> DataFrame:
+    """(x, y): each document and the leader of the regions that it shares with it most often.
+
+    Up to their last common pivot, at places i and j of the two, both sets are known: they differ
+    there in i + 1 + j + 1 less twice the number c of common pivots. Pairs whose difference
+    there is more than a link allows, a seventh of both sizes, are left out.
+    """
+    met = alive.filter("node <> leader").groupBy("node", "leader").agg(
+        F.count(F.lit(1)).alias("c"), F.max("place").alias("i"), F.max("leader_place").alias("j"), F.max("n").alias("n"), F.max("leader_n").alias("m")
+    )
+    may = (4 * F.least("n", "m") >= 3 * F.greatest("n", "m")) & (7 * (F.col("i") + F.col("j") + 2 - 2 * F.col("c")) <= F.col("n") + F.col("m"))
+    best = met.filter(may).groupBy("node").agg(F.max(F.struct("c", (-F.col("leader")).alias("l"))).alias("m"))
+    return best.select(F.col("node").alias("x"), (-F.col("m.l")).alias("y"))
 
 
 def _hash_word(node: Column) -> tuple[Column, Column]:
@@ -174,24 +199,23 @@ def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, s): the set, as bytes, of (at least) the nodes wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingles(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["node", "s"])
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingles(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["node", "s"])
 
     return _wanted(texts, nodes).mapInArrow(run, "node long, s binary")
 
 
 def _counts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, counts): set size and its 128 bucket counts."""
+    """(node, counts): the set's 128 bucket counts, up to 255, which brings two sets no further apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            counts = [np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS).astype(np.int32).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary())], ["node", "n", "counts"])
+            counts = [np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS) for s in sets]
+            packed = [np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "counts"])
 
-    return _wanted(texts, nodes).mapInArrow(run, "node long, n long, counts binary")
+    return _wanted(texts, nodes).mapInArrow(run, "node long, counts binary")
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -202,7 +226,7 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     two = one.join(sets.select(F.col("node").alias("y"), F.col("s").alias("b")), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             keep = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("x"), kept.column("y")], ["x", "y"])
@@ -210,70 +234,119 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return two.select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
 
 
-def block_pairs(nodes: np.ndarray, n: np.ndarray, labels: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of a left and a right row, of different classes, whose sizes and counts allow a link."""
+def block_pairs(nodes, n, alone, labels, counts, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of a left and a right row, of different classes, whose sizes, differences up to the
+    pivot and bucket counts allow a link."""
     for i in left:
         others = right if left is not right else right[right > i]
         small, large = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
-        others = others[(labels[others] != labels[i]) & (4 * small >= 3 * large)]
+        fits = (labels[others] != labels[i]) & (4 * small >= 3 * large) & (7 * (alone[others] + alone[i]) <= n[others] + n[i])
+        others = others[fits]
         if len(others):
-            apart = np.abs(counts[others] - counts[i]).sum(axis=1)
-            for j in others[7 * apart <= n[others] + n[i]]:
-                yield (int(nodes[i]), int(nodes[j])) if nodes[i] < nodes[j] else (int(nodes[j]), int(nodes[i]))
+            others = others[7 * np.abs(counts[others] - counts[i]).sum(axis=1, dtype=np.int64) <= n[others] + n[i]]
+        for j in others:
+            yield (int(nodes[i]), int(nodes[j])) if nodes[i] < nodes[j] else (int(nodes[j]), int(nodes[i]))
 
 
 def open_pairs(texts: DataFrame, alive: DataFrame, labels: DataFrame, block_rows: int) -> DataFrame:
-    """(x, y) pairs of different classes that meet in a region and may be linked."""
-    rows = alive.select("pivot", "node").join(labels, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("label"))
+    """(x, y) pairs of different classes that meet in a region and may be linked.
+
+    ``alone`` counts the pivots of a document before the one of the region that no other
+    document has among its own: the other document of a linked pair lacks them all.
+    """
+    order = Window.partitionBy("node").orderBy("place")
+    rows = alive.select("pivot", "node", "n", "place", (F.col("place") + 1 - F.dense_rank().over(order)).alias("alone"))
+    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     rows = cut_lineage(rows, "jaccard-regions")
     regions = rows.groupBy("pivot").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("sig"), F.sum(F.xxhash64("node", F.lit(2)).cast("decimal(38,0)")).alias("sig2")
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.sum("place").alias("places"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("sig"), F.sum(F.xxhash64("node", F.lit(2)).cast("decimal(38,0)")).alias("sig2"),
     ).filter("low <> high")
-    regions = regions.groupBy("members", "sig", "sig2").agg(F.min("pivot").alias("pivot"))  # equal regions once
+    # of regions with equal members one is enough: the last in the order, where most is known
+    regions = regions.groupBy("members", "sig", "sig2").agg(F.max(F.struct("places", "pivot"))["pivot"].alias("pivot"))
     blocks = F.ceil(F.col("members") / F.lit(block_rows)).cast("int")
     held = cut_lineage(rows.join(regions.select("pivot", blocks.alias("blocks")), "pivot"), "jaccard-open")
-    total = held.count()
-    counted = held.join(_counts(texts, held.select("node")), "node")
+    counts = _counts(texts, held.select("node"))
+    groups = max(1, -(-held.count() // (16 * block_rows)))
     own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    counted = counted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    counted = counted.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    groups = max(1, -(-total // (4 * block_rows)))
-    counted = counted.withColumn("task", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups)))
+    held = held.join(counts, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    held = held.withColumn("task", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups))).select("task", "pivot", "i", "j", "own", "node", "n", "alone", "label", "counts")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("pivot", "ascending"), ("i", "ascending"), ("j", "ascending"), ("own", "ascending")])
         key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("pivot", "i", "j")])
         starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if rows.num_rows else np.zeros(0, np.int64)
-        nodes, n, labels, own = (rows.column(c).to_numpy() for c in ("node", "n", "label", "own"))
-        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int32).reshape(-1, BUCKETS)
+        nodes, n, alone, labels, own = (rows.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "alone", "label", "own"))
+        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
         found = set()
         for a, b in zip(starts, np.append(starts[1:], rows.num_rows)):
-            members = np.arange(a, b)
-            i, j = key[1, a], key[2, a]
-            left, right = (members, members) if i == j else (members[own[a:b] == i], members[own[a:b] == j])
-            found.update(block_pairs(nodes, n, labels, counts, left, left if i == j else right))
+            members, i, j = np.arange(a, b), key[1, a], key[2, a]
+            left = members if i == j else members[own[a:b] == i]
+            found.update(block_pairs(nodes, n, alone, labels, counts, left, left if i == j else members[own[a:b] == j]))
         x, y = zip(*sorted(found)) if found else ((), ())
         return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
-    return counted.groupBy("task").applyInArrow(run, "x long, y long").distinct()
+    return held.groupBy("task").applyInArrow(run, "x long, y long").distinct()
+
+
+def packed_counts(own: np.ndarray) -> bytes:
+    """Bucket counts with a bucket to every four shingles or fewer, a power of two."""
+    bits = max(7, int(np.ceil(np.log2(max(len(own), 1) / 4)))) if len(own) > 4 else 7
+    return np.minimum(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference from two packed counts; the finer one is folded."""
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int32) for c in (a, b))
+    while len(x) > len(y):
+        x = x.reshape(-1, 2).sum(axis=1)
+    while len(y) > len(x):
+        y = y.reshape(-1, 2).sum(axis=1)
+    return int(np.abs(x - y).sum())
+
+
+def near_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of (x, y) pairs, those whose finer bucket counts still allow a link: these take a
+    thirtieth of the sets' bytes and settle most pairs of long documents."""
+    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            columns = [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed_counts(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "counts"])
+
+    counts = cut_lineage(_wanted(texts, nodes).mapInArrow(pack, "node long, n long, counts binary"), "jaccard-counts")
+    one = pairs.join(counts.select(F.col("node").alias("x"), F.col("n").alias("m"), F.col("counts").alias("a")), "x")
+    two = one.join(counts.select(F.col("node").alias("y"), "n", F.col("counts").alias("b")), "y").select("x", "y", "m", "n", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            keep = [7 * apart(r["a"], r["b"]) <= r["m"] + r["n"] for r in batch.to_pylist()]
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column("x"), kept.column("y")], ["x", "y"])
+
+    return two.mapInArrow(run, "x long, y long").distinct()
 
 
-def join_links(docs: DataFrame, sizes: DataFrame, id_column: str = "doc_id", sample_rows: int = 4000, least: int = 4, block_rows: int = 512) -> DataFrame:
+def join_links(docs: DataFrame, sizes: DataFrame, id_column: str = "doc_id", sample_rows: int = 8000, least: int = 3, block_rows: int = 2048) -> DataFrame:
     """(x, y) links that connect all linked documents; ``sizes`` as from ``set_sizes``."""
     texts = _texts(docs, id_column)
     common = common_shingles(texts, sizes.count(), sample_rows, least)
     region = Window.partitionBy("pivot")
-    alive = region_rows(texts, common).select("pivot", "node", F.min("node").over(region).alias("leader"), F.max("node").over(region).alias("last"))
-    alive = cut_lineage(alive.filter("leader <> last").drop("last"), "jaccard-alive")
-    often = alive.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
-    leaders = often.groupBy("node").agg(F.max(F.struct("c", (-F.col("leader")).alias("l"))).alias("m")).select(F.col("node").alias("x"), (-F.col("m.l")).alias("y"))
-    leaders = cut_lineage(leaders, "jaccard-leaders")
+    first = F.min(F.struct("node", "n", "place")).over(region)
+    alive = region_rows(texts, common).select("*", first.alias("first"), F.max("node").over(region).alias("last")).filter("first.node <> last")
+    alive = alive.select("pivot", "node", "n", "place", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"), F.col("first.place").alias("leader_place"))
+    alive = cut_lineage(alive, "jaccard-alive")
+    leaders = cut_lineage(leader_pairs(alive), "jaccard-leaders")
     copies = sizes.filter(F.col("digest").isNotNull() & F.col("node").isNotNull())
     firsts = copies.groupBy("digest").agg(F.min("node").alias("y"), F.max("node").alias("z")).filter("y <> z").select("digest", "y")
     equal = copies.join(firsts, "digest").select(F.col("node").alias("x"), "y").filter("x <> y")
     links = cut_lineage(verified(texts, leaders).unionByName(equal), "jaccard-links")
     labels = components(links)
     pairs = cut_lineage(open_pairs(texts, alive, labels, block_rows), "jaccard-pairs")
+    pairs = cut_lineage(near_pairs(texts, pairs), "jaccard-near")
     return links.unionByName(verified(texts, pairs))
 
 
