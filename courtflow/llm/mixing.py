@@ -72,10 +72,10 @@ def source_targets(base: DataFrame, schedules: Sequence[tuple[float, float]] = S
 
 def _position(words, target, start, end):
     """The time at which a source's demand reaches ``words``."""
-    u = F.least(words / target, F.lit(1.0)) * (start + end) / 2
+    u = F.least(F.try_divide(words, target), F.lit(1.0)) * (start + end) / 2
     steep = end - start
     root = F.sqrt(F.greatest(start * start + steep * u * 2, F.lit(0.0)))
-    return F.when(steep == 0, u / start).otherwise((root - start) / steep)
+    return F.when(steep == 0, F.try_divide(u, start)).otherwise(F.try_divide(root - start, steep))
 
 
 def mix(
