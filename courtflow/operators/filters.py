@@ -57,16 +57,13 @@ def filter_numbers(df: DataFrame) -> DataFrame:
 
 
 def filter_ball_reads(df: DataFrame) -> DataFrame:
-    """The looser ball filter of the detection report."""
+    """The looser ball filter of the detection report; its bounds are inclusive."""
     b = G.box()
     return df.filter(
         (F.col("confidence") > 0.3)
-        & (G.width(b) > 10)
-        & (G.width(b) < 100)
-        & (G.height(b) > 10)
-        & (G.height(b) < 100)
-        & (G.aspect_hw(b) > 0.5)
-        & (G.aspect_hw(b) < 2.0)
+        & G.width(b).between(10, 100)
+        & G.height(b).between(10, 100)
+        & G.aspect_wh(b).between(0.5, 2.0)
     )
 
 

@@ -115,9 +115,13 @@ def overflow_violations(players: DataFrame) -> DataFrame:
     crowd = d.groupBy(*FRAME, "team", "zone").agg(F.count(F.lit(1)).alias("n"))
     goal = F.col("zone") != "center_circle"
     over = crowd.filter(F.col("n") > F.when(goal, 2).otherwise(1))
+    over = over.withColumnRenamed("team", "over_team")
+    # players without team crowd a circle too: the team is compared null-safe after the join on the frame
     where = F.when(goal, "goal circle (max 2)").otherwise("center circle (max 1)")
     return (
-        d.join(over, [*FRAME, "team", "zone"])
+        d.join(over, [*FRAME, "zone"])
+        .filter(F.col("team").eqNullSafe(F.col("over_team")))
+        .drop("over_team")
         .withColumn("player_id", _player_id())
         .withColumn("violation_type", F.when(goal, "goal_circle_overflow").otherwise("center_circle_overflow"))
         .withColumn("severity", F.lit("critical"))

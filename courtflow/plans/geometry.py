@@ -225,7 +225,7 @@ def _fn(t):
 
 @query(
     "filter_ball_reads",
-    f"SELECT {K} FROM @detections WHERE class_name='ball' AND confidence > 0.3e0 AND {W} > 10 AND {W} < 100 AND {HT} > 10 AND {HT} < 100 AND {HT}/{W} > 0.5e0 AND {HT}/{W} < 2",
+    f"SELECT {K} FROM @detections WHERE class_name='ball' AND confidence > 0.3e0 AND {W} BETWEEN 10 AND 100 AND {HT} BETWEEN 10 AND 100 AND {W}/{HT} BETWEEN 0.5e0 AND 2e0",
 )
 def _fbr(t):
     return _keys(D.filter_ball_reads(t.balls))

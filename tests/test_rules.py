@@ -269,3 +269,20 @@ def test_pass_edges(spark):
     teams = spark.createDataFrame([(1, 1, "home"), (1, 2, "home"), (1, 8, "away")], "match_id long, player_id long, team string")
     got = [(r.src, r.dst, r.kind) for r in possession.pass_edges(changes, teams, size=4).orderBy("frame_number").collect()]
     assert got == [(1, 2, "pass"), (2, 8, "interception")]
+
+
+def test_ball_read_bounds_are_inclusive(spark):
+    from courtflow.operators.filters import filter_ball_reads
+
+    boxes = [(10.0, 10.0), (100.0, 50.0), (50.0, 100.0), (100.0, 49.0), (9.0, 10.0), (101.0, 60.0)]
+    df = spark.createDataFrame([(0.5, 0.0, 0.0, w, h) for w, h in boxes], "confidence double, x1 double, y1 double, x2 double, y2 double")
+    assert [(r.x2, r.y2) for r in filter_ball_reads(df).collect()] == boxes[:3]
+
+
+def test_overflow_counts_players_without_team(spark):
+    from courtflow.operators.zones import overflow_violations
+
+    rows = [(1, 1, 0.0, i, None, "C", 3.0, 7.6) for i in range(4)]
+    df = spark.createDataFrame(rows, "match_id long, frame_number long, ts_sec double, track_id long, team string, position string, court_x double, court_y double")
+    assert overflow_violations(df).count() == 4
+    assert overflow_violations(df.withColumn("team", F.lit("home"))).count() == 4
