@@ -70,13 +70,13 @@ SIZE = len(statistics(""))
 
 
 def class_moments(labelled: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
-    """Count, sum and sum of outer products per class of (text, label) rows."""
+    """Count, sum and sum of outer products per class of (x, label) rows, x being statistics."""
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {k: [0, np.zeros(SIZE), np.zeros((SIZE, SIZE))] for k in (0, 1)}
         for batch in batches:
             labels = np.array(batch.column("label").to_pylist())
-            x = np.array([statistics(t) for t in batch.column("text").to_pylist()]).reshape(-1, SIZE)
+            x = np.array(batch.column("x").to_pylist(), float).reshape(-1, SIZE)
             for k in (0, 1):
                 own = x[labels == k]
                 sums[k][0] += len(own)
@@ -131,7 +131,13 @@ class Discriminant:
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: int = 3, remainder: int = 1) -> Discriminant:
     known = one_label(labels, column).filter(~held_out("doc_id", modulus, remainder))
-    rows = docs.select("doc_id", text_of(docs).alias("text")).join(known, "doc_id").select("text", "label")
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([statistics(t) for t in texts], dtype=object)
+
+    # statistics before the join: the shuffle then carries a few numbers instead of texts
+    rows = docs.select("doc_id", F.pandas_udf(run, "array<double>")(text_of(docs)).alias("x")).join(known, "doc_id").select("x", "label")
     return Discriminant(class_moments(rows))
 
 
