@@ -24,7 +24,6 @@ table gives no row.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import zlib
 from collections import Counter
@@ -179,33 +178,41 @@ def encode(
     frequent: int = 150_000,
     block_words: int = 100_000,
 ) -> DataFrame:
-    """``keep`` (columns without the text) and ids, an array of ints."""
+    """``keep`` (columns without the text), ids, an array of ints, and raw, the same ids as
+    little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
     known = rank_map(ranks)
     common = [w for w in frequent_words(docs, pattern, sample_rows, frequent) if len(w.encode()) <= FOLD_BYTES]
     common_at = {w: -1 - i for i, w in enumerate(common)}
     size = 500
     byte_ids = [ranks[bytes([b])] for b in range(256)]
-    rows = [(i, [[byte_ids[b] for b in w.encode()] for w in common[i : i + size]]) for i in range(0, len(common), size)]
+    words = pa.array([[byte_ids[b] for b in w.encode()] for w in common], pa.list_(pa.int64()))
+    starts = list(range(0, len(common), size))
+    rows = pa.table(
+        {"at": pa.array(starts, pa.int32()), "words": pa.ListArray.from_arrays(pa.array([*starts, len(common)], pa.int32()), words)}
+    )
     folded = spark.createDataFrame(rows, "at int, words array<array<bigint>>").repartition(8).select("at", encode_words(F.col("words"), known).alias("ids"))
-    common_ids = [ids for row in sorted(folded.collect()) for ids in row["ids"]]
-    shipped = spark.sparkContext.broadcast((common_at, common_ids, ranks))
+    common_ids = folded.toArrow().sort_by("at").column("ids").combine_chunks().flatten()
+    to_blocks = spark.sparkContext.broadcast((common_at, ranks))
+    to_assemble = spark.sparkContext.broadcast(_lists(common_ids))
 
     kept = docs.select(F.struct(*keep).alias("kept"), text_of(docs).alias("text"))
     kept_ddl = kept.schema["kept"].dataType.simpleString()
     # role 0: a document with references to words; role 1: the words of the block that ends here
     rows = kept.mapInArrow(
-        lambda batches: _blocks(batches, shipped.value, pattern, block_words), f"role int, kept {kept_ddl}, refs array<int>, words array<array<bigint>>, others array<array<int>>"
+        lambda batches: _blocks(batches, to_blocks.value, pattern, block_words), f"role int, kept {kept_ddl}, refs array<int>, words array<array<bigint>>, others array<array<int>>"
     ).select("role", "kept", "refs", "others", F.when(F.col("role") == 1, encode_words(F.col("words"), known)).alias("folded"))
-    return rows.mapInArrow(lambda batches: _assemble(batches, shipped.value), f"kept {kept_ddl}, ids array<int>").select("kept.*", "ids")
+    return rows.mapInArrow(lambda batches: _assemble(batches, to_assemble.value), f"kept {kept_ddl}, ids array<int>, raw binary").select("kept.*", "ids", "raw")
 
 
 #: References of one block at most.
 BLOCK_REFS = 4_000_000
+#: Documents that a task holds as Python lists or index arrays at a time.
+PIECE_ROWS = 250
 
 
 def _blocks(batches, shipped, pattern: str, block_words: int) -> Iterator[pa.RecordBatch]:
-    common_at, _, ranks = shipped
+    common_at, ranks = shipped
     find = regex.compile(pattern).findall
     own: dict[str, int] = {}
     byte_ids = [ranks[bytes([b])] for b in range(256)]
@@ -234,7 +241,7 @@ def _blocks(batches, shipped, pattern: str, block_words: int) -> Iterator[pa.Rec
         columns = [pa.array([1], pa.int32()), pa.nulls(1, kind), pa.nulls(1, pa.list_(pa.int32())), pa.array([words], long_lists), pa.array([others], lists)]
         return pa.RecordBatch.from_arrays(columns, ["role", "kept", "refs", "words", "others"])
 
-    for batch in batches:
+    for batch in (b.slice(at, PIECE_ROWS) for b in batches for at in range(0, b.num_rows, PIECE_ROWS)):
         kept, kind = batch.column("kept"), batch.column("kept").type
         done, refs = 0, []
         for text in batch.column("text").to_pylist():
@@ -265,18 +272,16 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _assemble(batches, shipped) -> Iterator[pa.RecordBatch]:
-    _, common, _ = shipped
-    n_common = len(common)
-    flat = [np.array([i for ids in common for i in ids], np.int32)]
-    lengths = [np.array([len(ids) for ids in common], np.int64)]
+    flat, lengths = shipped
+    n_common = len(lengths)
     waiting: list[pa.RecordBatch] = []
 
     def finish(folded, others) -> Iterator[pa.RecordBatch]:
         parts = [_lists(folded), _lists(others)]
-        values = np.concatenate([flat[0], *[p[0] for p in parts]])
-        sizes = np.concatenate([lengths[0], *[p[1] for p in parts]])
+        values = np.concatenate([flat, *[p[0] for p in parts]])
+        sizes = np.concatenate([lengths, *[p[1] for p in parts]])
         starts = np.cumsum(sizes) - sizes
-        for batch in waiting:
+        for batch in (b.slice(at, PIECE_ROWS) for b in waiting for at in range(0, b.num_rows, PIECE_ROWS)):
             refs, counts = _lists(batch.column("refs"))
             refs = refs.astype(np.int64)
             at = np.where(refs < 0, -1 - refs, n_common + refs // 2 + np.where(refs % 2 == 1, len(parts[0][1]), 0))
@@ -285,7 +290,9 @@ def _assemble(batches, shipped) -> Iterator[pa.RecordBatch]:
             ids = values[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - starts[at], n)]
             edges = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]]).astype(np.int32)
             made = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), made], ["kept", "ids"])
+            buffer, cuts = ids.astype("<u4").tobytes(), (4 * edges.astype(np.int64)).tolist()
+            raw = pa.array([buffer[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), made, raw], ["kept", "ids", "raw"])
 
     for batch in batches:
         roles = batch.column("role").to_numpy()
@@ -308,24 +315,12 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table_of_pieces, i)), ""))
 
 
-def ids_digest(ids: Column) -> Column:
-    """SHA-256 (hex) of ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
-            values, counts = _lists(lists)
-            raw, edges = values.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(counts)]) * 4
-            yield pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(edges[:-1], edges[1:])], pa.string())
-
-    return F.arrow_udf(run, "string")(ids)
-
-
 def digests(docs: DataFrame, path: str, pattern: str, keep: list[str], **options) -> DataFrame:
     """``keep``, n_tokens, ids_sha256, decoded_sha256: texts encoded, and decoded again."""
     ranks = read_ranks(path)
     encoded = encode(docs, ranks, pattern, keep, **options)
     return encoded.select(
-        *keep, F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256")
+        *keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2("raw", 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256")
     )
 
 
