@@ -3,8 +3,8 @@
 Merging is done by Spark higher-order functions. A word (a match of the splitting pattern) is an
 array of its bytes' ids, beside the ranks of its neighbouring pairs; a fold merges the pair of
 lowest rank, leftmost first, and looks up only the two pairs that change. The rank map is a
-literal: an array of small maps found by the pair modulo their number, since a lookup in one
-large Spark map walks its keys. Decoding looks every id up in a literal array of pieces and
+literal: an array with two possible places for each pair, since a lookup in a Spark map walks
+its keys. Decoding looks every id up in a literal array of pieces and
 concatenates the binary.
 
 Only distinct words are folded. The most frequent words of a bounded sample (``sample_rows``
@@ -38,10 +38,11 @@ from pyspark.sql import functions as F
 from courtflow.llm.common import query, table, text_of
 
 FOLD_BYTES = 48
-#: Small maps in the literal rank map (a prime number).
-SLOTS = 32_749
-#: Larger than any id, for pairs; larger than any place in a word to be folded.
-PAIR, SHIFT, WIDE = 1 << 20, 64, 64
+#: Larger than any id; ids and ranks packed into one number take these bits.
+PAIR_BITS, RANK_BITS = 20, 17
+PAIR, RANKS = 1 << PAIR_BITS, 1 << RANK_BITS
+#: The rank of pairs that do not merge; longer than any word to be folded, with its ends.
+NO_MERGE, WIDE = RANKS, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,18 +66,42 @@ def merge_splits(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: small maps from a pair of ids, left * PAIR + right, to its rank."""
-    slots: list[list[str]] = [[] for _ in range(SLOTS)]
-    for (left, right), rank in merge_splits(ranks).items():
-        key = left * PAIR + right
-        slots[key % SLOTS].append(f'"{key}":{rank}')
-    return F.from_json(F.lit("[" + ",".join("{" + ",".join(s) + "}" for s in slots) + "]"), "array<map<string,int>>")
+def rank_map(ranks: dict[bytes, int]) -> tuple[Column, int, int]:
+    """The literal rank map and the sizes of its halves.
 
+    A key, left * PAIR + right, is in one of two places: key modulo the first size, or in the
+    second half key modulo the second. An entry is key * RANKS + rank; 0 is a free place.
+    """
+    splits = merge_splits(ranks)
+    first = 2 * len(splits) + 1
+    second = first + 2
+    places = [0] * (first + second)
+    for (left, right), rank in splits.items():
+        entry, at = (left * PAIR + right) * RANKS + rank, -1
+        for _ in range(1000):
+            key = entry // RANKS
+            one, other = key % first, first + key % second
+            at = other if at == one else one
+            entry, places[at] = places[at], entry
+            if not entry:
+                break
+        else:
+            raise ValueError("the rank map has no place for a pair")
+    return F.from_json(F.lit(str(places)), "array<bigint>"), first, second
+
+
+def _rank(known: tuple[Column, int, int], left: Column, right: Column) -> Column:
+    """The rank of a pair of ids, NO_MERGE where it does not merge."""
+    places, first, second = known
+
+    def found(entry: Column, key: Column, other: Column) -> Column:
+        return F.when(F.shiftright(entry, RANK_BITS) == key, entry.bitwiseAND(RANKS - 1)).otherwise(other)
 
-def _rank(known: Column, left: Column, right: Column) -> Column:
-    key = left * PAIR + right
-    return F.get(known, (key % SLOTS).cast("int"))[key.cast("string")]
+    def look(key: Column) -> Column:
+        at_second = _let(F.get(places, (first + key % second).cast("int")), lambda e: found(e, key, F.lit(NO_MERGE)))
+        return _let(F.get(places, (key % first).cast("int")), lambda e: found(e, key, at_second))
+
+    return _let(left * PAIR + right, look)
 
 
 def _let(value: Column, use) -> Column:
@@ -84,33 +109,39 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def encode_words(words: Column, known: Column) -> Column:
+def encode_words(words: Column, known: tuple[Column, int, int]) -> Column:
     """Ids of each word of an array of words, each an array of the ids of its bytes.
 
-    The state of the fold is p, the ids so far, and r, for each pair its rank * SHIFT + its
-    place (null if it does not merge): the least entry is the leftmost pair of lowest rank, and
-    its rank is the id of the merged piece.
+    The state of the fold is one array: each id so far, with the rank of its pair with the next
+    id before it, rank * PAIR + id, between two ends that merge with nothing. The least entry at
+    its first place is the leftmost pair of lowest rank, and its rank is the id of the merged
+    piece; only the entries of this piece and of the one before it change.
     """
-    no_pair = F.array().cast("array<bigint>")
+    end = F.lit(PAIR - 1).cast("long")
+    edge = F.array(F.lit(NO_MERGE * PAIR + PAIR - 1).cast("long"))
+
+    def entry(left: Column, right: Column) -> Column:
+        return _rank(known, left, right) * PAIR + left
 
-    def packed(left: Column, right: Column, place: Column) -> Column:
-        return _rank(known, left, right).cast("long") * SHIFT + place
+    def plain(x: Column) -> Column:
+        return x.bitwiseAND(PAIR - 1)
 
     def step(acc: Column, _: Column) -> Column:
-        return _let(F.array_min(acc["r"]), lambda least: F.when(least.isNull(), acc).otherwise(join(acc["p"], acc["r"], least)))
+        return _let(F.array_min(acc), lambda least: F.when(least >= NO_MERGE * PAIR, acc).otherwise(join(acc, least)))
+
+    def join(acc: Column, least: Column) -> Column:
+        new = F.shiftright(least, PAIR_BITS)
+
+        def at_place(at: Column) -> Column:
+            changed = F.array(entry(plain(F.get(acc, at - 2)), new), entry(new, plain(F.get(acc, at + 1))))
+            return F.concat(F.slice(acc, 1, at - 2), changed, F.slice(acc, at + 2, F.lit(WIDE)))
 
-    def join(p: Column, r: Column, least: Column) -> Column:
-        at, new = (least % SHIFT).cast("int"), F.floor(least / SHIFT)
-        left = F.when(at > 0, F.array(packed(F.get(p, at - 1), new, at - 1))).otherwise(no_pair)
-        right = F.when(at < F.size(r) - 1, F.array(packed(new, F.get(p, at + 2), at))).otherwise(no_pair)
-        later = F.transform(F.slice(r, at + 3, F.lit(WIDE)), lambda x: x - 1)
-        ranks = F.concat(F.slice(r, 1, F.greatest(at - 1, F.lit(0))), left, right, later)
-        return F.struct(F.concat(F.slice(p, 1, at), F.array(new), F.slice(p, at + 3, F.lit(WIDE))).alias("p"), ranks.alias("r"))
+        return _let(F.array_position(acc, least).cast("int"), at_place)
 
     def merged(word: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(word) - 2)
-        pairs = F.transform(places, lambda i: packed(F.get(word, i), F.get(word, i + 1), i))
-        return F.aggregate(places, F.struct(word.alias("p"), pairs.alias("r")), step, lambda acc: acc["p"])
+        entries = F.transform(word, lambda x, i: entry(x, F.coalesce(F.get(word, i + 1), end)))
+        finish = lambda acc: F.transform(F.slice(acc, 2, F.size(acc) - 2), plain)
+        return F.aggregate(F.sequence(F.lit(2), F.size(word)), F.concat(edge, entries, edge), step, finish)
 
     return F.transform(words, lambda w: F.when(F.size(w) > 1, merged(w)).otherwise(w))
 
