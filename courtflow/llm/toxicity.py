@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,7 +91,7 @@ class NoisyOr:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
 
     def fit(
-        self, docs: list[list[set[str]]], labels: Iterable[int], least: float = 0.005, l1: float = 3e-4, steps: int = 300, rate: float = 0.1
+        self, docs: list[list[Collection[str]]], labels: Iterable[int], least: float = 0.005, l1: float = 3e-4, steps: int = 300, rate: float = 0.1
     ) -> NoisyOr:
         """Learn from documents given as sentences given as features."""
         keep = [(d, y) for d, y in zip(docs, labels) if d]
@@ -146,7 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int
     # copies of an id count once, whichever row comes first
     got = rows.mapInArrow(encode, "doc_id long, label int, made array<array<string>>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("made").alias("made"))
     got = got.orderBy("label", "doc_id").toArrow()
-    return NoisyOr().fit([[set(s) for s in d] for d in got.column("made").to_pylist()], got.column("label").to_pylist())
+    names: dict[str, str] = {}  # one string for each feature: documents are made one at a time and share them
+    made = [[tuple(names.setdefault(f, f) for f in s) for s in d.as_py()] for d in got.column("made")]
+    return NoisyOr().fit(made, got.column("label").to_pylist())
 
 
 def with_scores(docs: DataFrame, model: NoisyOr, name: str = "score") -> DataFrame:
