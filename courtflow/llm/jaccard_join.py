@@ -248,6 +248,25 @@ def block_pairs(nodes, n, alone, labels, counts, left: np.ndarray, right: np.nda
             yield (int(nodes[i]), int(nodes[j])) if nodes[i] < nodes[j] else (int(nodes[j]), int(nodes[i]))
 
 
+#: What a task of the search is known by.
+TASK = ["task", "wide", "i", "j"]
+
+
+def block_tasks(held: DataFrame, block_rows: int) -> DataFrame:
+    """Members of the open regions, each once for every pair of blocks that it is in, with ``TASK``.
+
+    A pair of blocks of a region of more than one is a task of its own: some two blocks' rows,
+    however large the region. Regions of one block share tasks of some 16 blocks' rows; they
+    are not expanded, so their members are the rows that these tasks get.
+    """
+    single = F.col("blocks") == 1
+    groups = max(1, -(-held.filter(single).count() // (16 * block_rows)))
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    held = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return held.withColumns({"task": F.when(single, F.pmod(F.xxhash64("pivot"), F.lit(groups))), "wide": F.when(~single, F.col("pivot"))})
+
+
 def open_pairs(texts: DataFrame, alive: DataFrame, labels: DataFrame, block_rows: int) -> DataFrame:
     """(x, y) pairs of different classes that meet in a region and may be linked.
 
@@ -267,11 +286,7 @@ def open_pairs(texts: DataFrame, alive: DataFrame, labels: DataFrame, block_rows
     blocks = F.ceil(F.col("members") / F.lit(block_rows)).cast("int")
     held = cut_lineage(rows.join(regions.select("pivot", blocks.alias("blocks")), "pivot"), "jaccard-open")
     counts = _counts(texts, held.select("node"))
-    groups = max(1, -(-held.count() // (16 * block_rows)))
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    held = held.join(counts, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    held = held.withColumn("task", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups))).select("task", "pivot", "i", "j", "own", "node", "n", "alone", "label", "counts")
+    held = block_tasks(held, block_rows).join(counts, "node").select(*TASK, "pivot", "own", "node", "n", "alone", "label", "counts")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("pivot", "ascending"), ("i", "ascending"), ("j", "ascending"), ("own", "ascending")])
@@ -287,7 +302,7 @@ def open_pairs(texts: DataFrame, alive: DataFrame, labels: DataFrame, block_rows
         x, y = zip(*sorted(found)) if found else ((), ())
         return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
-    return held.groupBy("task").applyInArrow(run, "x long, y long").distinct()
+    return held.groupBy(*TASK).applyInArrow(run, "x long, y long").distinct()
 
 
 def packed_counts(own: np.ndarray) -> bytes:

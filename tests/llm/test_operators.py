@@ -123,6 +123,18 @@ def test_near_copies_brute_force(spark, options):
     assert got == brute_components(rows)
 
 
+def test_region_of_any_size_has_bounded_tasks(spark):
+    """A region of 400 is expanded to 50 rows a member; no task may get more than its two blocks."""
+    rows = [(1, i, 50) for i in range(400)] + [(2 + i // 4, 1000 + i, 1) for i in range(400)]
+    held = spark.createDataFrame(rows, "pivot long, node long, blocks int")
+    tasks = jaccard_join.block_tasks(held, 8).groupBy(*jaccard_join.TASK).agg(F.count(F.lit(1)).alias("n"), F.collect_set("node").alias("nodes"), F.collect_set("pivot").alias("p")).collect()
+    assert sum(t.n for t in tasks) == 400 * 50 + 400
+    assert max(t.n for t in tasks if t.wide is not None) <= 2 * 3 * 8  # blocks are hashed: up to three times their mean
+    assert len([t for t in tasks if t.wide is None]) <= 4 and max(t.n for t in tasks if t.wide is None) <= 3 * 16 * 8
+    met = {(a, b) for t in tasks if t.wide is not None for a in t.nodes for b in t.nodes}
+    assert len(met) == 400 * 400
+
+
 def test_near_copies_edges(docs, empty):
     got = {r.doc_id: r.component_id for r in jaccard_join.near_copies(docs).collect()}
     assert (got[1], got[2], got[4], got[5], got[6], got[None]) == (1, 2, 4, 4, 4, None)
