@@ -26,26 +26,38 @@ from pyspark.sql import functions as F
 CHUNK_FRAMES = 1 << 14
 _CHUNK = "__chunk"
 _HALO = "__halo"
+_NO_FRAME = (1 << 63) - 1
 
 
 def add_chunk(df: DataFrame, order: str, size: int, name: str = _CHUNK) -> DataFrame:
     return df.withColumn(name, F.floor(F.col(order) / F.lit(float(size))).cast("long"))
 
 
-def _chunked(df: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
-    """Rows with their chunk, shuffled so that a chunk sits in one partition.
+def _chunked(df: DataFrame, keys: list[str], order: str, size: int) -> tuple[DataFrame, list[str]]:
+    """Rows with their chunk, shuffled so that a chunk sits in one partition, and the columns
+    that stand for the keys.
 
-    Rows without a key or frame have no place in the order; saying so here keeps
-    the exchange of both readers equal (joins would infer it for one of them).
+    A null key is a group of its own, as in a window, and rows without a frame are a chunk
+    after all others. Equal joins don't match nulls, and null-safe ones would shuffle the rows
+    again, so each key is a filled value and a flag: both readers then share one exchange.
     """
     d = add_chunk(df, order, size)
-    for c in [*keys, order, _CHUNK]:
-        d = d.filter(F.col(c).isNotNull())
-    return d.repartition(*keys, _CHUNK)
+    d = d.withColumn(_CHUNK, F.coalesce(_CHUNK, F.lit(_NO_FRAME)))
+    by = []
+    for k in keys:
+        filled, missing = f"__key_{k}", f"__null_{k}"
+        d = d.withColumns({filled: F.coalesce(k, F.lit(0).cast(df.schema[k].dataType)), missing: F.col(k).isNull()})
+        by += [filled, missing]
+    return d.repartition(*by, _CHUNK), by
 
 
 def _order_struct(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
+    return F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
+
+
+def _sorted(order: Sequence[str], forward: bool = True) -> list[Column]:
+    """Nulls last, or first when read backwards."""
+    return [F.col(c).asc_nulls_last() if forward else F.col(c).desc_nulls_first() for c in order]
 
 
 def with_lookback(
@@ -64,25 +76,25 @@ def with_lookback(
     """
     keys, order = list(keys), list(order)
     columns = df.columns
-    d = _chunked(df, keys, order[0], size)
-    in_chunk = Window.partitionBy(*keys, _CHUNK)
+    d, by = _chunked(df, keys, order[0], size)
+    in_chunk = Window.partitionBy(*by, _CHUNK)
     tail = (
-        d.withColumn("__rn", F.row_number().over(in_chunk.orderBy(*[F.desc(c) for c in order])))
+        d.withColumn("__rn", F.row_number().over(in_chunk.orderBy(*_sorted(order, forward=False))))
         .filter(F.col("__rn") <= rows)
-        .groupBy(*keys, _CHUNK)
+        .groupBy(*by, _CHUNK)
         .agg(F.sort_array(F.collect_list(F.struct(_order_struct(order).alias("__o"), F.struct(*columns).alias("__r")))).alias("__tail"))
     )
-    by_chunk = Window.partitionBy(*keys).orderBy(_CHUNK)
+    by_chunk = Window.partitionBy(*by).orderBy(_CHUNK)
     halo = (
         tail.withColumn("__prev", F.flatten(F.collect_list("__tail").over(by_chunk.rowsBetween(-rows, -1))))
         .withColumn("__prev", F.when(F.size("__prev") > rows, F.slice("__prev", -rows, rows)).otherwise(F.col("__prev")))
-        .select(_CHUNK, F.explode("__prev").alias("__p"))
-        .select("__p.__r.*", _CHUNK, F.lit(True).alias(_HALO))
+        .select(*by, _CHUNK, F.explode("__prev").alias("__p"))
+        .select("__p.__r.*", *by, _CHUNK, F.lit(True).alias(_HALO))
     )
     # partitioned like the rows, so that the union needs no further shuffle
-    both = d.withColumn(_HALO, F.lit(False)).unionByName(halo.repartition(*keys, _CHUNK))
-    out = compute(both, in_chunk.orderBy(*order))
-    return out.filter(~F.col(_HALO)).drop(_CHUNK, _HALO)
+    both = d.withColumn(_HALO, F.lit(False)).unionByName(halo.repartition(*by, _CHUNK))
+    out = compute(both, in_chunk.orderBy(*_sorted(order)))
+    return out.filter(~F.col(_HALO)).drop(*by, _CHUNK, _HALO)
 
 
 def _carry(df, keys, order, values, size, forward, earliest=()):
@@ -91,7 +103,7 @@ def _carry(df, keys, order, values, size, forward, earliest=()):
     Nearest non-null value, or the most distant one for names in ``earliest``.
     """
     keys, order = list(keys), list(order)
-    d = _chunked(df, keys, order[0], size)
+    d, by = _chunked(df, keys, order[0], size)
     row = F.struct(*df.columns).alias("r")
 
     def summarise(name, v):
@@ -102,24 +114,23 @@ def _carry(df, keys, order, values, size, forward, earliest=()):
     def fold(name, c, window):
         return (F.first if name in earliest else F.last)(c, ignorenulls=True).over(window)
 
-    summary = d.groupBy(*keys, _CHUNK).agg(*[summarise(n, v) for n, v in values.items()])
+    summary = d.groupBy(*by, _CHUNK).agg(*[summarise(n, v) for n, v in values.items()])
     sort = F.col(_CHUNK).asc() if forward else F.col(_CHUNK).desc()
-    across = Window.partitionBy(*keys).orderBy(sort).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*by).orderBy(sort).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        *keys, _CHUNK, *[fold(n, F.col(f"__s_{n}.v"), across).alias(f"__c_{n}") for n in values]
+        *by, _CHUNK, *[fold(n, F.col(f"__s_{n}.v"), across).alias(f"__c_{n}") for n in values]
     )
-    ordering = [F.col(c).asc() if forward else F.col(c).desc() for c in order]
     within = (
-        Window.partitionBy(*keys, _CHUNK).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by, _CHUNK).orderBy(*_sorted(order, forward)).rowsBetween(Window.unboundedPreceding, -1)
     )
 
     def combine(name, v):
         here, there = fold(name, v, within), F.col(f"__c_{name}")
         return F.coalesce(there, here) if name in earliest else F.coalesce(here, there)
 
-    out = d.join(carry, [*keys, _CHUNK])
+    out = d.join(carry, [*by, _CHUNK])
     out = out.withColumns({n: combine(n, v) for n, v in values.items()})
-    return out.drop(_CHUNK, *[f"__c_{n}" for n in values])
+    return out.drop(*by, _CHUNK, *[f"__c_{n}" for n in values])
 
 
 def last_before(
@@ -147,16 +158,16 @@ def running_sum(
 ) -> DataFrame:
     """Add ``name`` = sum of ``value`` up to and including this row."""
     keys, order = list(keys), list(order)
-    d = _chunked(df, keys, order[0], size)
-    summary = d.groupBy(*keys, _CHUNK).agg(
+    d, by = _chunked(df, keys, order[0], size)
+    summary = d.groupBy(*by, _CHUNK).agg(
         *[F.sum(v).alias(f"__s_{n}") for n, v in values.items()], F.max(F.struct(*df.columns)).alias("__r")
     )
-    across = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*by).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        *keys, _CHUNK, *[F.coalesce(F.sum(f"__s_{n}").over(across), F.lit(0)).alias(f"__c_{n}") for n in values]
+        *by, _CHUNK, *[F.coalesce(F.sum(f"__s_{n}").over(across), F.lit(0)).alias(f"__c_{n}") for n in values]
     )
-    within = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = d.join(carry, [*keys, _CHUNK]).withColumns(
+    within = Window.partitionBy(*by, _CHUNK).orderBy(*_sorted(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = d.join(carry, [*by, _CHUNK]).withColumns(
         {n: F.coalesce(F.sum(v).over(within), F.lit(0)) + F.col(f"__c_{n}") for n, v in values.items()}
     )
-    return out.drop(_CHUNK, *[f"__c_{n}" for n in values])
+    return out.drop(*by, _CHUNK, *[f"__c_{n}" for n in values])

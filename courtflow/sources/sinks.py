@@ -131,9 +131,9 @@ def calibrated_run_tables(detections: DataFrame, frames: DataFrame, reads: DataF
     smoothed = possession.smooth_possession(possession.tracked_frames(assigned))
     attempts = shooting.new_shot_attempts(balls, players, frames)
     results = shooting.shot_outcome_by_proximity(attempts, balls, hoops)
-    scored = attempts.join(
-        results.select(*FRAME, "player_id", "result"), [*FRAME, "player_id"]
-    ).select(
+    # shooters without track id keep their shot: the ids are compared null-safe after the join on the frame
+    results = results.select(*FRAME, F.col("player_id").alias("of_player"), "result")
+    scored = attempts.join(results, FRAME).filter(F.col("player_id").eqNullSafe(F.col("of_player"))).select(
         "match_id",
         F.col("player_id").alias("shooter_id"),
         "result",

@@ -73,3 +73,20 @@ def test_quantiles(spark, accuracy):
     for g, xs in groups.items():
         for p in probs:
             assert got[g, p] == pytest.approx(np.quantile(xs, p), abs=1e-12), (g, p)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_null_keys_and_frames_keep_their_rows(spark, size):
+    """Null keys are a group of their own and rows without frame come last, as in the SQL checks."""
+    rng = random.Random(9)
+    data = [(m, t, f, rng.choice([None, 1, 2, 3])) for m in (None, 0, 1) for t in (None, 0, 4) for f in [None, *range(-4, 12, 2)]]
+    df = spark.createDataFrame(data, "m long, t long, f long, v long")
+    w = Window.partitionBy("m", "t").orderBy(F.col("f").asc_nulls_last())
+    got = last_before(df, ["m", "t"], ["f"], {"a": F.col("v")}, size)
+    same(got, df.withColumn("a", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    got = next_after(df, ["m", "t"], ["f"], {"a": F.col("v")}, size)
+    same(got, df.withColumn("a", F.first("v", True).over(w.rowsBetween(1, Window.unboundedFollowing))))
+    got = running_sum(df, ["m", "t"], ["f"], {"n": F.lit(1)}, size)
+    same(got, df.withColumn("n", F.count(F.lit(1)).over(w)))
+    steps = lambda d, w: d.withColumn("h", F.collect_list(F.coalesce("v", F.lit(0))).over(w.rowsBetween(-2, 0)))
+    same(with_lookback(df, ["m", "t"], ["f"], 2, steps, size), steps(df, w))
