@@ -199,6 +199,7 @@ def _tracker(max_age: int, threshold: float):
     detection that opened them. So states compare equal whatever the ids are."""
 
     def step(rows, state):
+        rows = rows.astype({"det_no": "float64"})
         tracks = [[list(box), age, ["slot", i]] for i, (box, age) in enumerate(state or [])]
         out = []
         for frame, group in _by_frame(rows, ["det_no", *BOX]):
@@ -206,6 +207,8 @@ def _tracker(max_age: int, threshold: float):
                 t[1] += 1
             free, opened = list(tracks), []
             for no, *box in group:
+                if no != no:  # a frame without detections
+                    continue
                 best, best_iou = None, threshold
                 for t in free:
                     score = _overlap(t[0], box)
@@ -220,7 +223,7 @@ def _tracker(max_age: int, threshold: float):
                 source = best[2]
                 slot = source[1] if source[0] == "slot" else None
                 root = source[1:] if source[0] == "det" else [None, None]
-                out.append((frame, no, slot, *root))
+                out.append((frame, int(no), slot, *root))
             tracks = [t for t in tracks + opened if t[1] <= max_age]
         cols = ["frame_number", "det_no", "slot", "root_frame", "root_no"]
         return pd.DataFrame(out, columns=cols), [[t[0], t[1]] for t in tracks], [t[2] for t in tracks]
@@ -229,11 +232,18 @@ def _tracker(max_age: int, threshold: float):
 
 
 def iou_tracker(
-    detections: DataFrame, max_age: int = 25, threshold: float = 0.3, size: int = CHUNK_FRAMES
+    detections: DataFrame,
+    frames: DataFrame | None = None,
+    max_age: int = 25,
+    threshold: float = 0.3,
+    size: int = CHUNK_FRAMES,
 ) -> DataFrame:
     """Track ids (from 1 in order of appearance) by greedy overlap; a track ends
-    after ``max_age`` processed frames unseen. Frames are those with detections."""
+    after ``max_age`` processed frames unseen. ``frames`` (match_id, frame_number) are
+    the frames processed, with detections or not; without it, those with detections."""
     d = detections.select(*FRAME, "det_no", *BOX)
+    if frames is not None:  # a full join: detections of a frame that is not listed stay
+        d = frames.select(*FRAME).distinct().join(d, FRAME, "full")
     schema = "frame_number long, det_no long, slot long, root_frame long, root_no long"
     out, notes = chunked_fold(d, ["match_id"], ["frame_number", "det_no"], _tracker(max_age, threshold), schema, size)
 

@@ -21,7 +21,7 @@ def _fsm(t):
 
 @query("iou_tracker")
 def _tracker(t):
-    return T.iou_tracker(t.players)
+    return T.iou_tracker(t.players, t.frames)
 
 
 @query("stabilize_bboxes")

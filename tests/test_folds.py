@@ -75,6 +75,16 @@ def test_tracker(spark, size):
     assert max(want.values()) > 5
 
 
+@pytest.mark.parametrize("size", [4, 1000])
+def test_tracks_age_on_frames_without_detections(spark, size):
+    box = "1 AS det_no, 0D AS x1, 0D AS y1, 10D AS x2, 10D AS y2"
+    df = spark.sql(f"SELECT m AS match_id, f AS frame_number, {box} FROM VALUES (0L, 0L), (0L, 25L), (0L, 52L), (1L, 3L), (1L, 29L) t(m, f)")
+    frames = spark.sql("SELECT m AS match_id, f AS frame_number FROM (SELECT explode(array(0L, 1L)) AS m), (SELECT explode(sequence(0L, 60L)) AS f)")
+    got = {(r.match_id, r.frame_number): r.track_id for r in folds.iou_tracker(df, frames, size=size).collect()}
+    # unseen for 24, 26 and 25 frames: gone once the age is above 25
+    assert got == {(0, 0): 1, (0, 25): 1, (0, 52): 2, (1, 3): 1, (1, 29): 1}
+
+
 @pytest.mark.parametrize("size", [10, 1000])
 def test_stabiliser(spark, size):
     df = boxes(spark, 4, drop=0.05)
