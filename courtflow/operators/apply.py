@@ -22,13 +22,21 @@ def apply_per_frame(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], s
 
 
 def apply_per_match(
-    df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, size: int | None = CHUNK_FRAMES
+    df: DataFrame,
+    fn: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+    combine: Callable[[DataFrame], DataFrame] | None,
+    size: int | None = CHUNK_FRAMES,
 ) -> DataFrame:
-    """``fn`` over the rows of a match, a bounded run of ``size`` frames at a time.
-    With ``size=None`` it gets whole matches: only for tables whose matches fit a task."""
+    """``fn`` over the rows of a match, a bounded run of ``size`` frames at a time, and ``combine``
+    over the table of what the runs return, which makes a match's result of them however long
+    the match. With ``size=None`` ``fn`` gets whole matches, and ``combine`` is None: only for
+    tables whose matches fit a task."""
+    if (size is None) != (combine is None):
+        raise ValueError("pieces of matches need a combine function, whole matches have none")
     if size is None:
         return df.groupBy("match_id").applyInPandas(fn, schema)
-    return (
+    return combine(
         add_chunk(df, "frame_number", size)
         .groupBy("match_id", "__chunk")
         .applyInPandas(lambda pdf: fn(pdf.drop(columns="__chunk")), schema)

@@ -139,5 +139,5 @@ def _apply_match(t):
     def count(pdf):
         return pdf.groupby("match_id", as_index=False).agg(rows=("det_no", "size"), total=("det_no", "sum"))
 
-    parts = apply_per_match(t.detections.select("match_id", "frame_number", "det_no"), count, "match_id long, rows long, total long")
-    return parts.groupBy("match_id").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
+    add = lambda parts: parts.groupBy("match_id").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
+    return apply_per_match(t.detections.select("match_id", "frame_number", "det_no"), count, "match_id long, rows long, total long", add)
