@@ -40,7 +40,6 @@ MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:record:"
 BLOCK = 1 << 20
-HEADER_LIMIT = 1 << 16
 
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
@@ -177,7 +176,7 @@ def _inflate(window: Window, place: int) -> tuple[dict[str, str], bytes, int] |
                 head = _headers(seen[:cut])
                 if head is None:
                     return None
-            elif not seen.startswith(b"WARC/1."[: len(seen)]) or len(seen) > HEADER_LIMIT:
+            elif not seen.startswith(b"WARC/1."[: len(seen)]):  # headers are of any length, as URLs are
                 return None
         if unpack.eof:
             if head is None:

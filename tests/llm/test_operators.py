@@ -82,6 +82,13 @@ def test_warc_false_magic_is_skipped():
     assert len(list(warc.scan_range(io.BytesIO(data), len(junk) + 1, len(data)))) == 1
 
 
+def test_warc_header_of_any_length():
+    url = "http://h/" + random.Random(3).randbytes(150_000).hex()
+    record = warc.encode_record("1", url, b"x" * 10, warc.sha1_base32(b"x" * 10), None)
+    (got,) = warc.scan_range(io.BytesIO(record), 0, len(record))
+    assert got[0]["warc-target-uri"] == url and got[1].endswith(b"x" * 10)
+
+
 # -- near copies
 
 
