@@ -12,7 +12,7 @@ within 1/4 are linked.
   by its triangle inequality with the empty set y's region can't lie behind more than
   so many of x's shingles. So x is copied to the regions of its first n - ceil(3n/4) + 1 pivots,
   and two linked documents meet in a region. A region of one document ends here.
-* Regions join recursively. First each document is compared with the leader (smallest id) of the
+* Regions are searched once, without recursion. First each document is compared with the leader (smallest id) of the
   region that it shares with it most often; linked ones become one class. Regions with one
   class are done. The others, equal regions once, are cut into blocks, and every pair of blocks is
   searched apart: pairs of different classes whose sizes, differences up to the pivot, and
