@@ -1,9 +1,12 @@
 """Live operators on streams of frames and host samples.
 
-Late data: rows behind the watermark are dropped by the windowed operators. The
-per-match automata keep the last frame they processed and drop rows at or before
-it; within one trigger rows are put in frame order first. State per match is a few
-values, kept in the state store (RocksDB), so any executor can be lost.
+Late data: rows behind the watermark are dropped by the windowed operators. The per-match
+automata hold rows in state, by second of event time, until the watermark has passed that second,
+and then work through them in frame order, so neither the order of files nor that of rows in a
+trigger matters. A row whose second has been worked through, or without frame or time, comes out
+as a row of its own with ``late`` set. ``drain`` ends a stream with a mark that lets all held
+rows go. State per match is a few values and the rows of the delay, kept in the state store
+(RocksDB), so any executor can be lost.
 """
 
 from __future__ import annotations
@@ -30,47 +33,107 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Event time is held in seconds of this many milliseconds.
+HELD_MS = 1000
+END_OF_TIME = "9999-01-01 00:00:00"
+
+
 class _InOrder(StatefulProcessor):
-    """Feeds a step function with a match's new rows in frame order."""
+    """Feeds a step function with a match's rows in frame order, a second of event time at a time.
+
+    ``waiting`` maps the end of a second to its rows; a timer at that end lets them go. So a task
+    holds one second of a match, whatever a trigger brings.
+    """
 
-    def __init__(self, step, columns):
-        self.step, self.columns = step, columns
+    def __init__(self, step, columns, names):
+        self.step, self.columns, self.names = step, columns, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.memory = handle.getValueState("memory", "value string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        saved = self.memory.get() if self.memory.exists() else None
-        last, state = json.loads(saved[0]) if saved else (None, None)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("frame_number", kind="stable")
-        if last is not None:
-            batch = batch[batch["frame_number"] > last]
-        if len(batch):
-            out, state, _ = self.step(batch, state)
-            self.memory.update((json.dumps([int(batch["frame_number"].iloc[-1]), state]),))
-            if len(out):
-                out["match_id"] = key[0]
-                yield out[self.columns]
+        self.waiting = handle.getMapState("waiting", "second_end long", "rows string")
+
+    def _load(self):
+        return json.loads(self.memory.get()[0]) if self.memory.exists() else (None, None)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        worked_to = self._load()[0]
+        for part in rows:
+            part = part[~part["is_end"]]
+            end = (part["ts_sec"] * 1000 // HELD_MS + 1) * HELD_MS
+            late = part["frame_number"].isna() | end.isna()
+            if worked_to is not None:
+                late |= end <= worked_to
+            if late.any():
+                yield self._out(key, part[late][["frame_number", "ts_sec"]].assign(late=True))
+            for at, group in part[~late].groupby(end[~late].astype("int64")):
+                new = json.loads(group[self.names].to_json(orient="values", double_precision=15))
+                if self.waiting.containsKey((int(at),)):
+                    new = json.loads(self.waiting.getValue((int(at),))[0]) + new
+                else:
+                    self.handle.registerTimer(int(at))
+                self.waiting.updateValue((int(at),), (json.dumps(new),))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.waiting.containsKey((at,)):
+            return
+        _, state = self._load()
+        rows = pd.DataFrame(json.loads(self.waiting.getValue((at,))[0]), columns=self.names)
+        out, state, _ = self.step(rows.sort_values(self.names, kind="stable", ignore_index=True), state)
+        self.waiting.removeKey((at,))
+        self.memory.update((json.dumps([at, state]),))
+        if len(out):
+            yield self._out(key, out.assign(late=False))
+
+    def _out(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(match_id=key[0])
+        missing = {c: pd.Series(None, rows.index, dtype=object) for c in self.columns if c not in rows}
+        return rows.assign(**missing)[self.columns]
 
     def close(self) -> None:
         pass
 
 
-def _stateful(stream: DataFrame, step, schema: str) -> DataFrame:
+def _stateful(stream: DataFrame, step, schema: str, delay: str, ends: DataFrame | None) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    names = stream.columns[1:]
+    d = stream.withColumns({"is_end": F.lit(False), "event_time": F.timestamp_micros((F.col("ts_sec") * 1_000_000).cast("long"))})
+    if ends is not None:
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+        d = d.unionByName(ends.select(*none, F.lit(True).alias("is_end"), "event_time"))
+    # without its time column the operator gets late rows too
+    d = d.withWatermark("event_time", delay).drop("event_time")
     out = T.StructType.fromDDL(schema)
-    return stream.groupBy("match_id").transformWithStateInPandas(
-        statefulProcessor=_InOrder(step, out.names), outputStructType=out, outputMode="append", timeMode="None"
+    return d.groupBy("match_id").transformWithStateInPandas(
+        statefulProcessor=_InOrder(step, out.names, names), outputStructType=out, outputMode="append", timeMode="EventTime"
     )
 
 
-def stream_possession_events(frames: DataFrame, timeout: float = HELD_BALL_SECONDS) -> DataFrame:
-    """Gained / lost / timeout events as frames arrive (columns as in the batch form)."""
+def end_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of end marks, which ``write_end_mark`` puts into ``folder``."""
+    folder_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    folder_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder_path)
+    return spark.readStream.schema("event_time timestamp").parquet(folder)
+
+
+def write_end_mark(spark: SparkSession, folder: str) -> None:
+    """All rows held by a stream with these marks go when it next runs."""
+    spark.sql(f"SELECT TIMESTAMP '{END_OF_TIME}' AS event_time").write.mode("append").parquet(folder)
+
+
+def stream_possession_events(
+    frames: DataFrame, timeout: float = HELD_BALL_SECONDS, delay: str = "10 seconds", ends: DataFrame | None = None
+) -> DataFrame:
+    """Gained / lost / timeout events as frames arrive (columns as in the batch form, and ``late``).
+
+    ``delay``: how far a row may lag behind the latest one; ``ends``: a stream of end marks.
+    """
     d = frames.select("match_id", "frame_number", "ts_sec", F.col("possession_player_id").cast("double"), "team")
     schema = (
-        "match_id long, frame_number long, event_no long, ts_sec double, player_id long, team string, event_type string"
+        "match_id long, frame_number long, event_no long, ts_sec double, player_id long, team string, event_type string, late boolean"
     )
-    return _stateful(d, _fsm(timeout), schema)
+    return _stateful(d, _fsm(timeout), schema, delay, ends)
 
 
 def _held_ball(limit: float, k: int):
@@ -99,18 +162,19 @@ def _held_ball(limit: float, k: int):
 
 
 def stream_three_second_alerts(
-    raw: DataFrame, limit: float = HELD_BALL_SECONDS, k: int = CONFIRM_FRAMES
+    raw: DataFrame, limit: float = HELD_BALL_SECONDS, k: int = CONFIRM_FRAMES, delay: str = "10 seconds", ends: DataFrame | None = None
 ) -> DataFrame:
     """One alert per smoothed possession held too long. ``raw``: match_id,
-    frame_number, ts_sec, raw_player; k >= 2 consecutive frames confirm a change."""
+    frame_number, ts_sec, raw_player; k >= 2 consecutive frames confirm a change.
+    Late rows have ``late`` set and their frame_number and ts_sec."""
     if k < 2:
         raise ValueError("confirmation needs at least two frames")
     d = raw.select("match_id", "frame_number", "ts_sec", F.col("raw_player").cast("double"))
     schema = (
         "match_id long, player_id long, start_frame long, violation_frame long, start_timestamp double, "
-        "violation_timestamp double, duration_seconds double, excess_seconds double"
+        "violation_timestamp double, duration_seconds double, excess_seconds double, frame_number long, ts_sec double, late boolean"
     )
-    return _stateful(d, _held_ball(limit, k), schema)
+    return _stateful(d, _held_ball(limit, k), schema, delay, ends)
 
 
 def stream_metric_windows(
@@ -169,9 +233,13 @@ def for_each_batch(stream: DataFrame, handle, checkpoint: str, trigger: dict | N
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run the stream over all that is available and return what it wrote."""
+def drain(stream: DataFrame, label: str, ends: str | None = None) -> DataFrame:
+    """Run the stream over all that is available and return what it wrote. With the folder of its
+    end marks it then gets one and runs on, so that nothing stays held."""
     spark: SparkSession = stream.sparkSession
     path = scratch_path(spark, label)
     append_to(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    if ends is not None:
+        write_end_mark(spark, ends)
+        append_to(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
