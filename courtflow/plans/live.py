@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from courtflow.operators.apply import apply_per_frame, apply_per_match, stages
-from courtflow.plans.possession import LABELS, TIMES, V_SELECT, VIOLATIONS
+from courtflow.plans.possession import LABELS, TIMES, V_SELECT, VIOLATIONS, fsm_sql
 from courtflow.plans.registry import query, shown
 from courtflow.plans.zones import ZONED
 from courtflow.session import scratch_path
@@ -50,15 +50,53 @@ def metrics(t):
     )
 
 
-@query("stream_possession_events")
+def drained(t, label, make):
+    """A stream run to its end, with an end mark after all rows."""
+    ends = scratch_path(t.spark, "ends")
+    return L.drain(make(L.end_marks(t.spark, ends)), label, ends)
+
+
+def held(d):
+    team = F.when(F.col("raw_player") == 1, "home").otherwise("away")
+    return d.withColumn("team", team).withColumnRenamed("raw_player", "possession_player_id")
+
+
+EVENT = ["match_id", "frame_number", "ts_sec", "player_id", "team", "event_type"]
+HELD = "SELECT match_id, frame_number, ts_sec, raw_player AS holder, CASE WHEN raw_player = 1 THEN 'home' ELSE 'away' END AS team FROM @possession_raw"
+
+
+@query("stream_possession_events", f"WITH RECURSIVE bf AS ({HELD}), " + fsm_sql("bf") + " SELECT * FROM fsm")
 def _events(t):
-    d = raw_labels(t).withColumn("team", F.when(F.col("raw_player") == 1, "home").otherwise("away"))
-    return L.drain(L.stream_possession_events(d.withColumnRenamed("raw_player", "possession_player_id")), "possession")
+    d = held(raw_labels(t))
+    return drained(t, "possession", lambda ends: L.stream_possession_events(d, ends=ends, span_ms=60_000)).filter("NOT late").select(EVENT)
+
+
+@query(
+    "stream_late_frames",
+    f"""WITH RECURSIVE h AS ({HELD}), cut AS (SELECT CAST(MAX(frame_number) * 8 // 10 AS BIGINT) AS border, MAX(frame_number) // 30 - 10 AS passed FROM h),
+late AS (SELECT h.* FROM h, cut WHERE frame_number % 50 = 7 AND frame_number < border AND frame_number // 300 * 10 + 10 <= passed),
+bf AS (SELECT * FROM h WHERE (match_id, frame_number) NOT IN (SELECT match_id, frame_number FROM late)), """
+    + fsm_sql("bf")
+    + """ SELECT match_id, frame_number, event_type AS kind FROM fsm UNION ALL SELECT match_id, frame_number, 'late' FROM late""",
+)
+def _late(t):
+    """Three files: four fifths of the frames without every fiftieth, the last fifth, and then the ones left
+    out, which the watermark has passed by then."""
+    d = held(t.possession_raw.drop("raw_confidence"))
+    at = int(t.possession_raw.agg(F.max("frame_number")).first()[0]) * 8 // 10
+    early, odd = F.col("frame_number") < at, F.col("frame_number") % 50 == 7
+    folder = scratch_path(t.spark, "late")
+    for part in (early & ~odd, ~early, early & odd):
+        d.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    files = t.spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = drained(t, "late", lambda ends: L.stream_possession_events(files, delay="10 seconds", ends=ends))
+    return out.select("match_id", "frame_number", F.when(F.col("late"), "late").otherwise(F.col("event_type")).alias("kind"))
 
 
 @query("stream_three_second_alerts", LABELS + VIOLATIONS + V_SELECT)
 def _alerts(t):
-    return shown(L.drain(L.stream_three_second_alerts(raw_labels(t)), "held"), *TIMES)
+    d = drained(t, "held", lambda ends: L.stream_three_second_alerts(raw_labels(t), ends=ends, span_ms=60_000)).filter("NOT late")
+    return shown(d.drop("frame_number", "ts_sec", "late"), *TIMES)
 
 
 @query(

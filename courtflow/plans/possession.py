@@ -53,6 +53,31 @@ pc AS (SELECT ep.match_id, player_id, start_frame, coalesce(LEAD(start_frame) OV
 """
 
 
+def fsm_sql(source: str, timeout: float = 3.0) -> str:
+    """The possession automaton frame by frame, to be put after other tables of a WITH RECURSIVE.
+    ``source``: match_id, frame_number, ts_sec, holder (null or 0: nobody), team."""
+    has = "(n.holder IS NOT NULL AND n.holder <> 0)"
+    over = f"r.start_ts <> 0 AND n.ts_sec - r.start_ts > {timeout}e0"
+    taken = f"({has} AND (r.phase = 'none' OR (r.phase = 'held' AND n.holder <> r.player)))"
+    return f"""n AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY frame_number) AS rn FROM {source}),
+r AS (SELECT DISTINCT match_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS frame_number, CAST(NULL AS DOUBLE) AS ts_sec, 'none' AS phase,
+  CAST(NULL AS DOUBLE) AS start_ts, CAST(NULL AS BIGINT) AS player, CAST(NULL AS VARCHAR) AS team, CAST(NULL AS BIGINT) AS lost, CAST(NULL AS BIGINT) AS gained, CAST(NULL AS BIGINT) AS timed_out FROM n
+ UNION ALL SELECT n.match_id, n.rn, n.frame_number, n.ts_sec,
+  CASE r.phase WHEN 'none' THEN CASE WHEN {has} THEN 'start' ELSE 'none' END WHEN 'start' THEN 'held'
+   WHEN 'held' THEN CASE WHEN NOT {has} THEN 'ended' WHEN n.holder <> r.player THEN 'held' WHEN {over} THEN 'ended' ELSE 'held' END ELSE 'none' END,
+  CASE WHEN r.phase = 'ended' THEN NULL WHEN r.phase = 'none' AND {has} THEN n.ts_sec ELSE r.start_ts END,
+  CASE WHEN r.phase = 'ended' THEN NULL WHEN {taken} THEN n.holder ELSE r.player END,
+  CASE WHEN r.phase = 'ended' THEN NULL WHEN {taken} THEN coalesce(n.team, r.team) ELSE r.team END,
+  CASE WHEN r.phase = 'held' AND (NOT {has} OR n.holder <> r.player) THEN r.player END,
+  CASE WHEN {taken} THEN n.holder END,
+  CASE WHEN r.phase = 'held' AND {has} AND n.holder = r.player AND {over} THEN r.player END
+ FROM r JOIN n ON n.match_id = r.match_id AND n.rn = r.rn + 1),
+fsm AS (SELECT match_id, frame_number, ts_sec, lost AS player_id, coalesce(team, 'home') AS team, 'lost' AS event_type FROM r WHERE lost IS NOT NULL
+ UNION ALL SELECT match_id, frame_number, ts_sec, gained, coalesce(team, 'home'), 'gained' FROM r WHERE gained IS NOT NULL
+ UNION ALL SELECT match_id, frame_number, ts_sec, timed_out, coalesce(team, 'home'), 'timeout' FROM r WHERE timed_out IS NOT NULL)
+"""
+
+
 LABELS = smooth_sql("@possession_raw")
 TRACKED = ASSIGNED + """, tr AS (SELECT match_id, frame_number, ts_sec, track_id AS raw_player, confidence AS raw_confidence
  FROM asg WHERE ball_count > 0 AND player_count > 0)""" + smooth_sql("tr", ", ")

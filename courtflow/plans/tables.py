@@ -176,9 +176,9 @@ def sql_with_inputs(sql: str) -> str:
     if not needed:
         return plain(body)
     ctes = ",\n".join(f"{n} AS ({plain(DERIVED[n]).strip()})" for n in needed)
-    head = re.match(r"\s*WITH\s", body, re.I)
+    head = re.match(r"\s*WITH\s+(RECURSIVE\s)?", body, re.I)
     rest = plain(body[head.end():] if head else body)
-    return f"WITH {ctes}{',' if head else ''}\n{rest}"
+    return f"WITH {(head and head[1]) or ''}{ctes}{',' if head else ''}\n{rest}"
 
 
 # Derived with a window over the whole line-item table, and read by most queries: written

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from courtflow.operators import folds as T
 from courtflow.operators import shooting as S
-from courtflow.plans.possession import assigned
+from courtflow.plans.possession import ASSIGNED, assigned, fsm_sql
 from courtflow.plans.registry import query, shown
 
 
@@ -14,9 +14,18 @@ def ball_frames(t):
     return a.withColumn("team", team.otherwise("away"))
 
 
-@query("possession_fsm")
+FSM = """, bf AS (SELECT match_id, frame_number, ts_sec, track_id AS holder, CASE WHEN track_id <= 7 THEN 'home' WHEN track_id > 7 THEN 'away' END AS team FROM asg), """
+
+
+@query("possession_fsm", ASSIGNED.replace("WITH", "WITH RECURSIVE", 1) + FSM + fsm_sql("bf") + " SELECT * FROM fsm")
 def _fsm(t):
-    return T.possession_fsm(ball_frames(t))
+    return T.possession_fsm(ball_frames(t)).drop("event_no")
+
+
+@query("possession_fsm_chunks", ASSIGNED.replace("WITH", "WITH RECURSIVE", 1) + FSM + fsm_sql("bf") + " SELECT * FROM fsm")
+def _fsm_chunks(t):
+    """The same in chunks of 64 frames, each folded from an unknown state first."""
+    return T.possession_fsm(ball_frames(t), size=64).drop("event_no")
 
 
 @query("iou_tracker")

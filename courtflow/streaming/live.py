@@ -1,10 +1,10 @@
 """Live operators on streams of frames and host samples.
 
 Late data: rows behind the watermark are dropped by the windowed operators. The per-match
-automata hold rows in state, by second of event time, until the watermark has passed that second,
+automata hold rows in state, by span of event time, until the watermark has passed that span,
 and then work through them in frame order, so neither the order of files nor that of rows in a
-trigger matters. A row whose second has been worked through, or without frame or time, comes out
-as a row of its own with ``late`` set. ``drain`` ends a stream with a mark that lets all held
+trigger matters. A row whose span the watermark has passed, or without frame or time, comes out
+as a row of its own with ``late`` set, so no row is lost. ``drain`` ends a stream with a mark that lets all held
 rows go. State per match is a few values and the rows of the delay, kept in the state store
 (RocksDB), so any executor can be lost.
 """
@@ -33,56 +33,51 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-#: Event time is held in seconds of this many milliseconds.
-HELD_MS = 1000
 END_OF_TIME = "9999-01-01 00:00:00"
 
 
 class _InOrder(StatefulProcessor):
-    """Feeds a step function with a match's rows in frame order, a second of event time at a time.
+    """Feeds a step function with a match's rows in frame order, a span of event time at a time.
 
-    ``waiting`` maps the end of a second to its rows; a timer at that end lets them go. So a task
-    holds one second of a match, whatever a trigger brings.
+    ``waiting`` maps the end of a span to its rows; a timer at that end lets them go. So a task
+    holds one span of a match, whatever a trigger brings.
     """
 
-    def __init__(self, step, columns, names):
-        self.step, self.columns, self.names = step, columns, names
+    def __init__(self, step, columns, names, span_ms):
+        self.step, self.columns, self.names, self.span_ms = step, columns, names, span_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.memory = handle.getValueState("memory", "value string")
-        self.waiting = handle.getMapState("waiting", "second_end long", "rows string")
-
-    def _load(self):
-        return json.loads(self.memory.get()[0]) if self.memory.exists() else (None, None)
+        self.waiting = handle.getMapState("waiting", "span_end long", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        worked_to = self._load()[0]
+        passed = timerValues.getCurrentWatermarkInMs()
         for part in rows:
             part = part[~part["is_end"]]
-            end = (part["ts_sec"] * 1000 // HELD_MS + 1) * HELD_MS
-            late = part["frame_number"].isna() | end.isna()
-            if worked_to is not None:
-                late |= end <= worked_to
+            end = (part["ts_sec"] * 1000 // self.span_ms + 1) * self.span_ms
+            late = part["frame_number"].isna() | end.isna() | (end <= passed)
             if late.any():
                 yield self._out(key, part[late][["frame_number", "ts_sec"]].assign(late=True))
             for at, group in part[~late].groupby(end[~late].astype("int64")):
                 new = json.loads(group[self.names].to_json(orient="values", double_precision=15))
-                if self.waiting.containsKey((int(at),)):
-                    new = json.loads(self.waiting.getValue((int(at),))[0]) + new
+                old = self.waiting.getValue((int(at),))
+                if old:
+                    new = json.loads(old[0]) + new
                 else:
                     self.handle.registerTimer(int(at))
                 self.waiting.updateValue((int(at),), (json.dumps(new),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.waiting.containsKey((at,)):
+        held = self.waiting.getValue((at,))
+        if not held:
             return
-        _, state = self._load()
-        rows = pd.DataFrame(json.loads(self.waiting.getValue((at,))[0]), columns=self.names)
+        state = json.loads(self.memory.get()[0]) if self.memory.exists() else None
+        rows = pd.DataFrame(json.loads(held[0]), columns=self.names)
         out, state, _ = self.step(rows.sort_values(self.names, kind="stable", ignore_index=True), state)
         self.waiting.removeKey((at,))
-        self.memory.update((json.dumps([at, state]),))
+        self.memory.update((json.dumps(state),))
         if len(out):
             yield self._out(key, out.assign(late=False))
 
@@ -95,7 +90,7 @@ class _InOrder(StatefulProcessor):
         pass
 
 
-def _stateful(stream: DataFrame, step, schema: str, delay: str, ends: DataFrame | None) -> DataFrame:
+def _stateful(stream: DataFrame, step, schema: str, delay: str, ends: DataFrame | None, span_ms: int) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     names = stream.columns[1:]
     d = stream.withColumns({"is_end": F.lit(False), "event_time": F.timestamp_micros((F.col("ts_sec") * 1_000_000).cast("long"))})
@@ -106,7 +101,7 @@ def _stateful(stream: DataFrame, step, schema: str, delay: str, ends: DataFrame
     d = d.withWatermark("event_time", delay).drop("event_time")
     out = T.StructType.fromDDL(schema)
     return d.groupBy("match_id").transformWithStateInPandas(
-        statefulProcessor=_InOrder(step, out.names, names), outputStructType=out, outputMode="append", timeMode="EventTime"
+        statefulProcessor=_InOrder(step, out.names, names, span_ms), outputStructType=out, outputMode="append", timeMode="EventTime"
     )
 
 
@@ -123,17 +118,18 @@ def write_end_mark(spark: SparkSession, folder: str) -> None:
 
 
 def stream_possession_events(
-    frames: DataFrame, timeout: float = HELD_BALL_SECONDS, delay: str = "10 seconds", ends: DataFrame | None = None
+    frames: DataFrame, timeout: float = HELD_BALL_SECONDS, delay: str = "10 seconds", ends: DataFrame | None = None, span_ms: int = 10_000
 ) -> DataFrame:
     """Gained / lost / timeout events as frames arrive (columns as in the batch form, and ``late``).
 
-    ``delay``: how far a row may lag behind the latest one; ``ends``: a stream of end marks.
+    ``delay``: how far a row may lag behind the latest one; ``ends``: a stream of end marks;
+    ``span_ms``: rows wait until the watermark has passed their span of so many milliseconds.
     """
     d = frames.select("match_id", "frame_number", "ts_sec", F.col("possession_player_id").cast("double"), "team")
     schema = (
         "match_id long, frame_number long, event_no long, ts_sec double, player_id long, team string, event_type string, late boolean"
     )
-    return _stateful(d, _fsm(timeout), schema, delay, ends)
+    return _stateful(d, _fsm(timeout), schema, delay, ends, span_ms)
 
 
 def _held_ball(limit: float, k: int):
@@ -162,7 +158,7 @@ def _held_ball(limit: float, k: int):
 
 
 def stream_three_second_alerts(
-    raw: DataFrame, limit: float = HELD_BALL_SECONDS, k: int = CONFIRM_FRAMES, delay: str = "10 seconds", ends: DataFrame | None = None
+    raw: DataFrame, limit: float = HELD_BALL_SECONDS, k: int = CONFIRM_FRAMES, delay: str = "10 seconds", ends: DataFrame | None = None, span_ms: int = 10_000
 ) -> DataFrame:
     """One alert per smoothed possession held too long. ``raw``: match_id,
     frame_number, ts_sec, raw_player; k >= 2 consecutive frames confirm a change.
@@ -174,7 +170,7 @@ def stream_three_second_alerts(
         "match_id long, player_id long, start_frame long, violation_frame long, start_timestamp double, "
         "violation_timestamp double, duration_seconds double, excess_seconds double, frame_number long, ts_sec double, late boolean"
     )
-    return _stateful(d, _held_ball(limit, k), schema, delay, ends)
+    return _stateful(d, _held_ball(limit, k), schema, delay, ends, span_ms)
 
 
 def stream_metric_windows(

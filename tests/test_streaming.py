@@ -63,7 +63,7 @@ def reordered(rows, order):
 def test_possession_events(spark, files, tmp_path, order):
     rows, schema = possession_rows(1), SCHEMA.format("possession_player_id")
     stream = files(reordered(rows, order), schema, [100, 230, 301])
-    out = drained(spark, tmp_path, lambda ends: live.stream_possession_events(stream, delay="1 minute", ends=ends))
+    out = drained(spark, tmp_path, lambda ends: live.stream_possession_events(stream, delay="1 minute", ends=ends, span_ms=3000))
     batch = folds.possession_fsm(spark.createDataFrame(rows, schema))
     cols = ["match_id", "frame_number", "player_id", "team", "event_type"]
     assert sorted(map(tuple, out.filter("NOT late").select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
@@ -74,7 +74,7 @@ def test_possession_events(spark, files, tmp_path, order):
 def test_held_ball_alerts(spark, files, tmp_path, order):
     rows, schema = possession_rows(2), SCHEMA.format("raw_player")
     stream = files(reordered(rows, order), schema, [50, 200, 400])
-    out = drained(spark, tmp_path, lambda ends: live.stream_three_second_alerts(stream, delay="1 minute", ends=ends))
+    out = drained(spark, tmp_path, lambda ends: live.stream_three_second_alerts(stream, delay="1 minute", ends=ends, span_ms=3000))
     raw = spark.createDataFrame(rows, schema).withColumn("raw_confidence", F.lit(0.5))
     batch = possession.three_second_violations(possession.smooth_possession(raw.drop("team")))
     cols = ["match_id", "player_id", "start_frame", "violation_frame"]
@@ -83,13 +83,12 @@ def test_held_ball_alerts(spark, files, tmp_path, order):
 
 
 def test_late_frames_come_out_as_late(spark, files, tmp_path):
-    """Files of one row each; the watermark of a file is in force in the trigger after it, whose
-    rows still come before the timers."""
+    """Files of one row each; the watermark of a file is in force in the trigger after it."""
     schema = SCHEMA.format("possession_player_id")
     rows = [(1, 10, 10.0, 1, "home"), (1, 40, 40.0, 1, "home"), (1, 12, 12.0, 1, "home"), (1, 50, 50.0, 1, "home"), (1, 11, 11.0, None, None), (1, 39, 39.5, None, None), (1, None, 60.0, 1, "home"), (None, 5, 61.0, 1, "home")]
     stream = files(rows, schema, range(1, len(rows)))
-    out = drained(spark, tmp_path, lambda ends: live.stream_possession_events(stream, delay="5 seconds", ends=ends))
-    assert {(r.match_id, r.frame_number) for r in out.filter("late").collect()} == {(1, 11), (1, None)} | ({(1, 39)} & {(r.match_id, r.frame_number) for r in out.filter("late").collect()})
+    out = drained(spark, tmp_path, lambda ends: live.stream_possession_events(stream, delay="5 seconds", ends=ends, span_ms=1000))
+    assert {(r.match_id, r.frame_number) for r in out.filter("late").collect()} == {(1, 12), (1, 11), (1, 39), (1, None)}
     events = out.filter("NOT late").orderBy("match_id", "frame_number").collect()
     assert [(r.match_id, r.frame_number, r.event_type) for r in events][:2] == [(None, 5, "gained"), (1, 10, "gained")]
 
@@ -97,7 +96,7 @@ def test_late_frames_come_out_as_late(spark, files, tmp_path):
 def test_without_end_mark_rows_stay_held(spark, files):
     schema = SCHEMA.format("possession_player_id")
     rows = [(1, 10, 1.0, 1, "home"), (1, 300, 30.0, 1, "home")]
-    got = live.drain(live.stream_possession_events(files(rows, schema, [1]), delay="5 seconds"), "t").collect()
+    got = live.drain(live.stream_possession_events(files(rows, schema, [1]), delay="5 seconds", span_ms=1000), "t").collect()
     assert [(r.frame_number, r.event_type, r.late) for r in got] == [(10, "gained", False)]
 
 
