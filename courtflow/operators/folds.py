@@ -1,11 +1,16 @@
 """Rules whose next step depends on everything before it.
 
-A match is not handed to one task. It is cut into chunks of frames; every chunk is
-folded at once from an empty state, and a chunk whose true entry state (the exit
-state of the chunk before) turns out different is folded again. The possession
-automaton, the stabiliser, the tracker and the filter all forget their past, so
-states agree after a few rounds; the result is exact however many it takes. Chunk
+A match is not handed to one task. It is cut into chunks of frames, a chunk into pieces. Every
+chunk is folded at once from an empty state, and the state after each piece is logged. A chunk whose
+true entry state (the exit state of the chunk before) turns out different is folded again, but only
+up to the piece after which its state equals the logged one: from there on all went as before.
+The possession automaton, the stabiliser, the tracker and the filter all forget their past, so
+states meet soon; the result is exact however long it takes. Each round settles at least the first
+unsettled chunk of every match, so there are never more rounds than a match has chunks. Chunk
 results are tables in the shared folder, so a lost executor costs one task.
+
+A null match (or class) is a group of its own. Rows without frame number have no place in an order,
+so they are not folded: the operators leave them out of events and boxes, and give them null track ids.
 """
 
 from __future__ import annotations
@@ -33,8 +38,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FRAME = ["match_id", "frame_number"]
 _CHUNK = "__chunk"
-# After this many rounds only the first unsettled chunk of a match is folded again.
-SPECULATIVE_ROUNDS = 3
+_ID, _PIECE, _PART = "__id", "__piece", "__part"
+#: Pieces of a chunk, and folders of the stored input that a later round can leave out.
+PIECES, PARTS = 16, 8
+
+
+def with_group(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add a text that names the group; nulls are left out of it, so it is never null."""
+    return df.withColumn(_ID, F.to_json(F.struct(*keys)))
 
 
 def chunked_fold(
@@ -45,83 +56,89 @@ def chunked_fold(
     out_schema: str,
     size: int = CHUNK_FRAMES,
 ) -> tuple[DataFrame, DataFrame]:
-    """``step(rows, state) -> (out_rows, new_state, note)`` over each key's rows in
-    order; states and notes are JSON-able. Returns the output rows (with keys and
-    chunk) and one row per chunk with the note of its final fold."""
+    """``step(rows, state) -> (out_rows, new_state, note)`` over each group's rows in
+    order; states and notes are JSON-able, and step may be called for any run of whole frames.
+    Returns the output rows (with keys, group and piece) and one row per piece with its note.
+    Pieces are numbered in order of frames. Rows without ``order[0]`` are not folded."""
     keys, order = list(keys), list(order)
-    by = [*keys, _CHUNK]
+    by = [_ID, _CHUNK]
     spark = df.sparkSession
-    data = cut_lineage(add_chunk(df, order[0], size), "fold-input")
-    key_fields = [data.schema[k] for k in by]
+    piece = max(1, size // PIECES)
+    d = add_chunk(with_group(df.filter(F.col(order[0]).isNotNull()), keys), order[0], size)
+    within = F.floor((F.col(order[0]) - F.col(_CHUNK) * size) / piece).cast("long")
+    d = d.withColumns({_PIECE: F.col(_CHUNK) * 2 * PIECES + within, _PART: F.pmod(_CHUNK, F.lit(PARTS))})
+    path = scratch_path(spark, "fold-input")
+    d.repartition(*by).write.partitionBy(_PART).parquet(path)
+    data = spark.read.schema(d.schema).parquet(path)
+
     out_fields = T.StructType.fromDDL(out_schema).fields
-    schema = T.StructType(
-        [
-            *key_fields,
-            *out_fields,
-            T.StructField("__exit", T.StringType()),
-            T.StructField("__note", T.StringType()),
-        ]
-    )
-    names = [f.name for f in out_fields]
-    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType) and f.name not in by]
+    own = [T.StructField(_ID, T.StringType()), T.StructField(_CHUNK, T.LongType()), T.StructField(_PIECE, T.LongType())]
+    logged = [T.StructField("__exit", T.StringType()), T.StructField("__note", T.StringType())]
+    schema = T.StructType([*own, *[d.schema[k] for k in keys], *out_fields, *logged])
+    columns, names = [f.name for f in schema.fields], [f.name for f in out_fields]
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
 
-    def run(key, rows, entry):
+    def run(rows, entry):
         if not len(rows) or not len(entry):
-            return pd.DataFrame({f.name: pd.Series(dtype="object") for f in schema.fields})
-        rows = rows.sort_values(order, kind="stable")
-        text = entry["__entry"].iloc[0]
-        out, state, note = step(rows, json.loads(text) if isinstance(text, str) else None)
-        last = pd.DataFrame({"__exit": [json.dumps(state)], "__note": [json.dumps(note)]})
-        out = pd.concat([out.reindex(columns=names), last], ignore_index=True) if len(out) else last
-        out = out.reindex(columns=[f.name for f in schema.fields])
+            return pd.DataFrame({c: pd.Series(dtype="object") for c in columns})
+        rows = rows.sort_values([_PIECE, *order], kind="stable")
+        text, log = entry["__entry"].iloc[0], entry["__log"].iloc[0]
+        state = json.loads(text) if isinstance(text, str) else None
+        before = {} if log is None else {x["piece"]: x["exit"] for x in log}
+        made = []
+        for number, part in rows.groupby(_PIECE, sort=False):
+            out, state, note = step(part, state)
+            after = json.dumps(state)
+            last = pd.DataFrame({"__exit": [after], "__note": [json.dumps(note)]})
+            made.append(pd.concat([out.reindex(columns=names), last], ignore_index=True) if len(out) else last)
+            made[-1][_PIECE] = number
+            if before.get(number) == after:
+                break
+        out = pd.concat(made, ignore_index=True).reindex(columns=columns)
+        for k in keys:
+            value = rows[k].iloc[0]
+            out[k] = pd.Series([None if pd.isna(value) else value] * len(out), dtype=object)
         for c in texts:
             out[c] = out[c].astype(object).where(out[c].notna(), None)
-        for k, v in zip(by, key):
-            out[k] = v
-        return out
+        return out.assign(**{_ID: rows[_ID].iloc[0], _CHUNK: rows[_CHUNK].iloc[0]})
 
-    across = Window.partitionBy(*keys).orderBy(_CHUNK)
-    chunks = data.select(*by).distinct().withColumn("__prev", F.lag(_CHUNK).over(across))
+    chunks = data.select(*by).distinct()
+    chunks = chunks.withColumn("__prev", F.lag(_CHUNK).over(Window.partitionBy(_ID).orderBy(_CHUNK)))
     chunks = cut_lineage(chunks, "fold-chunks")
-    todo = chunks.select(*by, F.lit(None).cast("string").alias("__entry"))
+    no_log = F.lit(None).cast("array<struct<piece:bigint,exit:string>>")
+    entries = chunks.select(*by, F.lit(None).cast("string").alias("__entry"))
+    todo = entries.withColumn("__log", no_log)
     rounds: list[DataFrame] = []
-    settled = None  # keys, chunk, entry, exit, note, round: the latest fold of every chunk
+    pieces = None  # the latest fold of every piece
     while True:
         n = len(rounds)
-        part = data if n == 0 else data.join(todo.select(*by), by, "left_semi")
+        part = data
+        if n:
+            parts = [r[0] for r in todo.select(F.pmod(_CHUNK, F.lit(PARTS))).distinct().collect()]
+            part = data.filter(F.col(_PART).isin(parts)).join(todo.select(*by), by, "left_semi")
         path = scratch_path(spark, "fold-round")
         part.groupBy(*by).cogroup(todo.groupBy(*by)).applyInPandas(run, schema).write.parquet(path)
         done = spark.read.schema(schema).parquet(path)
-        rounds.append(done.filter(F.col("__exit").isNull()))
-        now = (
-            done.filter(F.col("__exit").isNotNull())
-            .join(todo, by)
-            .select(*by, "__entry", "__exit", "__note", F.lit(n).alias("__round"))
-        )
-        if settled is not None:
-            now = settled.join(now.select(*by), by, "left_anti").unionByName(now)
-        settled = cut_lineage(now, "fold-state")
-        before = settled.select(*keys, F.col(_CHUNK).alias("__prev"), F.col("__exit").alias("__want"))
-        wrong = (
-            settled.join(chunks, by)
-            .join(before, [*keys, "__prev"], "left")
-            .filter(~F.col("__entry").eqNullSafe(F.col("__want")))
-            .select(*by, F.col("__want").alias("__entry"))
-        )
-        if n >= SPECULATIVE_ROUNDS:
-            first = wrong.groupBy(*keys).agg(F.min(_CHUNK).alias(_CHUNK))
-            wrong = wrong.join(first, by, "left_semi")
-        todo = cut_lineage(wrong, "fold-todo")
+        rounds.append(done.filter(F.col("__exit").isNull()).withColumn("__round", F.lit(n)))
+        now = done.filter(F.col("__exit").isNotNull()).select(*by, _PIECE, "__exit", "__note", F.lit(n).alias("__round"))
+        if pieces is not None:
+            now = pieces.join(now.select(*by, _PIECE), [*by, _PIECE], "left_anti").unionByName(now)
+        pieces = cut_lineage(now, "fold-pieces")
+        log = F.struct(F.col(_PIECE).alias("piece"), F.col("__exit").alias("exit"))
+        logs = pieces.groupBy(*by).agg(F.max_by("__exit", _PIECE).alias("__exit"), F.collect_list(log).alias("__log"))
+        before = logs.select(_ID, F.col(_CHUNK).alias("__prev"), F.col("__exit").alias("__want"))
+        known = chunks.join(entries, by).join(before, [_ID, "__prev"], "left")
+        known = cut_lineage(known.join(logs.select(*by, "__log"), by), "fold-known")
+        todo = known.filter(~F.col("__entry").eqNullSafe(F.col("__want"))).select(*by, F.col("__want").alias("__entry"), "__log")
         if todo.isEmpty():
             break
-    if len(rounds) == 1:
-        out = rounds[0]
-    else:
-        out = None
-        for n, rows in enumerate(rounds):
-            mine = rows.join(settled.filter(F.col("__round") == n).select(*by), by, "left_semi")
-            out = mine if out is None else out.unionByName(mine)
-    return out.drop("__exit", "__note"), settled.select(*by, "__note")
+        entries = known.select(*by, F.col("__want").alias("__entry"))
+    out = rounds[0]
+    for rows in rounds[1:]:
+        out = out.unionByName(rows)
+    if len(rounds) > 1:
+        out = out.join(pieces.select(*by, _PIECE, "__round"), [*by, _PIECE, "__round"], "left_semi")
+    return out.drop("__exit", "__note", "__round", _CHUNK), pieces.select(_ID, _PIECE, "__note")
 
 
 # -- possession automaton -------------------------------------------------------------
@@ -171,7 +188,7 @@ def possession_fsm(frames: DataFrame, timeout: float = 3.0, size: int = CHUNK_FR
     d = frames.select(*FRAME, "ts_sec", F.col("possession_player_id").cast("double"), "team")
     schema = "frame_number long, event_no long, ts_sec double, player_id long, team string, event_type string"
     out, _ = chunked_fold(d, ["match_id"], ["frame_number"], _fsm(timeout), schema, size)
-    return out.drop(_CHUNK)
+    return out.drop(_ID, _PIECE)
 
 
 # -- tracker ---------------------------------------------------------------------------
@@ -240,36 +257,39 @@ def iou_tracker(
 ) -> DataFrame:
     """Track ids (from 1 in order of appearance) by greedy overlap; a track ends
     after ``max_age`` processed frames unseen. ``frames`` (match_id, frame_number) are
-    the frames processed, with detections or not; without it, those with detections."""
+    the frames processed, with detections or not; without it, those with detections.
+    Detections without frame number or det_no have a null track id."""
     d = detections.select(*FRAME, "det_no", *BOX)
-    if frames is not None:  # a full join: detections of a frame that is not listed stay
-        d = frames.select(*FRAME).distinct().join(d, FRAME, "full")
+    if frames is not None:  # frames of a listed match without detections have a row without box
+        seen = d.select(*FRAME).distinct().withColumn("__seen", F.lit(True))
+        same = [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in FRAME]
+        bare = frames.select(*FRAME).distinct().alias("f").join(seen.alias("s"), same, "left_anti").select(*FRAME)
+        d = d.unionByName(bare, allowMissingColumns=True)
     schema = "frame_number long, det_no long, slot long, root_frame long, root_no long"
     out, notes = chunked_fold(d, ["match_id"], ["frame_number", "det_no"], _tracker(max_age, threshold), schema, size)
 
-    def resolve(pdf):  # one small row per chunk: which detection opened each entry slot
+    def resolve(pdf):  # one small row per piece: which detection opened each entry slot
         rows, slots = [], []
-        for m, c, note in pdf.sort_values(_CHUNK)[["match_id", _CHUNK, "__note"]].itertuples(index=False):
+        for m, c, note in pdf.sort_values(_PIECE)[[_ID, _PIECE, "__note"]].itertuples(index=False):
             rows += [(m, c, i, f, n) for i, (f, n) in enumerate(slots)]
             slots = [slots[s[1]] if s[0] == "slot" else (s[1], s[2]) for s in json.loads(note)]
-        return pd.DataFrame(rows, columns=["match_id", _CHUNK, "slot", "from_frame", "from_no"])
+        return pd.DataFrame(rows, columns=[_ID, _PIECE, "slot", "from_frame", "from_no"])
 
-    entry = notes.groupBy("match_id").applyInPandas(
-        resolve, f"match_id long, {_CHUNK} long, slot long, from_frame long, from_no long"
-    )
-    out = out.join(entry, ["match_id", _CHUNK, "slot"], "left").select(
-        *FRAME,
+    entry = notes.groupBy(_ID).applyInPandas(resolve, f"{_ID} string, {_PIECE} long, slot long, from_frame long, from_no long")
+    out = out.join(entry, [_ID, _PIECE, "slot"], "left").select(
+        _ID,
+        "frame_number",
         "det_no",
         F.coalesce("root_frame", "from_frame").alias("root_frame"),
         F.coalesce("root_no", "from_no").alias("root_no"),
     )
     out = cut_lineage(out, "tracks")
     roots = out.filter((F.col("root_frame") == F.col("frame_number")) & (F.col("root_no") == F.col("det_no")))
-    roots = running_sum(roots.select(*FRAME, "det_no"), ["match_id"], ["frame_number", "det_no"], {"track_id": F.lit(1).cast("long")}, size)
-    ids = roots.select(
-        "match_id", F.col("frame_number").alias("root_frame"), F.col("det_no").alias("root_no"), "track_id"
-    )
-    return out.join(ids, ["match_id", "root_frame", "root_no"]).select(*FRAME, "det_no", "track_id")
+    roots = running_sum(roots.select(_ID, "frame_number", "det_no"), [_ID], ["frame_number", "det_no"], {"track_id": F.lit(1).cast("long")}, size)
+    ids = roots.select(_ID, F.col("frame_number").alias("root_frame"), F.col("det_no").alias("root_no"), "track_id")
+    tracked = out.join(ids, [_ID, "root_frame", "root_no"]).select(_ID, "frame_number", "det_no", "track_id")
+    known = with_group(detections.select(*FRAME, "det_no"), ["match_id"])
+    return known.join(tracked, [_ID, "frame_number", "det_no"], "left").select(*FRAME, "det_no", "track_id")
 
 
 def match_tracks(detections: DataFrame, tracks: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -358,7 +378,7 @@ def stabilize_bboxes(
     )
     keys = ["match_id", "class_name"]
     out, _ = chunked_fold(d, keys, ["frame_number", "det_no"], _stabiliser(p), schema, size)
-    return out.drop(_CHUNK)
+    return out.drop(_ID, _PIECE)
 
 
 def stabiliser_statistics(stabilized: DataFrame) -> DataFrame:
@@ -437,7 +457,7 @@ def kalman_ball(
     schema = "frame_number long, x double, y double, vx double, vy double, measured boolean"
     step = _kalman(dt, process_noise, measurement_noise, layout)
     out, _ = chunked_fold(d, ["match_id"], ["frame_number"], step, schema, size)
-    return out.drop(_CHUNK)
+    return out.drop(_ID, _PIECE)
 
 
 def mean_velocity_3(track: DataFrame, dt: float = 1.0 / 30.0, size: int = CHUNK_FRAMES) -> DataFrame:
@@ -500,7 +520,7 @@ def debounced(candidates: DataFrame, gap: int, size: int = CHUNK_FRAMES) -> Data
     """Candidates that fire when each must come ``gap`` frames after the last fired."""
     d = candidates.select(*FRAME, "drift_px")
     out, _ = chunked_fold(d, ["match_id"], ["frame_number"], _debounce(gap), "frame_number long, drift_px double", size)
-    return out.drop(_CHUNK)
+    return out.drop(_ID, _PIECE)
 
 
 # -- within one frame ---------------------------------------------------------------------------
