@@ -13,7 +13,7 @@ from courtflow.functions import geometry as G
 from courtflow.functions.court import court_corners, whole_pixels
 from courtflow.functions.geometry import safe_div
 from courtflow.functions.shots import hoop_quality
-from courtflow.operators.ordered import CHUNK_FRAMES, last_before
+from courtflow.operators.ordered import CHUNK_FRAMES, blended, last_before
 
 FRAME = ["match_id", "frame_number"]
 
@@ -32,7 +32,8 @@ def calibration_as_of(
     df: DataFrame, calibrations: DataFrame, carry: str = "h", size: int = CHUNK_FRAMES
 ) -> DataFrame:
     """Rows with the matrix in force: the latest with from_frame <= frame_number.
-    ``carry`` names the calibration column to bring (the matrix, its inverse ...).
+    ``carry`` names the calibration column to bring (the matrix, its inverse ...). A row without
+    frame number has no matrix; a matrix without from_frame is never in force.
 
     Both tables are put in one frame order and the last matrix is carried forward,
     so no range of pairs is formed. ``df`` needs a ``det_no`` (any row number)."""
@@ -51,9 +52,10 @@ def calibration_as_of(
         F.lit(0).alias("__kind"),
         F.struct(F.col(carry).alias("v")).alias("__cal"),
     )
-    both = rows.unionByName(cal)
+    both = rows.unionByName(cal.filter(F.col("frame_number").isNotNull()))
     out = last_before(both, ["match_id"], ["frame_number", "__kind", "det_no"], {"__in_force": F.col("__cal")}, size)
-    return out.filter(F.col("__kind") == 1).select(*cols, F.col("__in_force.v").alias(carry))
+    in_force = F.when(F.col("frame_number").isNotNull(), F.col("__in_force.v"))
+    return out.filter(F.col("__kind") == 1).select(*cols, in_force.alias(carry))
 
 
 def with_court_coords(detections: DataFrame, calibrations: DataFrame, size: int = CHUNK_FRAMES) -> DataFrame:
@@ -212,6 +214,23 @@ def auto_recalibrate(
     return d.filter((F.col("frame_number") - F.col("__run")) % every == 0).select(*FRAME, "drift_px")
 
 
+def recalibrated(calibrations: DataFrame, decisions: DataFrame, alpha: float = 0.3, size: int = CHUNK_FRAMES) -> DataFrame:
+    """The matrices in force when a match recalibrates: match_id, from_frame, h.
+
+    The first matrix is taken as it is. At each decision (match_id, frame_number, as from
+    ``auto_recalibrate``) the matrix measured by then is blended into the one in force, so each
+    blend feeds the next. Decisions before any matrix have no effect."""
+    measured = calibration_as_of(decisions.select(*FRAME, F.lit(0).alias("det_no")), calibrations.select("match_id", "from_frame", "h"), size=size)
+    first = calibrations.filter(F.col("from_frame").isNotNull()).groupBy("match_id").agg(F.min_by(F.struct("from_frame", "h"), "from_frame").alias("c"))
+    steps = first.select("match_id", "c.from_frame", "c.h", F.lit(0).alias("kind")).unionByName(
+        measured.filter(F.col("h").isNotNull()).select("match_id", F.col("frame_number").alias("from_frame"), "h", F.lit(1).alias("kind"))
+    )
+    d = blended(steps, ["match_id"], ["from_frame", "kind"], F.col("h"), F.lit(alpha), "blend")
+    # of a first matrix and a decision at the same frame the blend counts
+    latest = d.groupBy("match_id", "from_frame").agg(F.max_by("blend", "kind").alias("h"))
+    return latest.select("match_id", "from_frame", "h")
+
+
 def _drifted(drift, check_interval, threshold_px, min_hoops):
     return drift.filter(
         (F.col("frame_number") % check_interval == 0)

@@ -10,6 +10,7 @@ moves only what crosses a chunk border through one small row per chunk:
 * ``last_before``    - last non-null value strictly before a row.
 * ``next_after``     - first non-null value strictly after a row.
 * ``running_sum``    - prefix sums.
+* ``blended``        - x = w v + (1 - w) x, row after row: a scan of affine steps.
 
 Each pass shuffles its rows once, by (match, chunk). The per-chunk summary is built
 from that same exchange: it carries whole rows, so both readers of the exchange need
@@ -171,3 +172,54 @@ def running_sum(
         {n: F.coalesce(F.sum(v).over(within), F.lit(0)) + F.col(f"__c_{n}") for n, v in values.items()}
     )
     return out.drop(*by, _CHUNK, *[f"__c_{n}" for n in values])
+
+
+def blended(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, weight: Column, name: str, size: int = 1 << 10
+) -> DataFrame:
+    """Add ``name``: x after each row, where a row of ``value`` v (an array of doubles) and ``weight``
+    w turns x into w v + (1 - w) x, element by element. The first v of a group is x as it is; a row with
+    null v leaves x alone; rows without frame get null.
+
+    What a chunk does to any x is one affine step (a, b), and what it makes of no x at all is n. These
+    are combined over the chunks of a group, so that each chunk then runs from its own entry value.
+    """
+    keys, order, columns = list(keys), list(order), df.columns
+    placed = F.col(order[0]).isNotNull()
+    d, by = _chunked(df.filter(placed).withColumns({"__v": value.cast("array<double>"), "__w": weight.cast("double")}), keys, order[0], size)
+    item = F.struct(_order_struct(order).alias("o"), F.col("__v").alias("v"), F.col("__w").alias("w"), F.struct(*columns).alias("r"))
+    chunks = d.groupBy(*by, _CHUNK).agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+    def mixed(x: Column, i: Column) -> Column:
+        both = F.zip_with(x, i["v"], lambda p, q: i["w"] * q + (F.lit(1.0) - i["w"]) * p)
+        return F.when(i["v"].isNull(), x).when(x.isNull(), i["v"]).otherwise(both)
+
+    def after(x: Column, e: Column) -> Column:
+        return F.when(x.isNull(), e["n"]).when(e["b"].isNull(), x).otherwise(F.zip_with(x, e["b"], lambda p, q: e["a"] * p + q))
+
+    def chained(e: Column, i: Column) -> Column:
+        a = F.when(i["v"].isNull(), e["a"]).otherwise((F.lit(1.0) - i["w"]) * e["a"])
+        added = F.zip_with(e["b"], i["v"], lambda p, q: i["w"] * q + (F.lit(1.0) - i["w"]) * p)
+        b = F.when(i["v"].isNull(), e["b"]).when(e["b"].isNull(), F.transform(i["v"], lambda q: i["w"] * q)).otherwise(added)
+        return F.struct(a.alias("a"), b.alias("b"), mixed(e["n"], i).alias("n"))
+
+    none = F.lit(None).cast("array<double>")
+    nothing = F.struct(F.lit(1.0).alias("a"), none.alias("b"), none.alias("n"))
+    effects = chunks.select(*by, F.struct(F.col(_CHUNK).alias("c"), F.aggregate("items", nothing, chained).alias("e")).alias("e"))
+    effects = effects.groupBy(*by).agg(F.sort_array(F.collect_list("e")).alias("es"))
+    entries = F.aggregate(
+        "es",
+        F.struct(none.alias("x"), F.array().cast("array<struct<c:bigint,x:array<double>>>").alias("out")),
+        lambda acc, e: F.struct(after(acc["x"], e["e"]).alias("x"), F.array_append(acc["out"], F.struct(e["c"].alias("c"), acc["x"].alias("x"))).alias("out")),
+        lambda acc: acc["out"],
+    )
+    entries = effects.select(*by, F.explode(entries).alias("n")).select(*by, F.col("n.c").alias(_CHUNK), F.col("n.x").alias("__x"))
+    run = F.aggregate(
+        "items",
+        F.struct(F.col("__x").alias("x"), F.array().cast("array<array<double>>").alias("out")),
+        lambda acc, i: F.struct(mixed(acc["x"], i).alias("x"), F.array_append(acc["out"], mixed(acc["x"], i)).alias("out")),
+        lambda acc: acc["out"],
+    )
+    rows = chunks.join(entries, [*by, _CHUNK]).select(F.explode(F.arrays_zip(F.col("items"), run.alias("xs"))).alias("z"))
+    out = rows.select("z.items.r.*", F.col("z.xs").alias(name))
+    return out.unionByName(df.filter(~placed).withColumn(name, none))

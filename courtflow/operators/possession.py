@@ -15,7 +15,7 @@ from courtflow.constants import (
 )
 from courtflow.functions import geometry as G
 from courtflow.functions.shots import possession_confidence, possession_reason
-from courtflow.operators.ordered import CHUNK_FRAMES, last_before, next_after, running_sum, with_lookback
+from courtflow.operators.ordered import CHUNK_FRAMES, blended, last_before, next_after, running_sum, with_lookback
 from courtflow.session import cut_lineage
 
 FRAME = ["match_id", "frame_number"]
@@ -133,23 +133,14 @@ def smooth_possession(
     return cut_lineage(d.drop("__cand", "__conf", "__first"), "smoothed")
 
 
-def smooth_confidence(raw: DataFrame, alpha: float = CONFIDENCE_ALPHA, size: int = CHUNK_FRAMES) -> DataFrame:
-    """Add ``smoothed_confidence``: a moving average that starts over at the first
-    adopted player. Older rows weigh (1 - alpha)^n; the look-back is long enough
-    that what it leaves out is below double precision."""
-    import math
-
-    rows = max(1, math.ceil(math.log(1e-17) / math.log(1.0 - alpha))) if 0 < alpha < 1 else 1
+def smooth_confidence(raw: DataFrame, alpha: float = CONFIDENCE_ALPHA, size: int = 1 << 10) -> DataFrame:
+    """Add ``smoothed_confidence``: a moving average of all rows since the first adopted player."""
     d = last_before(raw, ["match_id"], ["frame_number"], {"__seen": F.col("raw_player")}, size)
     d = d.withColumn("__on", F.col("raw_player").isNotNull() | F.col("__seen").isNotNull()).drop("__seen")
-
-    def average(df, w):
-        recent = F.collect_list(F.when(F.col("__on"), F.col("raw_confidence"))).over(w.rowsBetween(-rows, 0))
-        step = lambda acc, x: F.when(acc.isNull(), x).otherwise(F.lit(alpha) * x + F.lit(1.0 - alpha) * acc)
-        ema = F.aggregate(recent, F.lit(None).cast("double"), step)
-        return df.withColumn("smoothed_confidence", F.when(F.col("__on"), ema).otherwise(F.col("raw_confidence")))
-
-    return with_lookback(d, ["match_id"], ["frame_number"], rows, average, size).drop("__on")
+    value = F.when(F.col("__on") & F.col("raw_confidence").isNotNull(), F.array("raw_confidence"))
+    d = blended(d, ["match_id"], ["frame_number"], value, F.lit(alpha), "__x", size)
+    average = F.when(F.col("__on"), F.element_at("__x", 1)).otherwise(F.col("raw_confidence"))
+    return d.withColumn("smoothed_confidence", average).drop("__on", "__x")
 
 
 def _is_change():

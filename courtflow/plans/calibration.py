@@ -191,18 +191,49 @@ def _targets(t):
     return C.estimate_hoop_targets(t.hoops, t.frames)
 
 
-@query(
-    "auto_recalibrate",
-    """WITH c AS (SELECT *, LAG(frame_number) OVER (PARTITION BY match_id ORDER BY frame_number) AS p FROM @hoop_drift
+DECISIONS = """c AS (SELECT *, LAG(frame_number) OVER (PARTITION BY match_id ORDER BY frame_number) AS p FROM @hoop_drift
  WHERE frame_number % 30 = 0 AND hoops >= 1 AND drift_px > 20),
 r AS (SELECT *, SUM(CASE WHEN p IS NULL OR frame_number - p >= 60 THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY frame_number ROWS UNBOUNDED PRECEDING) AS run FROM c),
-i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id, run ORDER BY frame_number) AS k FROM r)
-SELECT match_id, frame_number, drift_px FROM i WHERE k % 2 = 1""",
-)
+i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id, run ORDER BY frame_number) AS k FROM r),
+decided AS (SELECT match_id, frame_number, drift_px FROM i WHERE k % 2 = 1)"""
+
+
+@query("auto_recalibrate", f"WITH {DECISIONS} SELECT * FROM decided")
 def _recalibrate(t):
     return C.auto_recalibrate(t.hoop_drift)
 
 
+HS = [f"h{i}" for i in range(9)]
+RECALIBRATED = f"""WITH RECURSIVE {DECISIONS},
+st AS (SELECT match_id, from_frame, 0 AS kind, {", ".join(HS)} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY from_frame) AS k FROM @calibration_rows) WHERE k = 1
+ UNION ALL SELECT d.match_id, d.frame_number, 1, {H} FROM decided d ASOF JOIN @calibration_rows c ON d.match_id = c.match_id AND d.frame_number >= c.from_frame),
+nu AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY from_frame, kind) AS n FROM st),
+bl AS (SELECT match_id, from_frame, n, {", ".join(HS)} FROM nu WHERE n = 1
+ UNION ALL SELECT nu.match_id, nu.from_frame, nu.n, {", ".join(f"0.3e0 * nu.{h} + 0.7e0 * bl.{h}" for h in HS)} FROM bl JOIN nu ON nu.match_id = bl.match_id AND nu.n = bl.n + 1),
+cr AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_id, from_frame ORDER BY n DESC) AS k FROM bl) WHERE k = 1)"""
+
+
+def matrices(t):
+    return C.recalibrated(t.calibrations, C.auto_recalibrate(t.hoop_drift))
+
+
+@query("recalibrated", RECALIBRATED + f" SELECT match_id, from_frame, {', '.join(f'ROUND({h}, 9) AS {h}' for h in HS)} FROM cr")
+def _recalibrated(t):
+    return matrices(t).select("match_id", "from_frame", *[F.round(F.element_at("h", i + 1), 9).alias(h) for i, h in enumerate(HS)])
+
+
+@query(
+    "recalibrated_court_coords",
+    RECALIBRATED
+    + f""", x AS (SELECT d.match_id, d.frame_number, d.det_no, (d.x1+d.x2)/2 AS cx, (d.y1+d.y2)/2 AS cy, {H}
+ FROM @detections d ASOF LEFT JOIN cr c ON d.match_id = c.match_id AND d.frame_number >= c.from_frame)
+SELECT match_id, frame_number, det_no, ROUND({proj('cx', 'cy', 'x')},6) AS court_x, ROUND({proj('cx', 'cy', 'y')},6) AS court_y FROM x""",
+)
+def _recalibrated_coords(t):
+    d = C.with_court_coords(t.detections, matrices(t))
+    return shown(d.select("match_id", "frame_number", "det_no", "court_x", "court_y"), "court_x", "court_y")
+
+
 INV = ["(h4*h8-h5*h7)", "(h2*h7-h1*h8)", "(h1*h5-h2*h4)", "(h5*h6-h3*h8)", "(h0*h8-h2*h6)", "(h2*h3-h0*h5)",
        "(h3*h7-h4*h6)", "(h1*h6-h0*h7)", "(h0*h4-h1*h3)"]
 
