@@ -77,6 +77,9 @@ VALIDATION_ADVICE = {
     "precision": "Improve precision by tuning confidence thresholds",
     "recall": "Improve recall by relaxing distance/overlap thresholds",
     "f1_score": "Balance precision and recall for better F1 score",
+    "crowd": "Implement better multi-player possession resolution",
+    "air": "Add temporal smoothing for ball-in-air scenarios",
+    "unsure": "Review confidence calculation algorithm",
     "speed": "Optimize processing speed for real-time analysis",
 }
 CALIBRATION_ADVICE = {

@@ -12,16 +12,20 @@ from courtflow.functions.text import is_numeric
 
 
 def filter_players(df: DataFrame) -> DataFrame:
+    """Players and referees of plausible size."""
     b = G.box()
     return df.filter(
-        G.area(b).between(900, 60000) & (G.aspect_hw(b) >= 1.1) & (G.width(b) > 16) & (G.height(b) > 32)
+        F.col("class_name").isin("player", "referee")
+        & G.area(b).between(900, 60000) & (G.aspect_hw(b) >= 1.1) & (G.width(b) > 16) & (G.height(b) > 32)
     )
 
 
 def filter_balls(df: DataFrame) -> DataFrame:
+    """Balls of plausible size and confidence."""
     b = G.box()
     return df.filter(
-        (F.col("confidence") >= 0.3)
+        (F.col("class_name") == "ball")
+        & (F.col("confidence") >= 0.3)
         & G.area(b).between(500, 3000)
         & G.aspect_hw(b).between(0.8, 1.5)
         & G.width(b).between(10, 100)

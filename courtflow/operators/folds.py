@@ -381,10 +381,11 @@ def stabilize_bboxes(
     return out.drop(_ID, _PIECE)
 
 
-def stabiliser_statistics(stabilized: DataFrame) -> DataFrame:
-    """State of the stabiliser after each class's last frame."""
+def stabiliser_statistics(stabilized: DataFrame, detections: DataFrame) -> DataFrame:
+    """State of the stabiliser after each class's last frame of input (``detections``), which
+    may have left it without any box."""
     keys = ["match_id", "class_name"]
-    last = stabilized.groupBy(*keys).agg(F.max("frame_number").alias("frame_number"))
+    last = detections.groupBy(*keys).agg(F.max("frame_number").alias("frame_number"))
     d = stabilized.join(last, [*keys, "frame_number"])
     return d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"),

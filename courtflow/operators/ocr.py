@@ -9,6 +9,7 @@ from courtflow.functions import geometry as G
 from courtflow.functions.geometry import safe_div
 from courtflow.functions.text import color_distance_rgb, confidence_level, is_numeric, ocr_clean
 from courtflow.operators.filters import likely_jersey_number
+from courtflow.session import cut_lineage
 
 FRAME = ["match_id", "frame_number"]
 PLAYER = ["match_id", "player_id"]
@@ -175,17 +176,42 @@ def team_color_stats(colors: DataFrame) -> DataFrame:
     )
 
 
-def cluster_teams(colors: DataFrame, seed: int = 7) -> DataFrame:
-    """Two teams by clustering all colours; a player takes the cluster of its last
-    colour. The darker centre is called home, so names do not depend on the seed."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    rgb = VectorAssembler(inputCols=["r", "g", "b"], outputCol="features").transform(colors)
-    model = KMeans(k=2, seed=seed, maxIter=20, tol=1.0).fit(rgb.select("features"))
-    centres = [float(sum(c)) for c in model.clusterCenters()]
-    home = centres.index(min(centres))
-    d = model.transform(rgb)
-    last = F.max_by("prediction", F.struct("frame_number", "det_no", "color_no"))
-    d = d.groupBy(*PLAYER).agg(last.alias("cluster"))
-    return d.select(*PLAYER, F.when(F.col("cluster") == home, "home").otherwise("away").alias("team"))
+def cluster_teams(colors: DataFrame, iterations: int = 20, epsilon: float = 1.0) -> DataFrame:
+    """Two teams per match by clustering its colours; a player takes the cluster of its last
+    colour. The darker centre is called home.
+
+    All matches are clustered at once. A match starts from its darkest colour and the one farthest from
+    it; each round takes the means of both clusters as sums combined before the shuffle, and a match is
+    done when no centre moved more than ``epsilon``. Distinct colours are counted once."""
+    rgb = ["r", "g", "b"]
+    tint = F.struct(*[F.col(c).cast("double").alias(c) for c in rgb])
+    tones = colors.filter(F.greatest(*rgb).isNotNull()).groupBy("match_id", tint.alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    tones = cut_lineage(tones, "tones")
+    off = lambda a, b: sum((a[x] - b[x]) * (a[x] - b[x]) for x in rgb)
+    sum_of = lambda c: c["r"] + c["g"] + c["b"]
+    same = lambda d: F.col("t.match_id").eqNullSafe(F.col(f"{d}.match_id"))
+    dark = tones.groupBy("match_id").agg(F.min(F.struct(sum_of(F.col("c")).alias("s"), "c")).alias("d")).select("match_id", F.col("d.c").alias("c0"))
+    far = tones.alias("t").join(dark.alias("d"), same("d")).groupBy("d.match_id", "d.c0")
+    centres = far.agg(F.max(F.struct(off(F.col("t.c"), F.col("d.c0")).alias("far"), "t.c")).alias("f"))
+    centres = cut_lineage(centres.select("match_id", "c0", F.col("f.c").alias("c1"), F.lit(False).alias("done")), "centres")
+    nearer = F.col("k") == 0
+    for _ in range(iterations):
+        open_ = centres.filter(~F.col("done"))
+        d = tones.alias("t").join(open_.alias("o"), same("o"))
+        d = d.select("o.match_id", "o.c0", "o.c1", "t.c", "t.n", F.when(off(F.col("t.c"), F.col("o.c0")) <= off(F.col("t.c"), F.col("o.c1")), 0).otherwise(1).alias("k"))
+        sums = {f"{x}{k}": F.sum(F.when(nearer if k == 0 else ~nearer, F.col(f"c.{x}") * F.col("n"))) for x in rgb for k in (0, 1)}
+        sums |= {f"n{k}": F.sum(F.when(nearer if k == 0 else ~nearer, F.col("n"))) for k in (0, 1)}
+        d = d.groupBy("match_id", "c0", "c1").agg(*[c.alias(name) for name, c in sums.items()])
+        mean = lambda k: F.coalesce(F.when(F.col(f"n{k}") > 0, F.struct(*[(F.col(f"{x}{k}") / F.col(f"n{k}")).alias(x) for x in rgb])), F.col(f"c{k}"))
+        d = d.withColumns({"m0": mean(0), "m1": mean(1)})
+        moved = F.greatest(off(F.col("m0"), F.col("c0")), off(F.col("m1"), F.col("c1")))
+        d = d.select("match_id", F.col("m0").alias("c0"), F.col("m1").alias("c1"), (moved <= epsilon * epsilon).alias("done"))
+        centres = cut_lineage(centres.filter("done").unionByName(d), "centres")
+        if centres.filter(~F.col("done")).isEmpty():
+            break
+    latest = colors.filter(F.greatest(*rgb).isNotNull()).groupBy(*PLAYER)
+    latest = latest.agg(F.max_by(tint, F.struct("frame_number", "det_no", "color_no")).alias("c"))
+    d = latest.alias("t").join(centres.alias("o"), same("o"))
+    first = off(F.col("t.c"), F.col("o.c0")) <= off(F.col("t.c"), F.col("o.c1"))
+    home = sum_of(F.col("o.c0")) <= sum_of(F.col("o.c1"))
+    return d.select(*[f"t.{k}" for k in PLAYER], F.when(first == home, "home").otherwise("away").alias("team"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtflow.constants import EDGE_CASES, FAILURE_MODES, FPS, VALIDATION_ADVICE
@@ -399,12 +399,14 @@ def failure_modes(assigned: DataFrame) -> DataFrame:
 
 
 def validation_recommendations(metrics: DataFrame) -> DataFrame:
-    """Advice lines per row from precision, recall, F1 and the frame time."""
+    """Advice lines per row from precision, recall, F1, the edge cases found and the frame time."""
+    found = lambda case: F.array_contains("edge_cases_found", EDGE_CASES[case])
     lines = F.array_compact(
         F.array(
             F.when(F.col("precision") < 0.85, F.lit(VALIDATION_ADVICE["precision"])),
             F.when(F.col("recall") < 0.80, F.lit(VALIDATION_ADVICE["recall"])),
             F.when(F.col("f1_score") < 0.82, F.lit(VALIDATION_ADVICE["f1_score"])),
+            *[F.when(found(case), F.lit(VALIDATION_ADVICE[case])) for case in EDGE_CASES],
             F.when(F.col("processing_time_per_frame") > 0.1, F.lit(VALIDATION_ADVICE["speed"])),
         )
     )
@@ -452,8 +454,10 @@ def annotation_stats(truth: DataFrame) -> DataFrame:
 
 
 def most_active_players(truth: DataFrame, top: int = 5) -> DataFrame:
-    d = truth.filter(F.col("true_player").isNotNull())
-    return d.groupBy("true_player").agg(_n().alias("n")).orderBy(F.desc("n"), "true_player").limit(top)
+    """The players of each match with most annotated frames."""
+    d = truth.filter(F.col("true_player").isNotNull()).groupBy("match_id", "true_player").agg(_n().alias("n"))
+    rank = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc("n"), "true_player"))
+    return d.withColumn("__rank", rank).filter(F.col("__rank") <= top).drop("__rank")
 
 
 def validation_summary_table(reports: DataFrame) -> DataFrame:

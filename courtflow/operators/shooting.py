@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -315,12 +317,12 @@ def _goals():
 
 
 def shooting_summary(shots: DataFrame) -> DataFrame:
-    """Totals overall and split by team, position and zone, in one pass: each shot
+    """Totals of each match, overall and split by team, position and zone, in one pass: each shot
     is expanded to its four groups and combined map-side."""
     sets = [("all", F.lit("all")), ("team", F.col("team")), ("position", F.col("position")), ("zone", F.col("zone"))]
     keys = F.explode(F.array(*[F.struct(F.lit(n).alias("grouping"), c.alias("value")) for n, c in sets]))
-    d = shots.select(keys.alias("k"), "result", "distance_to_goal", "angle_to_goal")
-    return d.groupBy("k.grouping", "k.value").agg(
+    d = shots.select("match_id", keys.alias("k"), "result", "distance_to_goal", "angle_to_goal")
+    return d.groupBy("match_id", "k.grouping", "k.value").agg(
         F.count(F.lit(1)).alias("shots"),
         _goals().alias("goals"),
         (F.count(F.lit(1)) - _goals()).alias("misses"),
@@ -349,26 +351,36 @@ def shots_by(shots: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def shot_outcomes(shots: DataFrame) -> DataFrame:
+    """Shots of each match per result, beside the match's share of goals."""
+    d = shots.groupBy("match_id", "result").agg(F.count(F.lit(1)).alias("n"))
+    match = Window.partitionBy("match_id")  # over a handful of results
+    goals = F.sum(F.when(F.col("result") == "goal", F.col("n")).otherwise(0)).over(match)
+    return d.withColumn("success_rate", goals / F.sum("n").over(match))
+
+
 def expected_goals(shots: DataFrame) -> DataFrame:
     """Sum of success probabilities next to the goals scored, per match and team."""
     p = shot_success_probability("distance_to_goal", "angle_to_goal", "position")
     return shots.groupBy("match_id", "team").agg(F.sum(p).alias("expected_goals"), _goals().alias("goals"))
 
 
-def success_rate_by_distance_bin(shots: DataFrame, bins: int = 5) -> DataFrame:
-    """Goal share in equal-width, right-closed distance bins over the range seen."""
-    edge = shots.agg(F.min("distance_to_goal").alias("lo"), F.max("distance_to_goal").alias("hi"))  # one row
+def success_rate_by_distance_bin(shots: DataFrame, bins: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+    """Goal share in equal-width, right-closed distance bins over the range seen, for all shots
+    or for each group of ``keys`` (a match)."""
+    edge = shots.groupBy(*keys).agg(F.min("distance_to_goal").alias("lo"), F.max("distance_to_goal").alias("hi"))
     same = F.col("lo") == F.col("hi")
     pad = lambda c: F.when(F.col(c) == 0, F.lit(0.001)).otherwise(F.lit(0.001) * F.abs(F.col(c)))
     edge = edge.select(
+        *keys,
         F.when(same, F.col("lo") - pad("lo")).otherwise(F.col("lo")).alias("lo"),
         F.when(same, F.col("hi") + pad("hi")).otherwise(F.col("hi")).alias("hi"),
     ).withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(float(bins)))
-    d = shots.crossJoin(F.broadcast(edge))
+    d = shots.join(edge, list(keys)) if keys else shots.crossJoin(F.broadcast(edge))  # one row
     case = F.when(F.col("distance_to_goal") <= F.col("lo") + F.col("step"), F.lit(0))
     for i in range(1, bins - 1):
         case = case.when(F.col("distance_to_goal") <= F.col("lo") + F.lit(float(i + 1)) * F.col("step"), F.lit(i))
     d = d.withColumn("bin", case.otherwise(F.lit(bins - 1)).cast("long"))
-    return d.groupBy("bin").agg(
+    return d.groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).alias("attempts"), (_goals() / F.count(F.lit(1))).alias("success_rate")
     )

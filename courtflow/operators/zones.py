@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from courtflow.constants import FPS, NO_VIOLATIONS, VIOLATION_ADVICE, ZONE_RULES
@@ -127,7 +127,7 @@ def overflow_violations(players: DataFrame) -> DataFrame:
         .withColumn("severity", F.lit("critical"))
         .withColumn(
             "description",
-            F.concat(F.lit("Team "), F.col("team"), F.lit(" has "), F.col("n").cast("string"), F.lit(" players in "), where),
+            F.concat(F.lit("Team "), F.coalesce("team", F.lit("None")), F.lit(" has "), F.col("n").cast("string"), F.lit(" players in "), where),
         )
     )
 
@@ -163,7 +163,7 @@ def enhanced_zone_violations(players: DataFrame) -> DataFrame:
 
 
 def violation_marginals(violations: DataFrame) -> DataFrame:
-    """Counts by type, severity, player, zone and frame and the grand total.
+    """Counts of each match by type, severity, player, zone and frame, and its total.
 
     Each row is expanded into six small keys and counted, so the counting is
     combined before the shuffle like any other aggregate."""
@@ -176,7 +176,8 @@ def violation_marginals(violations: DataFrame) -> DataFrame:
         ("total", F.lit("all")),
     ]
     keys = F.explode(F.array(*[F.struct(F.lit(n).alias("grouping"), c.alias("value")) for n, c in sets]))
-    return violations.select(keys.alias("k")).groupBy("k.grouping", "k.value").agg(F.count(F.lit(1)).alias("n"))
+    d = violations.select("match_id", keys.alias("k"))
+    return d.groupBy("match_id", "k.grouping", "k.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def zone_occupancy(players: DataFrame) -> DataFrame:
@@ -235,34 +236,33 @@ def zone_transition_summary(players: DataFrame, size: int = CHUNK_FRAMES) -> Dat
 
 
 def heatmap(players: DataFrame, grid: int = 20) -> DataFrame:
-    """Player counts per grid cell of their home / away zone."""
+    """Player counts of each match per grid cell of their home / away zone."""
     gx, gy = zone_to_grid("zone", grid)
-    d = players.filter(F.col("zone").isNotNull()).select(gx.alias("grid_x"), gy.alias("grid_y"))
-    return d.groupBy("grid_x", "grid_y").agg(F.count(F.lit(1)).alias("n"))
+    d = players.filter(F.col("zone").isNotNull()).select("match_id", gx.alias("grid_x"), gy.alias("grid_y"))
+    return d.groupBy("match_id", "grid_x", "grid_y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def heatmap_binned(df: DataFrame, length: float, width: float, grid: int = 20) -> DataFrame:
-    """Counts per grid cell of the court coordinates, in-range rows only."""
+    """Counts of each match per grid cell of the court coordinates, in-range rows only."""
     gx = F.floor(F.col("court_x") / F.lit(length / grid)).cast("long")
     gy = F.floor(F.col("court_y") / F.lit(width / grid)).cast("long")
-    d = df.select(gx.alias("grid_x"), gy.alias("grid_y"))
+    d = df.select("match_id", gx.alias("grid_x"), gy.alias("grid_y"))
     d = d.filter(F.col("grid_x").between(0, grid - 1) & F.col("grid_y").between(0, grid - 1))
-    return d.groupBy("grid_x", "grid_y").agg(F.count(F.lit(1)).alias("n"))
+    return d.groupBy("match_id", "grid_x", "grid_y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def zone_distribution(players: DataFrame) -> DataFrame:
-    """Rows per zone with their share of all rows, in percent."""
-    per_zone = players.groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
-    total = per_zone.agg(F.sum("n").alias("total"))  # one row
-    return per_zone.crossJoin(F.broadcast(total)).select(
-        "zone", "n", (safe_div("n", "total") * F.lit(100.0)).alias("percentage")
-    )
+    """Rows of each match per zone with their share of the match's rows, in percent."""
+    per_zone = players.groupBy("match_id", "zone").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("match_id"))  # over a handful of zones
+    return per_zone.withColumn("percentage", safe_div("n", total) * F.lit(100.0))
 
 
-def violation_recommendations(violations: DataFrame) -> DataFrame:
-    """One row of advice lines from the mix of violations."""
+def violation_recommendations(violations: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """Advice lines per match from its mix of violations. ``matches`` (match_id) names those
+    that may have none."""
     advice = [(k, text) for k, text in VIOLATION_ADVICE.items() if k != "critical"]
-    counts = violations.agg(
+    counts = violations.groupBy("match_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("severity") == "critical").alias("critical"),
         *[F.count_if(F.col("violation_type") == k).alias(k) for k, _ in advice],
@@ -274,7 +274,10 @@ def violation_recommendations(violations: DataFrame) -> DataFrame:
             F.lit(VIOLATION_ADVICE["critical"]),
         )
     )
+    if matches is not None:
+        counts = matches.select("match_id").distinct().join(counts, "match_id", "left").fillna(0, ["n", "critical", *[k for k, _ in advice]])
     none = F.array(F.lit(NO_VIOLATIONS))
     return counts.select(
+        "match_id",
         F.when(F.col("n") == 0, none).otherwise(F.array_compact(F.array(*lines))).alias("recommendations")
     )

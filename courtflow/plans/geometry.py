@@ -193,15 +193,15 @@ def _keys(df):
 
 @query(
     "filter_players",
-    f"SELECT {K} FROM @detections WHERE class_name='player' AND {W}*{HT} BETWEEN 900 AND 60000 AND {HT}/{W} >= 1.1e0 AND {W} > 16 AND {HT} > 32",
+    f"SELECT {K} FROM @detections WHERE class_name IN ('player', 'referee') AND {W}*{HT} BETWEEN 900 AND 60000 AND {HT}/{W} >= 1.1e0 AND {W} > 16 AND {HT} > 32",
 )
 def _fp(t):
-    return _keys(D.filter_players(t.players))
+    return _keys(D.filter_players(t.detections))
 
 
 @query(
     "filter_balls",
-    f"SELECT {K} FROM @detections WHERE confidence >= 0.3e0 AND {W}*{HT} BETWEEN 500 AND 3000 AND {HT}/{W} BETWEEN 0.8e0 AND 1.5e0 AND {W} BETWEEN 10 AND 100 AND {HT} BETWEEN 10 AND 100",
+    f"SELECT {K} FROM @detections WHERE class_name = 'ball' AND confidence >= 0.3e0 AND {W}*{HT} BETWEEN 500 AND 3000 AND {HT}/{W} BETWEEN 0.8e0 AND 1.5e0 AND {W} BETWEEN 10 AND 100 AND {HT} BETWEEN 10 AND 100",
 )
 def _fb(t):
     return _keys(D.filter_balls(t.detections))

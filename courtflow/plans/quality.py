@@ -337,6 +337,9 @@ q AS (SELECT *, CASE WHEN p+rc=0 THEN 0e0 ELSE 2e0*p*rc/(p+rc) END AS f1 FROM r)
     RR.format(src="@report_rows")
     + """ SELECT video_name, concat_ws(' | ', CASE WHEN p < 0.85e0 THEN 'Improve precision by tuning confidence thresholds' END,
  CASE WHEN rc < 0.8e0 THEN 'Improve recall by relaxing distance/overlap thresholds' END, CASE WHEN f1 < 0.82e0 THEN 'Balance precision and recall for better F1 score' END,
+ CASE WHEN list_contains(string_split(edge_text,','), 'Multiple players near ball') THEN 'Implement better multi-player possession resolution' END,
+ CASE WHEN list_contains(string_split(edge_text,','), 'Ball in air - no clear possession') THEN 'Add temporal smoothing for ball-in-air scenarios' END,
+ CASE WHEN list_contains(string_split(edge_text,','), 'Low confidence possession assignment') THEN 'Review confidence calculation algorithm' END,
  CASE WHEN processing_time_per_frame > 0.1e0 THEN 'Optimize processing speed for real-time analysis' END) AS recommendations FROM q""",
 )
 def _advice(t):
@@ -390,7 +393,8 @@ def _annotations(t):
 
 @query(
     "most_active_players",
-    "SELECT true_player, COUNT(*) AS n FROM @truth WHERE true_player IS NOT NULL GROUP BY 1 ORDER BY n DESC, true_player LIMIT 5",
+    """WITH c AS (SELECT match_id, true_player, COUNT(*) AS n FROM @truth WHERE true_player IS NOT NULL GROUP BY 1, 2)
+SELECT * FROM c QUALIFY ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY n DESC, true_player) <= 5""",
 )
 def _active(t):
     return Q.most_active_players(t.truth)

@@ -180,6 +180,33 @@ def _color_stats(t):
     return O.team_color_stats(t.jersey_colors)
 
 
-@query("cluster_teams")
+def _off(a: str, b: str) -> str:
+    return "(" + "+".join(f"({a}.{x}-{b}{x})*({a}.{x}-{b}{x})" for x in "rgb") + ")"
+
+
+def _rounds(n: int) -> str:
+    """The rounds of the clustering, each from the centres of the one before."""
+    out = []
+    for i in range(n):
+        mean = ", ".join(f"CASE WHEN o.done OR coalesce(m.n{k},0) = 0 THEN o.{c}{x} ELSE m.{x}{k}/m.n{k} END AS {c}{x}" for k, c in ((0, "p"), (1, "q")) for x in "rgb")
+        near = f"{_off('t', 'o.p')} <= {_off('t', 'o.q')}"
+        sums = ", ".join(f"SUM(t.{x}*t.n) FILTER (WHERE {'NOT ' * k}({near})) AS {x}{k}" for k in (0, 1) for x in "rgb")
+        counts = ", ".join(f"SUM(t.n) FILTER (WHERE {'NOT ' * k}({near})) AS n{k}" for k in (0, 1))
+        out.append(f"""m{i} AS (SELECT t.match_id, {sums}, {counts} FROM tones t JOIN k{i} o USING (match_id) GROUP BY 1),
+w{i} AS (SELECT o.match_id, o.done, {", ".join(f"o.{c}{x} AS {c}{x}0" for c in "pq" for x in "rgb")}, {mean} FROM k{i} o JOIN m{i} m USING (match_id)),
+k{i + 1} AS MATERIALIZED (SELECT match_id, {", ".join(f"{c}{x}" for c in "pq" for x in "rgb")}, done OR greatest({", ".join("+".join(f"({c}{x}-{c}{x}0)*({c}{x}-{c}{x}0)" for x in "rgb") for c in "pq")}) <= 1 AS done FROM w{i})""")
+    return ",\n".join(out)
+
+
+CLUSTERS = f"""WITH tones AS MATERIALIZED (SELECT match_id, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b, CAST(COUNT(*) AS DOUBLE) AS n FROM @jersey_colors GROUP BY ALL),
+dark AS (SELECT match_id, r AS pr, g AS pg, b AS pb FROM tones QUALIFY ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY r+g+b, r, g, b) = 1),
+k0 AS MATERIALIZED (SELECT d.*, t.r AS qr, t.g AS qg, t.b AS qb, false AS done FROM tones t JOIN dark d USING (match_id)
+ QUALIFY ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY {_off('t', 'd.p')} DESC, t.r DESC, t.g DESC, t.b DESC) = 1),
+{_rounds(20)},
+latest AS (SELECT * FROM @jersey_colors QUALIFY ROW_NUMBER() OVER (PARTITION BY match_id, player_id ORDER BY frame_number DESC, det_no DESC, color_no DESC) = 1)
+SELECT t.match_id, t.player_id, CASE WHEN ({_off('t', 'o.p')} <= {_off('t', 'o.q')}) = (pr+pg+pb <= qr+qg+qb) THEN 'home' ELSE 'away' END AS team FROM latest t JOIN k20 o USING (match_id)"""
+
+
+@query("cluster_teams", CLUSTERS)
 def _cluster(t):
     return O.cluster_teams(t.jersey_colors)

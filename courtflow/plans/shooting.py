@@ -196,8 +196,8 @@ SUM_COLS = f"COUNT(*) AS shots, {GOALS} AS goals, COUNT(*) - {GOALS} AS misses,
 
 @query(
     "shooting_summary",
-    f"SELECT 'all' AS grouping, 'all' AS value, {SUM_COLS} UNION ALL SELECT 'team', team, {SUM_COLS} GROUP BY team "
-    f"UNION ALL SELECT 'position', position, {SUM_COLS} GROUP BY position UNION ALL SELECT 'zone', zone, {SUM_COLS} GROUP BY zone",
+    f"SELECT match_id, 'all' AS grouping, 'all' AS value, {SUM_COLS} GROUP BY match_id UNION ALL SELECT match_id, 'team', team, {SUM_COLS} GROUP BY match_id, team "
+    f"UNION ALL SELECT match_id, 'position', position, {SUM_COLS} GROUP BY match_id, position UNION ALL SELECT match_id, 'zone', zone, {SUM_COLS} GROUP BY match_id, zone",
 )
 def _summary(t):
     return shown(shown(S.shooting_summary(t.shots), "success_rate"), "average_distance", "average_angle", places=8)
@@ -213,22 +213,26 @@ def _player(t):
     return shown(shown(S.player_shooting_stats(t.shots), "success_rate"), "average_distance", "average_angle", places=8)
 
 
-@query("shots_by_zone", f"SELECT zone, COUNT(*) AS attempts, {GOALS} AS goals, {RATE} AS accuracy FROM @shots GROUP BY 1")
+@query("shots_by_zone", f"SELECT match_id, zone, COUNT(*) AS attempts, {GOALS} AS goals, {RATE} AS accuracy FROM @shots GROUP BY 1, 2")
 def _by_zone(t):
-    return shown(S.shots_by(t.shots, "zone"), "accuracy")
+    return shown(S.shots_by(t.shots, "match_id", "zone"), "accuracy")
 
 
 @query(
     "shots_by_player",
-    f"SELECT shooter_id, COUNT(*) AS attempts, {GOALS} AS goals, {RATE} AS accuracy FROM @shots GROUP BY 1",
+    f"SELECT match_id, shooter_id, COUNT(*) AS attempts, {GOALS} AS goals, {RATE} AS accuracy FROM @shots GROUP BY 1, 2",
 )
 def _by_player(t):
-    return shown(S.shots_by(t.shots, "shooter_id"), "accuracy")
+    return shown(S.shots_by(t.shots, "match_id", "shooter_id"), "accuracy")
 
 
-@query("shot_outcomes", f"SELECT result, COUNT(*) AS n FROM @shots GROUP BY 1")
+@query(
+    "shot_outcomes",
+    """WITH o AS (SELECT match_id, result, COUNT(*) AS n FROM @shots GROUP BY 1, 2)
+SELECT match_id, result, n, ROUND(SUM(CASE WHEN result='goal' THEN n ELSE 0 END) OVER w/CAST(SUM(n) OVER w AS DOUBLE), 6) AS success_rate FROM o WINDOW w AS (PARTITION BY match_id)""",
+)
 def _outcomes(t):
-    return t.shots.groupBy("result").agg(F.count(F.lit(1)).alias("n"))
+    return shown(S.shot_outcomes(t.shots), "success_rate")
 
 
 @query(
@@ -243,10 +247,10 @@ def _expected(t):
 
 @query(
     "success_rate_by_distance_bin",
-    f"""WITH e AS (SELECT MIN(distance_to_goal) AS lo, (MAX(distance_to_goal)-MIN(distance_to_goal))/5e0 AS st FROM @shots),
-b AS (SELECT CAST(CASE WHEN distance_to_goal <= lo+st THEN 0 WHEN distance_to_goal <= lo+2e0*st THEN 1 WHEN distance_to_goal <= lo+3e0*st THEN 2
- WHEN distance_to_goal <= lo+4e0*st THEN 3 ELSE 4 END AS BIGINT) AS bin, result FROM @shots, e)
-SELECT bin, COUNT(*) AS attempts, {RATE} AS success_rate FROM b GROUP BY 1""",
+    f"""WITH e AS (SELECT match_id, MIN(distance_to_goal) AS lo, (MAX(distance_to_goal)-MIN(distance_to_goal))/5e0 AS st FROM @shots GROUP BY 1),
+b AS (SELECT match_id, CAST(CASE WHEN distance_to_goal <= lo+st THEN 0 WHEN distance_to_goal <= lo+2e0*st THEN 1 WHEN distance_to_goal <= lo+3e0*st THEN 2
+ WHEN distance_to_goal <= lo+4e0*st THEN 3 ELSE 4 END AS BIGINT) AS bin, result FROM @shots JOIN e USING (match_id))
+SELECT match_id, bin, COUNT(*) AS attempts, {RATE} AS success_rate FROM b GROUP BY 1, 2""",
 )
 def _bins(t):
-    return shown(S.success_rate_by_distance_bin(t.shots), "success_rate")
+    return shown(S.success_rate_by_distance_bin(t.shots, keys=["match_id"]), "success_rate")

@@ -41,7 +41,7 @@ def _stabilize(t):
 
 @query("stabiliser_statistics")
 def _stats(t):
-    return shown(T.stabiliser_statistics(T.stabilize_bboxes(t.detections)), "avg_stability", "avg_frames_seen", "avg_confidence")
+    return shown(T.stabiliser_statistics(T.stabilize_bboxes(t.detections), t.detections), "avg_stability", "avg_frames_seen", "avg_confidence")
 
 
 def track(t):

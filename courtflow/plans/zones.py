@@ -77,12 +77,12 @@ def _overflow(t):
 @query(
     "violation_marginals",
     ENHANCED
-    + """ SELECT 'type' AS grouping, violation_type AS value, COUNT(*) AS n FROM ev GROUP BY 2
- UNION ALL SELECT 'severity', severity, COUNT(*) FROM ev GROUP BY 2
- UNION ALL SELECT 'player', CAST(player_id AS VARCHAR), COUNT(*) FROM ev GROUP BY 2
- UNION ALL SELECT 'zone', zone, COUNT(*) FROM ev GROUP BY 2
- UNION ALL SELECT 'frame', CAST(frame_number AS VARCHAR), COUNT(*) FROM ev GROUP BY 2
- UNION ALL SELECT 'total', 'all', COUNT(*) FROM ev""",
+    + """ SELECT match_id, 'type' AS grouping, violation_type AS value, COUNT(*) AS n FROM ev GROUP BY 1, 3
+ UNION ALL SELECT match_id, 'severity', severity, COUNT(*) FROM ev GROUP BY 1, 3
+ UNION ALL SELECT match_id, 'player', CAST(player_id AS VARCHAR), COUNT(*) FROM ev GROUP BY 1, 3
+ UNION ALL SELECT match_id, 'zone', zone, COUNT(*) FROM ev GROUP BY 1, 3
+ UNION ALL SELECT match_id, 'frame', CAST(frame_number AS VARCHAR), COUNT(*) FROM ev GROUP BY 1, 3
+ UNION ALL SELECT match_id, 'total', 'all', COUNT(*) FROM ev GROUP BY 1""",
 )
 def _marginals(t):
     return Z.violation_marginals(Z.enhanced_zone_violations(t.players))
@@ -91,17 +91,18 @@ def _marginals(t):
 @query(
     "violation_recommendations",
     ENHANCED
-    + """ SELECT concat_ws(' | ',
+    + """ , m AS (SELECT DISTINCT match_id AS m FROM @detections WHERE class_name = 'player')
+SELECT m AS match_id, CASE WHEN COUNT(violation_type) = 0 THEN 'No zone violations detected - system working correctly' ELSE concat_ws(' | ',
  CASE WHEN COUNT(*) FILTER (WHERE violation_type='out_of_bounds') > 0 THEN 'High out-of-bounds violations - check court boundary calibration' END,
  CASE WHEN COUNT(*) FILTER (WHERE violation_type='goal_circle_overflow') > 0 THEN 'Goal circle overflow violations - implement team counting logic' END,
  CASE WHEN COUNT(*) FILTER (WHERE violation_type='center_circle_overflow') > 0 THEN 'Center circle overflow violations - implement team counting logic' END,
  CASE WHEN COUNT(*) FILTER (WHERE violation_type='position_restriction') > 0 THEN 'Position restriction violations - improve position detection accuracy' END,
  CASE WHEN COUNT(*) FILTER (WHERE severity='critical') > COUNT(*)*0.5e0 THEN 'High number of critical violations - review rule implementation' END
- ) AS recommendations FROM ev""",
+ ) END AS recommendations FROM m LEFT JOIN ev ON match_id = m GROUP BY m""",
 )
 def _recommend(t):
-    df = Z.violation_recommendations(Z.enhanced_zone_violations(t.players))
-    return df.select(F.array_join("recommendations", " | ").alias("recommendations"))
+    df = Z.violation_recommendations(Z.enhanced_zone_violations(t.players), t.players)
+    return df.select("match_id", F.array_join("recommendations", " | ").alias("recommendations"))
 
 
 @query(
@@ -208,8 +209,8 @@ def _transition_summary(t):
 @query(
     "heatmap",
     HOME_AWAY
-    + """ SELECT CAST(CASE WHEN zone LIKE '%_home' THEN 3 WHEN zone LIKE '%_away' THEN 16 ELSE 10 END AS BIGINT) AS grid_x,
- CAST(10 AS BIGINT) AS grid_y, COUNT(*) AS n FROM z GROUP BY 1,2""",
+    + """ SELECT match_id, CAST(CASE WHEN zone LIKE '%_home' THEN 3 WHEN zone LIKE '%_away' THEN 16 ELSE 10 END AS BIGINT) AS grid_x,
+ CAST(10 AS BIGINT) AS grid_y, COUNT(*) AS n FROM z GROUP BY 1,2,3""",
 )
 def _heatmap(t):
     return Z.heatmap(zoned(t))
@@ -217,9 +218,9 @@ def _heatmap(t):
 
 @query(
     "heatmap_binned",
-    """WITH g AS (SELECT CAST(floor(court_x/(30.5e0/20)) AS BIGINT) AS grid_x, CAST(floor(court_y/(15.25e0/20)) AS BIGINT) AS grid_y
+    """WITH g AS (SELECT match_id, CAST(floor(court_x/(30.5e0/20)) AS BIGINT) AS grid_x, CAST(floor(court_y/(15.25e0/20)) AS BIGINT) AS grid_y
  FROM @detections WHERE class_name='player')
-SELECT grid_x, grid_y, COUNT(*) AS n FROM g WHERE grid_x BETWEEN 0 AND 19 AND grid_y BETWEEN 0 AND 19 GROUP BY 1,2""",
+SELECT match_id, grid_x, grid_y, COUNT(*) AS n FROM g WHERE grid_x BETWEEN 0 AND 19 AND grid_y BETWEEN 0 AND 19 GROUP BY 1,2,3""",
 )
 def _heatmap_binned(t):
     return Z.heatmap_binned(t.players, COURT_LENGTH, COURT_WIDTH)
@@ -227,7 +228,7 @@ def _heatmap_binned(t):
 
 @query(
     "zone_distribution",
-    ZONED + " SELECT zone, COUNT(*) AS n, ROUND(COUNT(*)/CAST(SUM(COUNT(*)) OVER () AS DOUBLE)*100e0, 6) AS percentage FROM z GROUP BY 1",
+    ZONED + " SELECT match_id, zone, COUNT(*) AS n, ROUND(COUNT(*)/CAST(SUM(COUNT(*)) OVER (PARTITION BY match_id) AS DOUBLE)*100e0, 6) AS percentage FROM z GROUP BY 1, 2",
 )
 def _distribution(t):
     return shown(Z.zone_distribution(Z.with_zone(t.players)), "percentage")
