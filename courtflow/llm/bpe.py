@@ -115,8 +115,14 @@ def encode_words(words: Column, known: tuple[Column, int, int]) -> Column:
     The state of the fold is one array: each id so far, with the rank of its pair with the next
     id before it, rank * PAIR + id, between two ends that merge with nothing. The least entry at
     its first place is the leftmost pair of lowest rank, and its rank is the id of the merged
-    piece; only the entries of this piece and of the one before it change.
+    piece; only the entries of this piece and of the one before it change. The literal map is bound
+    once, so that it stands in the plan once.
     """
+    places, *sizes = known
+    return _let(places, lambda bound: _encode_words(words, (bound, *sizes)))
+
+
+def _encode_words(words: Column, known: tuple[Column, int, int]) -> Column:
     end = F.lit(PAIR - 1).cast("long")
     edge = F.array(F.lit(NO_MERGE * PAIR + PAIR - 1).cast("long"))
 
