@@ -16,8 +16,8 @@ within 1/4 are linked.
   region that it shares with it most often; linked ones become one class. Regions with one
   class are done. The others, equal regions once, are cut into blocks, and every pair of blocks is
   searched apart: pairs of different classes whose sizes, differences up to the pivot, and
-  bucket counts (the L1 distance of 128 counts is at most the symmetric difference) still allow
-  a link are verified exactly.
+  bucket counts (the L1 distance of a bucket to every four shingles is at most the symmetric
+  difference) still allow a link leave the task, and are verified exactly.
 
 Nothing is capped: a region of any size is split into blocks of bounded size, and what is left
 out is only what the bounds prove to be unlinked or what is in one class already.
@@ -205,14 +205,29 @@ def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return _wanted(texts, nodes).mapInArrow(run, "node long, s binary")
 
 
+def packed_counts(own: np.ndarray) -> bytes:
+    """Bucket counts with a bucket to every four shingles or fewer, a power of two from 128 on; up to
+    255, which brings two sets no further apart."""
+    bits = max(7, int(np.ceil(np.log2(max(len(own), 1) / 4)))) if len(own) > 4 else 7
+    return np.minimum(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference from two packed counts; the finer one is folded."""
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int32) for c in (a, b))
+    if len(x) > len(y):
+        x = x.reshape(len(y), -1).sum(axis=1)
+    elif len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(axis=1)
+    return int(np.abs(x - y).sum())
+
+
 def _counts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, counts): the set's 128 bucket counts, up to 255, which brings two sets no further apart."""
+    """(node, counts): the set's packed bucket counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            counts = [np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS) for s in sets]
-            packed = [np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts]
+            packed = [packed_counts(shingles(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "counts"])
 
     return _wanted(texts, nodes).mapInArrow(run, "node long, counts binary")
@@ -234,18 +249,19 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return two.select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
 
 
-def block_pairs(nodes, n, alone, labels, counts, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+def block_pairs(nodes, n, alone, labels, coarse, fine, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pairs of a left and a right row, of different classes, whose sizes, differences up to the
-    pivot and bucket counts allow a link."""
+    pivot, and coarse and then fine bucket counts allow a link."""
     for i in left:
         others = right if left is not right else right[right > i]
         small, large = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
         fits = (labels[others] != labels[i]) & (4 * small >= 3 * large) & (7 * (alone[others] + alone[i]) <= n[others] + n[i])
         others = others[fits]
         if len(others):
-            others = others[7 * np.abs(counts[others] - counts[i]).sum(axis=1, dtype=np.int64) <= n[others] + n[i]]
+            others = others[7 * np.abs(coarse[others] - coarse[i]).sum(axis=1, dtype=np.int64) <= n[others] + n[i]]
         for j in others:
-            yield (int(nodes[i]), int(nodes[j])) if nodes[i] < nodes[j] else (int(nodes[j]), int(nodes[i]))
+            if 7 * apart(fine[i], fine[j]) <= n[i] + n[j]:
+                yield (int(nodes[i]), int(nodes[j])) if nodes[i] < nodes[j] else (int(nodes[j]), int(nodes[i]))
 
 
 #: What a task of the search is known by.
@@ -293,58 +309,19 @@ def open_pairs(texts: DataFrame, alive: DataFrame, labels: DataFrame, block_rows
         key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("pivot", "i", "j")])
         starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if rows.num_rows else np.zeros(0, np.int64)
         nodes, n, alone, labels, own = (rows.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "alone", "label", "own"))
-        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+        fine = rows.column("counts").to_pylist()
+        coarse = np.array([np.frombuffer(c, np.uint8).reshape(BUCKETS, -1).sum(axis=1) for c in fine], np.int32).reshape(-1, BUCKETS)
         found = set()
         for a, b in zip(starts, np.append(starts[1:], rows.num_rows)):
             members, i, j = np.arange(a, b), key[1, a], key[2, a]
             left = members if i == j else members[own[a:b] == i]
-            found.update(block_pairs(nodes, n, alone, labels, counts, left, left if i == j else members[own[a:b] == j]))
+            found.update(block_pairs(nodes, n, alone, labels, coarse, fine, left, left if i == j else members[own[a:b] == j]))
         x, y = zip(*sorted(found)) if found else ((), ())
         return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
     return held.groupBy(*TASK).applyInArrow(run, "x long, y long").distinct()
 
 
-def packed_counts(own: np.ndarray) -> bytes:
-    """Bucket counts with a bucket to every four shingles or fewer, a power of two."""
-    bits = max(7, int(np.ceil(np.log2(max(len(own), 1) / 4)))) if len(own) > 4 else 7
-    return np.minimum(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
-
-
-def apart(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference from two packed counts; the finer one is folded."""
-    x, y = (np.frombuffer(c, np.uint8).astype(np.int32) for c in (a, b))
-    while len(x) > len(y):
-        x = x.reshape(-1, 2).sum(axis=1)
-    while len(y) > len(x):
-        y = y.reshape(-1, 2).sum(axis=1)
-    return int(np.abs(x - y).sum())
-
-
-def near_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of (x, y) pairs, those whose finer bucket counts still allow a link: these take a
-    thirtieth of the sets' bytes and settle most pairs of long documents."""
-    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            columns = [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([packed_counts(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "counts"])
-
-    counts = cut_lineage(_wanted(texts, nodes).mapInArrow(pack, "node long, n long, counts binary"), "jaccard-counts")
-    one = pairs.join(counts.select(F.col("node").alias("x"), F.col("n").alias("m"), F.col("counts").alias("a")), "x")
-    two = one.join(counts.select(F.col("node").alias("y"), "n", F.col("counts").alias("b")), "y").select("x", "y", "m", "n", "a", "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            keep = [7 * apart(r["a"], r["b"]) <= r["m"] + r["n"] for r in batch.to_pylist()]
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("x"), kept.column("y")], ["x", "y"])
-
-    return two.mapInArrow(run, "x long, y long").distinct()
-
-
 def join_links(docs: DataFrame, sizes: DataFrame, id_column: str = "doc_id", sample_rows: int = 8000, least: int = 3, block_rows: int = 2048) -> DataFrame:
     """(x, y) links that connect all linked documents; ``sizes`` as from ``set_sizes``."""
     texts = _texts(docs, id_column)
@@ -361,7 +338,6 @@ def join_links(docs: DataFrame, sizes: DataFrame, id_column: str = "doc_id", sam
     links = cut_lineage(verified(texts, leaders).unionByName(equal), "jaccard-links")
     labels = components(links)
     pairs = cut_lineage(open_pairs(texts, alive, labels, block_rows), "jaccard-pairs")
-    pairs = cut_lineage(near_pairs(texts, pairs), "jaccard-near")
     return links.unionByName(verified(texts, pairs))
 
 
