@@ -41,6 +41,8 @@ FOLD_BYTES = 48
 #: Larger than any id; ids and ranks packed into one number take these bits.
 PAIR_BITS, RANK_BITS = 20, 17
 PAIR, RANKS = 1 << PAIR_BITS, 1 << RANK_BITS
+#: The text of plans that Spark keeps for display: its default, and as short as it is kept here.
+PLAN_DEFAULT, PLAN_TEXT = "2147483632b", "100000"
 #: The rank of pairs that do not merge; longer than any word to be folded, with its ends.
 NO_MERGE, WIDE = RANKS, 64
 
@@ -218,6 +220,8 @@ def encode(
     """``keep`` (columns without the text), ids, an array of ints, and raw, the same ids as
     little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
+    if spark.conf.get("spark.sql.maxPlanStringLength") == PLAN_DEFAULT:  # the rank map's text is a megabyte in each
+        spark.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     known = rank_map(ranks)
     common = [w for w in frequent_words(docs, pattern, sample_rows, frequent) if len(w.encode()) <= FOLD_BYTES]
     common_at = {w: -1 - i for i, w in enumerate(common)}
