@@ -15,9 +15,12 @@ within 1/4 are linked.
 * Regions are searched once, without recursion. First each document is compared with the leader (smallest id) of the
   region that it shares with it most often; linked ones become one class. Regions with one
   class are done. The others, equal regions once, are cut into blocks, and every pair of blocks is
-  searched apart: pairs of different classes whose sizes, differences up to the pivot, and
-  bucket counts (the L1 distance of a bucket to every four shingles is at most the symmetric
-  difference) still allow a link leave the task, and are verified exactly.
+  searched apart for pairs of different classes whose sizes, differences up to the pivot, and odd
+  buckets (buckets that hold an odd number of one set's shingles only are at most as many as
+  the symmetric difference; with four buckets or more to a shingle they are nearly as many) still
+  allow a link. Of these a task emits those that connect its classes first, a forest; they are
+  verified exactly. Only if some of them are no links is the search repeated, among the classes
+  that are left, and every pair then found is verified.
 
 Nothing is capped: a region of any size is split into blocks of bounded size, and what is left
 out is only what the bounds prove to be unlinked or what is in one class already.
@@ -47,7 +50,8 @@ from courtflow.llm.common import cut_lineage, query, table, text_of
 from courtflow.llm.components import components
 
 WORDS = 5
-BUCKETS = 128
+#: 64-bit words of the coarsest odd buckets.
+COARSE = 16
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SHORT = np.uint64(0xE7037ED1A0B428DB)
 #: Words of 64 bits in the filter of wanted ids: 8 MB, whatever the data.
@@ -205,38 +209,40 @@ def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return _wanted(texts, nodes).mapInArrow(run, "node long, s binary")
 
 
-def packed_counts(own: np.ndarray) -> bytes:
-    """Bucket counts with a bucket to every four shingles or fewer, a power of two from 128 on; up to
-    255, which brings two sets no further apart."""
-    bits = max(7, int(np.ceil(np.log2(max(len(own), 1) / 4)))) if len(own) > 4 else 7
-    return np.minimum(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+def odd_buckets(own: np.ndarray) -> bytes:
+    """A bit for each bucket: whether it holds an odd number of shingles. Four buckets or more to a
+    shingle, a power of two from 64 * COARSE on."""
+    bits = max((64 * COARSE).bit_length() - 1, (4 * max(len(own), 1) - 1).bit_length())
+    held = np.bincount((own & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def apart(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference from two packed counts; the finer one is folded."""
-    x, y = (np.frombuffer(c, np.uint8).astype(np.int32) for c in (a, b))
-    if len(x) > len(y):
-        x = x.reshape(len(y), -1).sum(axis=1)
-    elif len(y) > len(x):
-        y = y.reshape(len(x), -1).sum(axis=1)
-    return int(np.abs(x - y).sum())
+def folded(odd: np.ndarray, words: int) -> np.ndarray:
+    """The same with fewer buckets, ``words`` 64-bit words: a bucket joins those equal modulo the number of them."""
+    return np.bitwise_xor.reduce(odd.reshape(-1, words), axis=0)
 
 
-def _counts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, counts): the set's packed bucket counts."""
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the symmetric difference from two sets' odd buckets."""
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+
+
+def _odds(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, odd): the set's odd buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            packed = [packed_counts(shingles(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "counts"])
+            packed = [odd_buckets(shingles(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "odd"])
 
-    return _wanted(texts, nodes).mapInArrow(run, "node long, counts binary")
+    return _wanted(texts, nodes).mapInArrow(run, "node long, odd binary")
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of (x, y) pairs, those that are linked."""
     nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
-    sets = _sets(texts, nodes)
+    sets = cut_lineage(_sets(texts, nodes), "jaccard-sets")
     one = pairs.join(sets.select(F.col("node").alias("x"), F.col("s").alias("a")), "x")
     two = one.join(sets.select(F.col("node").alias("y"), F.col("s").alias("b")), "y")
 
@@ -249,19 +255,22 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return two.select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
 
 
-def block_pairs(nodes, n, alone, labels, coarse, fine, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+def block_pairs(nodes, n, alone, labels, coarse, fine, left: np.ndarray, right: np.ndarray, forest: bool) -> Iterator[tuple[int, int]]:
     """Pairs of a left and a right row, of different classes, whose sizes, differences up to the
-    pivot, and coarse and then fine bucket counts allow a link."""
+    pivot, and coarse and then fine odd buckets allow a link. With ``forest`` the classes of a
+    pair become one in ``labels``, so that no further pair of theirs comes."""
     for i in left:
         others = right if left is not right else right[right > i]
         small, large = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
         fits = (labels[others] != labels[i]) & (4 * small >= 3 * large) & (7 * (alone[others] + alone[i]) <= n[others] + n[i])
         others = others[fits]
         if len(others):
-            others = others[7 * np.abs(coarse[others] - coarse[i]).sum(axis=1, dtype=np.int64) <= n[others] + n[i]]
+            others = others[7 * np.bitwise_count(coarse[others] ^ coarse[i]).sum(axis=1, dtype=np.int64) <= n[others] + n[i]]
         for j in others:
-            if 7 * apart(fine[i], fine[j]) <= n[i] + n[j]:
+            if labels[i] != labels[j] and 7 * apart(fine[i], fine[j]) <= n[i] + n[j]:
                 yield (int(nodes[i]), int(nodes[j])) if nodes[i] < nodes[j] else (int(nodes[j]), int(nodes[i]))
+                if forest:
+                    labels[labels == labels[j]] = labels[i]
 
 
 #: What a task of the search is known by.
@@ -283,8 +292,8 @@ def block_tasks(held: DataFrame, block_rows: int) -> DataFrame:
     return held.withColumns({"task": F.when(single, F.pmod(F.xxhash64("pivot"), F.lit(groups))), "wide": F.when(~single, F.col("pivot"))})
 
 
-def open_pairs(texts: DataFrame, alive: DataFrame, labels: DataFrame, block_rows: int) -> DataFrame:
-    """(x, y) pairs of different classes that meet in a region and may be linked.
+def open_members(alive: DataFrame, labels: DataFrame, block_rows: int) -> DataFrame:
+    """The rows of regions with more than one class, with ``blocks``, the number of blocks of the region.
 
     ``alone`` counts the pivots of a document before the one of the region that no other
     document has among its own: the other document of a linked pair lacks them all.
@@ -300,22 +309,26 @@ def open_pairs(texts: DataFrame, alive: DataFrame, labels: DataFrame, block_rows
     # of regions with equal members one is enough: the last in the order, where most is known
     regions = regions.groupBy("members", "sig", "sig2").agg(F.max(F.struct("places", "pivot"))["pivot"].alias("pivot"))
     blocks = F.ceil(F.col("members") / F.lit(block_rows)).cast("int")
-    held = cut_lineage(rows.join(regions.select("pivot", blocks.alias("blocks")), "pivot"), "jaccard-open")
-    counts = _counts(texts, held.select("node"))
-    held = block_tasks(held, block_rows).join(counts, "node").select(*TASK, "pivot", "own", "node", "n", "alone", "label", "counts")
+    return cut_lineage(rows.join(regions.select("pivot", blocks.alias("blocks")), "pivot"), "jaccard-open")
+
+
+def open_pairs(held: DataFrame, odds: DataFrame, block_rows: int, forest: bool) -> DataFrame:
+    """(x, y) pairs of different classes that meet in a region and may be linked; with ``forest`` those
+    of each task that connect the classes which all of its pairs connect."""
+    held = block_tasks(held, block_rows).join(odds, "node").select(*TASK, "pivot", "own", "node", "n", "alone", "label", "odd")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("pivot", "ascending"), ("i", "ascending"), ("j", "ascending"), ("own", "ascending")])
         key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("pivot", "i", "j")])
         starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if rows.num_rows else np.zeros(0, np.int64)
         nodes, n, alone, labels, own = (rows.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "alone", "label", "own"))
-        fine = rows.column("counts").to_pylist()
-        coarse = np.array([np.frombuffer(c, np.uint8).reshape(BUCKETS, -1).sum(axis=1) for c in fine], np.int32).reshape(-1, BUCKETS)
+        fine = [np.frombuffer(c, np.uint64) for c in rows.column("odd").to_pylist()]
+        coarse = np.array([folded(c, COARSE) for c in fine], np.uint64).reshape(-1, COARSE)
         found = set()
         for a, b in zip(starts, np.append(starts[1:], rows.num_rows)):
             members, i, j = np.arange(a, b), key[1, a], key[2, a]
             left = members if i == j else members[own[a:b] == i]
-            found.update(block_pairs(nodes, n, alone, labels, coarse, fine, left, left if i == j else members[own[a:b] == j]))
+            found.update(block_pairs(nodes, n, alone, labels, coarse, fine, left, left if i == j else members[own[a:b] == j], forest))
         x, y = zip(*sorted(found)) if found else ((), ())
         return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
@@ -337,7 +350,15 @@ def join_links(docs: DataFrame, sizes: DataFrame, id_column: str = "doc_id", sam
     equal = copies.join(firsts, "digest").select(F.col("node").alias("x"), "y").filter("x <> y")
     links = cut_lineage(verified(texts, leaders).unionByName(equal), "jaccard-links")
     labels = components(links)
-    pairs = cut_lineage(open_pairs(texts, alive, labels, block_rows), "jaccard-pairs")
+    held = open_members(alive, labels, block_rows)
+    odds = cut_lineage(_odds(texts, held.select("node")), "jaccard-odd")
+    pairs = cut_lineage(open_pairs(held, odds, block_rows, forest=True), "jaccard-pairs")
+    right = cut_lineage(verified(texts, pairs), "jaccard-links")
+    links = links.unionByName(right)
+    if right.count() == pairs.count():
+        return links
+    held = open_members(alive, components(links), block_rows)
+    pairs = cut_lineage(open_pairs(held, odds, block_rows, forest=False), "jaccard-pairs")
     return links.unionByName(verified(texts, pairs))
 
 

@@ -155,7 +155,48 @@ def test_bounds_never_exceed_difference():
     for n in (3, 50, 3000):
         a = np.unique(rng.integers(0, 2**63, n, np.uint64) * np.uint64(2))
         b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**63, n, np.uint64) * np.uint64(2)]))
-        assert jaccard_join.apart(jaccard_join.packed_counts(a), jaccard_join.packed_counts(b)) <= len(np.setxor1d(a, b))
+        bound = jaccard_join.apart(*(np.frombuffer(jaccard_join.odd_buckets(s), np.uint64) for s in (a, b)))
+        assert bound <= len(np.setxor1d(a, b))
+        near = np.unique(np.concatenate([a[: n - n // 7], rng.integers(0, 2**63, n // 7, np.uint64) * np.uint64(2)]))
+        bound = jaccard_join.apart(*(np.frombuffer(jaccard_join.odd_buckets(s), np.uint64) for s in (a, near)))
+        assert bound >= 0.85 * len(np.setxor1d(a, near)) - 2
+
+
+@pytest.mark.parametrize("block_rows", [16, 2048])
+def test_template_family(spark, block_rows):
+    """One template with own words in place of a few of its own, in one stretch or spread: similarities
+    all around the threshold, so that some pairs that the bounds allow are no links."""
+    random.seed(9)
+    template, rows = [f"t{k}" for k in range(120)], []
+    for i in range(140):
+        t = list(template)
+        at = random.randrange(100)
+        for k in range(at, at + random.randrange(4, 16)) if i % 2 else random.sample(range(120), random.randrange(1, 5)):
+            t[k % 120] = f"own{i}x{k}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_copies(df, block_rows=block_rows).collect()}
+    assert got == brute_components(rows)
+
+
+def test_forest_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**63, 400, np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(base, 365, replace=False), rng.integers(0, 2**63, int(rng.integers(0, 60)), np.uint64)])) for _ in range(60)]
+    fine = [np.frombuffer(jaccard_join.odd_buckets(s), np.uint64) for s in sets]
+    coarse = np.array([jaccard_join.folded(f, jaccard_join.COARSE) for f in fine])
+    nodes, n, alone = np.arange(60), np.array([len(s) for s in sets]), np.zeros(60, np.int64)
+    every, tree = (set(jaccard_join.block_pairs(nodes, n, alone, np.arange(60), coarse, fine, nodes, nodes, forest)) for forest in (False, True))
+    linked = {(i, j) for i in range(60) for j in range(i + 1, 60) if jaccard_join.linked(sets[i], sets[j])}
+    assert linked <= every and tree <= every and 0 < len(tree) < 60
+
+    def classes(pairs):
+        label = list(range(60))
+        for i, j in pairs:
+            label = [label[i] if x == label[j] else x for x in label]
+        return {frozenset(k for k in range(60) if label[k] == x) for x in label}
+
+    assert classes(tree) == classes(every)
 
 
 def test_components_of_a_chain(spark):
