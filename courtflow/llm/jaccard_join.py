@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
@@ -273,19 +274,27 @@ def block_pairs(nodes, n, alone, labels, coarse, fine, left: np.ndarray, right:
                     labels[labels == labels[j]] = labels[i]
 
 
+def _views(column: pa.BinaryArray) -> list[np.ndarray]:
+    """The 64-bit words of each value, without a copy."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return [values[a:b].view(np.uint64) for a, b in zip(ends[:-1], ends[1:])]
+
+
 #: What a task of the search is known by.
 TASK = ["task", "wide", "i", "j"]
 
 
-def block_tasks(held: DataFrame, block_rows: int) -> DataFrame:
+def block_tasks(held: DataFrame, block_rows: int, shared: int = 16) -> DataFrame:
     """Members of the open regions, each once for every pair of blocks that it is in, with ``TASK``.
 
     A pair of blocks of a region of more than one is a task of its own: some two blocks' rows,
-    however large the region. Regions of one block share tasks of some 16 blocks' rows; they
+    however large the region. Regions of one block share tasks of some ``shared`` blocks' rows; they
     are not expanded, so their members are the rows that these tasks get.
     """
     single = F.col("blocks") == 1
-    groups = max(1, -(-held.filter(single).count() // (16 * block_rows)))
+    groups = max(1, -(-held.filter(single).count() // (shared * block_rows)))
     own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     held = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
@@ -315,14 +324,15 @@ def open_members(alive: DataFrame, labels: DataFrame, block_rows: int) -> DataFr
 def open_pairs(held: DataFrame, odds: DataFrame, block_rows: int, forest: bool) -> DataFrame:
     """(x, y) pairs of different classes that meet in a region and may be linked; with ``forest`` those
     of each task that connect the classes which all of its pairs connect."""
-    held = block_tasks(held, block_rows).join(odds, "node").select(*TASK, "pivot", "own", "node", "n", "alone", "label", "odd")
+    held = block_tasks(held, block_rows, shared=4).join(odds, "node").select(*TASK, "pivot", "own", "node", "n", "alone", "label", "odd")
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("pivot", "ascending"), ("i", "ascending"), ("j", "ascending"), ("own", "ascending")])
-        key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("pivot", "i", "j")])
+        odd = [v for chunk in rows.column("odd").chunks for v in _views(chunk)]  # the longest column is neither sorted nor copied
+        order = pc.sort_indices(rows.drop_columns(["odd"]), [("pivot", "ascending"), ("i", "ascending"), ("j", "ascending"), ("own", "ascending")]).to_numpy()
+        key = np.stack([rows.column(c).to_numpy().astype(np.int64)[order] for c in ("pivot", "i", "j")])
         starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if rows.num_rows else np.zeros(0, np.int64)
-        nodes, n, alone, labels, own = (rows.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "alone", "label", "own"))
-        fine = [np.frombuffer(c, np.uint64) for c in rows.column("odd").to_pylist()]
+        nodes, n, alone, labels, own = (rows.column(c).to_numpy().astype(np.int64)[order] for c in ("node", "n", "alone", "label", "own"))
+        fine = [odd[at] for at in order]
         coarse = np.array([folded(c, COARSE) for c in fine], np.uint64).reshape(-1, COARSE)
         found = set()
         for a, b in zip(starts, np.append(starts[1:], rows.num_rows)):
