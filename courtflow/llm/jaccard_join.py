@@ -244,10 +244,9 @@ def _odds(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of (x, y) pairs, those that are linked."""
-    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
-    sets = cut_lineage(_sets(texts, nodes), "jaccard-sets")
-    one = pairs.join(sets.select(F.col("node").alias("x"), F.col("s").alias("a")), "x")
-    two = one.join(sets.select(F.col("node").alias("y"), F.col("s").alias("b")), "y")
+    first, second = (_sets(texts, pairs.select(F.col(c).alias("node"))) for c in ("x", "y"))  # each side's own documents
+    one = pairs.join(first.select(F.col("node").alias("x"), F.col("s").alias("a")), "x")
+    two = one.join(second.select(F.col("node").alias("y"), F.col("s").alias("b")), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
