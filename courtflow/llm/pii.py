@@ -21,7 +21,7 @@ Found words go back to their documents by a row key in a stored table; only rows
 undecided words take part in that join.
 
 Edge cases: null and empty texts have no span; a repeated row is a row of its own; overlapping
-spans of different kinds all stay; redaction merges them; an empty table gives no row.
+spans of different kinds all stay; redaction merges them and keeps columns of any name; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -209,8 +209,11 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", **learning) -> DataFrame:
     """``docs`` with personal data in the text replaced; same columns, same rows."""
     columns = docs.columns
-    found = find(docs, columns, **learning)
-    return found.withColumn(text, redacted(F.col(text), F.col("all_spans"))).select(*columns)
+    # one struct, so that no column of theirs has the name of one made here
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("kept"), F.col(text).alias("text"))
+    found = find(packed, ["kept"], **learning)
+    masked = redacted(F.col("kept").getField(text), F.col("all_spans"))
+    return found.select(*[masked.alias(c) if c == text else F.col("kept").getField(c).alias(c) for c in columns])
 
 
 @query("op4_pii")

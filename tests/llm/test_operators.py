@@ -300,6 +300,14 @@ def test_redaction(docs, empty):
 # -- fingerprints
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = [(1, "write to a.b@example.com now", "s", 5, "w", "k", 2.0), (2, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_email int, words string, kept string, row double")
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "write to [EMAIL] now", "s", 5, "w", "k", 2.0), (2, None, None, None, None, None, None)]
+
+
 def test_edited_fingerprints(spark):
     rows = sorted(texts(spark).items())
     df = spark.createDataFrame(rows + [(10**6, None)], "doc_id long, text string").repartition(5)
