@@ -7,11 +7,15 @@ literal: an array with two possible places for each pair, since a lookup in a Sp
 its keys. Decoding looks every id up in a literal array of pieces and
 concatenates the binary.
 
-Only distinct words are folded. The most frequent words of a bounded sample (``sample_rows``
-documents, ``frequent`` words: fixed numbers) are folded once and shipped to the tasks; every
-other word is folded once per block of documents. A block is a run of documents of one task up
-to ``block_words`` distinct words, so memory is bounded, nothing is shuffled and a lost
-executor costs its own tasks. The sample only decides what is cached, never a result.
+Only distinct words are folded, each once for the whole table. The most frequent words of a
+bounded sample (``sample_rows`` documents, ``frequent`` words: fixed numbers) are folded first and
+shipped to the tasks; the sample only decides what is shipped, never a result. Documents go by
+blocks: a run of documents of one task up to ``block_words`` distinct other words or ``BLOCK_REFS``
+tokens, so memory is bounded. A document becomes the compressed numbers of its words within the
+block. The other words of all blocks are shuffled by word, the first row of each word is folded, and
+the ids go back to the blocks. A word stands at most once in a block, so no word is a hot key. Blocks
+are numbered by task, so the table has to be one whose partitions come out alike when read again,
+like files.
 
 Words beyond ``FOLD_BYTES`` bytes take the fold too long (its work grows with the square of the
 length), so those few are merged with a heap, with the same result.
@@ -25,14 +29,16 @@ from __future__ import annotations
 
 import base64
 import heapq
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtflow.llm.common import query, table, text_of
@@ -215,7 +221,7 @@ def encode(
     keep: list[str],
     sample_rows: int = 20_000,
     frequent: int = 150_000,
-    block_words: int = 100_000,
+    block_words: int = 300_000,
 ) -> DataFrame:
     """``keep`` (columns without the text), ids, an array of ints, and raw, the same ids as
     little-endian unsigned 32-bit integers."""
@@ -239,14 +245,36 @@ def encode(
 
     kept = docs.select(F.struct(*keep).alias("kept"), text_of(docs).alias("text"))
     kept_ddl = kept.schema["kept"].dataType.simpleString()
-    # role 0: a document with references to words; role 1: the words of the block that ends here
+    # a row is a document with references to words, or the words of the block that ends here
     rows = kept.mapInArrow(
-        lambda batches: _blocks(batches, to_blocks.value, pattern, block_words), f"role int, kept {kept_ddl}, refs array<int>, words array<array<bigint>>, others array<array<int>>"
-    ).select("role", "kept", "refs", "others", F.when(F.col("role") == 1, encode_words(F.col("words"), known)).alias("folded"))
-    return rows.mapInArrow(lambda batches: _assemble(batches, to_assemble.value), f"kept {kept_ddl}, ids array<int>, raw binary").select("kept.*", "ids", "raw")
-
-
-#: References of one block at most.
+        lambda batches: _blocks(batches, to_blocks.value, pattern, block_words),
+        f"block bigint, kept {kept_ddl}, refs binary, words array<binary>, others array<array<int>>",
+    ).repartition("block")
+    # all columns are named and nothing is filtered below, so that this reads the exchange of the documents
+    all_null = F.col("kept").isNull() & F.col("refs").isNull() & F.col("others").isNull()
+    words = F.coalesce("words", F.when(all_null, F.col("words")))
+    asked = rows.select("block", F.posexplode_outer(words).alias("at", "word")).filter(F.col("at").isNotNull())
+    folded = fold_once(asked, known, byte_ids)
+
+    def ids_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _assemble(left, right, to_assemble.value)
+
+    out = rows.groupBy("block").cogroup(folded.groupBy("block")).applyInArrow(ids_of, f"kept {kept_ddl}, ids array<int>, raw binary")
+    return out.select("kept.*", "ids", "raw")
+
+
+def fold_once(asked: DataFrame, known: tuple[Column, int, int], byte_ids: list[int]) -> DataFrame:
+    """block, at, ids of ``asked`` (block, at, word): the first row of each word is folded, the others
+    take over its ids."""
+    of_byte = F.from_json(F.lit(str(byte_ids)), "array<bigint>")
+    in_bytes = F.transform(F.split(F.decode("word", "ISO-8859-1"), ""), lambda c: F.get(of_byte, F.ascii(c)))
+    same = Window.partitionBy("word").orderBy("block")
+    first = asked.withColumn("place", F.row_number().over(same))
+    first = first.withColumn("ids", F.when(F.col("place") == 1, F.get(encode_words(F.array(in_bytes), known), F.lit(0)).cast("array<int>")))
+    return first.select("block", "at", F.first("ids", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)).alias("ids"))
+
+
+#: References of one block at most, but for one document's.
 BLOCK_REFS = 4_000_000
 #: Documents that a task holds as Python lists or index arrays at a time.
 PIECE_ROWS = 250
@@ -255,18 +283,20 @@ PIECE_ROWS = 250
 def _blocks(batches, shipped, pattern: str, block_words: int) -> Iterator[pa.RecordBatch]:
     common_at, ranks = shipped
     find = regex.compile(pattern).findall
+    pack = zstandard.ZstdCompressor(level=1).compress
+    number = TaskContext.get().partitionId() << 32
     own: dict[str, int] = {}
-    byte_ids = [ranks[bytes([b])] for b in range(256)]
-    words: list[list[int]] = []
+    words: list[bytes] = []
     others: list[list[int]] = []
     pending, kind = 0, None
-    lists, long_lists = pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int64()))
+    names = ["block", "kept", "refs", "words", "others"]
+    lists, binaries = pa.list_(pa.list_(pa.int32())), pa.list_(pa.binary())
 
     def reference(word: str) -> int:
         """2 i for the i-th word to be folded, 2 i + 1 for the i-th long one."""
         raw = word.encode("utf-8", "surrogatepass")
         if len(raw) <= FOLD_BYTES:
-            words.append([byte_ids[b] for b in raw])
+            words.append(raw)
             own[word] = ref = 2 * len(words) - 2
         else:
             others.append(merge_long(raw, ranks))
@@ -275,12 +305,12 @@ def _blocks(batches, shipped, pattern: str, block_words: int) -> Iterator[pa.Rec
 
     def documents(kept, refs):
         n = len(refs)
-        columns = [pa.array([0] * n, pa.int32()), kept, pa.array(refs, pa.list_(pa.int32())), pa.nulls(n, long_lists), pa.nulls(n, lists)]
-        return pa.RecordBatch.from_arrays(columns, ["role", "kept", "refs", "words", "others"])
+        columns = [pa.array([number] * n, pa.int64()), kept, pa.array(refs, pa.binary()), pa.nulls(n, binaries), pa.nulls(n, lists)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def block():
-        columns = [pa.array([1], pa.int32()), pa.nulls(1, kind), pa.nulls(1, pa.list_(pa.int32())), pa.array([words], long_lists), pa.array([others], lists)]
-        return pa.RecordBatch.from_arrays(columns, ["role", "kept", "refs", "words", "others"])
+        columns = [pa.array([number], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([words], binaries), pa.array([others], lists)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     for batch in (b.slice(at, PIECE_ROWS) for b in batches for at in range(0, b.num_rows, PIECE_ROWS)):
         kept, kind = batch.column("kept"), batch.column("kept").type
@@ -294,13 +324,14 @@ def _blocks(batches, shipped, pattern: str, block_words: int) -> Iterator[pa.Rec
                     if ref is None:
                         ref = reference(w)
                 line.append(ref)
-            refs.append(line)
+            refs.append(pack(np.array(line, np.int32).tobytes()))
             pending += len(line)
             if len(words) + len(others) >= block_words or pending >= BLOCK_REFS:
                 yield documents(kept.slice(done, len(refs)), refs)
                 yield block()
                 done, refs, pending = done + len(refs), [], 0
                 own, words, others = {}, [], []
+                number += 1
         if refs:
             yield documents(kept.slice(done, len(refs)), refs)
     if kind is not None:
@@ -312,39 +343,38 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.diff(column.offsets.to_numpy())
 
 
-def _assemble(batches, shipped) -> Iterator[pa.RecordBatch]:
+def _assemble(rows: pa.Table, folded: pa.Table, shipped) -> pa.Table:
+    """The ids of a block's documents: ``rows`` as of ``_blocks``, ``folded`` with the ids of its words."""
     flat, lengths = shipped
     n_common = len(lengths)
-    waiting: list[pa.RecordBatch] = []
-
-    def finish(folded, others) -> Iterator[pa.RecordBatch]:
-        parts = [_lists(folded), _lists(others)]
-        values = np.concatenate([flat, *[p[0] for p in parts]])
-        sizes = np.concatenate([lengths, *[p[1] for p in parts]])
-        starts = np.cumsum(sizes) - sizes
-        for batch in (b.slice(at, PIECE_ROWS) for b in waiting for at in range(0, b.num_rows, PIECE_ROWS)):
-            refs, counts = _lists(batch.column("refs"))
-            refs = refs.astype(np.int64)
-            at = np.where(refs < 0, -1 - refs, n_common + refs // 2 + np.where(refs % 2 == 1, len(parts[0][1]), 0))
-            n = sizes[at]
-            ends = np.cumsum(n)
-            ids = values[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - starts[at], n)]
-            edges = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]]).astype(np.int32)
-            made = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
-            buffer, cuts = ids.astype("<u4").tobytes(), (4 * edges.astype(np.int64)).tolist()
-            raw = pa.array([buffer[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), made, raw], ["kept", "ids", "raw"])
-
-    for batch in batches:
-        roles = batch.column("role").to_numpy()
-        start = 0
-        for i in [*np.flatnonzero(roles == 1).tolist(), len(roles)]:
-            if i > start:
-                waiting.append(batch.slice(start, i - start))
-            if i < len(roles):
-                yield from finish(batch.column("folded").slice(i, 1).flatten(), batch.column("others").slice(i, 1).flatten())
-                waiting = []
-            start = i + 1
+    ends_block = rows.column("refs").is_null()
+    docs, last = rows.filter(pa.compute.invert(ends_block)), rows.filter(ends_block)
+    parts = [_lists(folded.column("ids").combine_chunks()), _lists(last.column("others").combine_chunks().flatten())]
+    order = np.empty(folded.num_rows, np.int64)
+    order[folded.column("at").to_numpy()] = np.arange(folded.num_rows)
+    values = np.concatenate([flat, *[p[0] for p in parts]])
+    sizes = np.concatenate([lengths, *[p[1] for p in parts]])
+    starts = np.cumsum(sizes) - sizes
+    unpack, made = zstandard.ZstdDecompressor().decompress, []
+    for at in range(0, docs.num_rows, PIECE_ROWS):
+        piece = docs.slice(at, PIECE_ROWS)
+        lines = [np.frombuffer(unpack(r), np.int32) for r in piece.column("refs").to_pylist()]
+        refs, counts = np.concatenate(lines).astype(np.int64), np.array([len(x) for x in lines], np.int64)
+        at_word = np.where(refs < 0, -1 - refs, n_common + len(order) + refs // 2)
+        mine = (refs >= 0) & (refs % 2 == 0)
+        at_word[mine] = n_common + order[refs[mine] // 2]
+        n = sizes[at_word]
+        ends = np.cumsum(n)
+        ids = values[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - starts[at_word], n)]
+        edges = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]]).astype(np.int32)
+        buffer, cuts = ids.astype("<u4").tobytes(), (4 * edges.astype(np.int64)).tolist()
+        raw = pa.array([buffer[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+        listed = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
+        made.append(pa.Table.from_arrays([piece.column("kept"), listed, raw], ["kept", "ids", "raw"]))
+    if not made:
+        kind = rows.schema.field("kept").type
+        return pa.schema([("kept", kind), ("ids", pa.list_(pa.int32())), ("raw", pa.binary())]).empty_table()
+    return pa.concat_tables(made)
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
