@@ -254,7 +254,8 @@ def encode(
     all_null = F.col("kept").isNull() & F.col("refs").isNull() & F.col("others").isNull()
     words = F.coalesce("words", F.when(all_null, F.col("words")))
     asked = rows.select("block", F.posexplode_outer(words).alias("at", "word")).filter(F.col("at").isNotNull())
-    folded = fold_once(asked, known, byte_ids)
+    # a task sends a block one row, or few: its words' ids packed
+    folded = fold_once(asked, known, byte_ids).sortWithinPartitions("block", "at").mapInArrow(_pack_blocks, "block bigint, packed binary")
 
     def ids_of(left: pa.Table, right: pa.Table) -> pa.Table:
         return _assemble(left, right, to_assemble.value)
@@ -280,6 +281,50 @@ BLOCK_REFS = 4_000_000
 PIECE_ROWS = 250
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers with all their first bytes first, which packs better."""
+    return np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, at, ids), sorted by block, as one packed row per block: the number of words, their
+    places (as steps), the lengths of their ids, and the ids."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    block, held = None, []
+
+    def flush() -> pa.RecordBatch:
+        at, lengths, ids = (np.concatenate(x) for x in zip(*held))
+        packed = pack(_planes(np.concatenate([[len(at)], np.diff(at, prepend=0), lengths, ids])))
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed], pa.binary())], ["block", "packed"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blocks = batch.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and blocks[a] != block:
+                yield flush()
+                held = []
+            block = int(blocks[a])
+            part = batch.slice(a, b - a)
+            ids, lengths = _lists(part.column("ids"))
+            held.append((part.column("at").to_numpy(), lengths, ids))
+    if held:
+        yield flush()
+
+
+def _unpack_block(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths of ids, ids."""
+    numbers = _from_planes(zstandard.ZstdDecompressor().decompress(packed))
+    n = int(numbers[0])
+    return np.cumsum(numbers[1 : n + 1]), numbers[n + 1 : 2 * n + 1], numbers[2 * n + 1 :]
+
+
 def _blocks(batches, shipped, pattern: str, block_words: int) -> Iterator[pa.RecordBatch]:
     common_at, ranks = shipped
     find = regex.compile(pattern).findall
@@ -324,7 +369,7 @@ def _blocks(batches, shipped, pattern: str, block_words: int) -> Iterator[pa.Rec
                     if ref is None:
                         ref = reference(w)
                 line.append(ref)
-            refs.append(pack(np.array(line, np.int32).tobytes()))
+            refs.append(pack(_planes(np.array(line, np.int32))))
             pending += len(line)
             if len(words) + len(others) >= block_words or pending >= BLOCK_REFS:
                 yield documents(kept.slice(done, len(refs)), refs)
@@ -344,21 +389,23 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _assemble(rows: pa.Table, folded: pa.Table, shipped) -> pa.Table:
-    """The ids of a block's documents: ``rows`` as of ``_blocks``, ``folded`` with the ids of its words."""
+    """The ids of a block's documents: ``rows`` as of ``_blocks``, ``folded`` with the packed ids of its words."""
     flat, lengths = shipped
     n_common = len(lengths)
     ends_block = rows.column("refs").is_null()
     docs, last = rows.filter(pa.compute.invert(ends_block)), rows.filter(ends_block)
-    parts = [_lists(folded.column("ids").combine_chunks()), _lists(last.column("others").combine_chunks().flatten())]
-    order = np.empty(folded.num_rows, np.int64)
-    order[folded.column("at").to_numpy()] = np.arange(folded.num_rows)
+    none = (np.empty(0, np.int32),) * 3
+    places, own_lengths, own_ids = (np.concatenate(x) for x in zip(none, *map(_unpack_block, folded.column("packed").to_pylist())))
+    parts = [(own_ids, own_lengths), _lists(last.column("others").combine_chunks().flatten())]
+    order = np.empty(len(places), np.int64)
+    order[places] = np.arange(len(places))
     values = np.concatenate([flat, *[p[0] for p in parts]])
     sizes = np.concatenate([lengths, *[p[1] for p in parts]])
     starts = np.cumsum(sizes) - sizes
     unpack, made = zstandard.ZstdDecompressor().decompress, []
     for at in range(0, docs.num_rows, PIECE_ROWS):
         piece = docs.slice(at, PIECE_ROWS)
-        lines = [np.frombuffer(unpack(r), np.int32) for r in piece.column("refs").to_pylist()]
+        lines = [_from_planes(unpack(r)) for r in piece.column("refs").to_pylist()]
         refs, counts = np.concatenate(lines).astype(np.int64), np.array([len(x) for x in lines], np.int64)
         at_word = np.where(refs < 0, -1 - refs, n_common + len(order) + refs // 2)
         mine = (refs >= 0) & (refs % 2 == 0)
