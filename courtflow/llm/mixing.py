@@ -37,8 +37,8 @@ from courtflow.llm.common import WORD, cut_lineage, query, table, text_of
 SCHEDULES = ((6.0, 4.0), (2.0, 2.0), (0.5, 1.5))
 
 
-def sizes(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """id, source, words, and the MD5 keys of the reading order."""
+def sizes(docs: DataFrame, id_column: str = "doc_id", row_key: str | None = None) -> DataFrame:
+    """id, source, words, the MD5 keys of the reading order, and ``row_key`` if there is one."""
     text = text_of(docs)
     return docs.select(
         F.col(id_column).alias("id"),
@@ -46,6 +46,7 @@ def sizes(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit(""))).alias("k1"),
         F.md5(text).alias("k2"),
+        *([F.col(row_key).alias("row_key")] if row_key else []),
     )
 
 
@@ -85,11 +86,12 @@ def mix(
     share: float = 1.0,
     per_range: int = 20_000,
     id_column: str = "doc_id",
+    row_key: str | None = None,
 ) -> DataFrame:
-    """One row per document: id_column, k2 (MD5 of the text), size, source_size, target,
-    taken and ``passes``, an array with (pass, words, position) for each time the document
+    """One row per document: id_column, k2 (MD5 of the text), row_key (a column that names
+    the row, if one is given), size, source_size, target, taken and ``passes``, an array with (pass, words, position) for each time the document
     is read. Words taken from a source add up to the whole part of its target."""
-    base = cut_lineage(sizes(docs, id_column), "mix-sizes")
+    base = cut_lineage(sizes(docs, id_column, row_key), "mix-sizes")
     sources = cut_lineage(source_targets(base, schedules, cap, share), "mix-sources")
     joined = base.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).drop("source")
     ranges = F.ceil(F.col("n_docs") / F.lit(per_range))
@@ -98,7 +100,7 @@ def mix(
     sums = joined.groupBy("sid", "range").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("sid").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("carry"))
-    within = Window.partitionBy("sid", "range").orderBy("k1", "id", "k2").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("sid", "range").orderBy("k1", "id", "k2", *(["row_key"] if row_key else [])).rowsBetween(Window.unboundedPreceding, 0)
     joined = joined.withColumn("own", F.sum("size").over(within) - F.col("size"))
     joined = joined.join(sums, (F.col("sid") == F.col("s")) & (F.col("range") == F.col("r")))
     before = F.col("carry") + F.col("own")
@@ -113,7 +115,8 @@ def mix(
     passes = F.filter(F.array(*[one_pass(p) for p in range(ceil(cap))]), lambda x: x["words"] > 0)
     out = joined.withColumn("passes", passes)
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
-    return out.select(F.col("id").alias(id_column), "k2", "size", "source_size", "target", taken.alias("taken"), "passes")
+    key = ["row_key"] if row_key else []
+    return out.select(F.col("id").alias(id_column), "k2", *key, "size", "source_size", "target", taken.alias("taken"), "passes")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -126,18 +129,14 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> Da
     """``docs`` as often as the mix reads them, range-sorted by training position; same columns.
 
     A document whose last pass is cut by the end of its source's target is read whole then.
-    Rows of equal id and text are one document here, read as often as all of them together.
+    Only rows that are equal in every column are one row here, read as often as all of them together.
     """
-    mixed = mix(docs, id_column=id_column, **options)
-
-    def key(first, second):
-        return F.md5(F.concat(F.coalesce(first.cast("string"), F.lit("")), F.lit(" "), second))
-
-    each = mixed.select("*", F.inline("passes")).select(key(F.col(id_column), F.col("k2")).alias("__key"), "position")
-    each = each.groupBy("__key").agg(F.collect_list("position").alias("__positions"))  # cap x copies of a row
-    keyed = docs.select("*", key(F.col(id_column), F.md5(text_of(docs))).alias("__key")).dropDuplicates(["__key"])
-    read = keyed.join(each, "__key").select(*docs.columns, "__key", F.explode("__positions").alias("__position"))
-    return read.orderBy("__position", "__key").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    keyed = whole.select("row", F.md5(F.to_json("row", {"ignoreNullFields": "false"})).alias("row_key"))
+    named = keyed.select(F.col("row")[id_column].alias(id_column), F.col("row.source"), F.col("row.text"), "row_key")
+    each = training_order(mix(named, id_column=id_column, row_key="row_key", **options)).select("row_key", "position")
+    read = keyed.dropDuplicates(["row_key"]).join(each, "row_key")
+    return read.orderBy("position", "row_key").select("row.*")
 
 
 SQL = r"""WITH b AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

@@ -440,3 +440,13 @@ def test_top_k_brute_force(spark):
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:20])]
     assert got == sorted(want)
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_mixed_documents_keep_rows_of_equal_text(spark):
+    schema = "doc_id long, source string, text string, row string, lang string"
+    rows = [(None, "x", "one two three", None, "en"), (None, "y", "one two three", "r", "en"), (None, "y", "one two three", "r", "fr"), (7, None, "a b", "", None)]
+    df = spark.createDataFrame([*rows, rows[0]], schema)
+    even = {"schedules": ((1.0, 1.0),)}
+    readings = mixing.mix(df, **even).agg(F.sum(F.size("passes")).alias("n")).first().n
+    got = [tuple(r) for r in mixing.mixed_documents(df, **even).collect()]
+    assert set(got) == set(rows) and len(got) == readings
