@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from courtflow.operators.apply import apply_per_frame, apply_per_match, stages
+from courtflow.operators.ordered import running_sum
 from courtflow.plans.possession import LABELS, TIMES, V_SELECT, VIOLATIONS, fsm_sql
 from courtflow.plans.registry import query, shown
 from courtflow.plans.zones import ZONED
 from courtflow.session import scratch_path
 from courtflow.sources.readers import stream_detections
+from courtflow.streaming import committed as C
 from courtflow.streaming import live as L
 
 
@@ -134,6 +136,43 @@ def _sessions(t):
     return d.select("match_id", "track_id", as_text("first_seen"), "rows")
 
 
+def committed_labels(t):
+    """Three files of frames committed batch by batch; then the checkpoint forgets its last batch, so the
+    stream hands that one over again."""
+    d = t.possession_raw.select("match_id", "frame_number", "raw_player")
+    folder = scratch_path(t.spark, "committed")
+    for part in range(3):
+        d.filter(F.col("frame_number") % 3 == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    C.commit_to(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    last = C.commits(t.spark, f"{folder}/out").agg(F.max("batch")).first()[0]
+    if last is not None:
+        mark = t.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/checkpoint/commits/{last}")
+        mark.getFileSystem(t.spark._jsc.hadoopConfiguration()).delete(mark, False)
+        C.commit_to(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/out", d.schema
+
+
+@query(
+    "stream_committed_results",
+    "SELECT match_id, frame_number, raw_player, ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY frame_number) AS position FROM @possession_raw",
+)
+def _committed(t):
+    path, schema = committed_labels(t)
+    rows = C.committed(t.spark, path, schema).drop("stream", "batch")
+    placed = running_sum(rows, ["match_id"], ["frame_number"], {"position": F.lit(1).cast("long")})
+    return C.in_frame_order(placed)
+
+
+@query(
+    "stream_commits",
+    "SELECT COUNT(*) AS rows FROM @possession_raw GROUP BY frame_number % 3",
+)
+def _commit_rows(t):
+    path, _ = committed_labels(t)
+    return C.commits(t.spark, path).select("rows")
+
+
 @query("stream_dedupe_frames")
 def _dedupe(t):
     frames = events(t).select(
